@@ -128,7 +128,7 @@ def all_items(spark, sf):
 
 @query
 def market_stats(spark, sf):
-    stats = prep.market_stats(t.purchases(spark, sf))
+    stats = prep.market_stats(t.stored_purchases(spark, sf))
     return stats.withColumn("avg_events", r6("avg_events"))
 
 
@@ -177,7 +177,7 @@ def loo_split(spark, sf):
 
 @query
 def target_rows(spark, sf):
-    inter = t.purchases(spark, sf)
+    inter = t.stored_purchases(spark, sf)
     rows = [
         sequences.target_rows(inter, t.TIES, which).withColumn(PHASE, F.lit(which))
         for which in (sequences.VALID, sequences.TEST)
@@ -201,57 +201,54 @@ def item_ids(spark, sf):
 
 @query
 def item_freq(spark, sf):
-    inter = t.purchases(spark, sf)
+    inter = t.stored_purchases(spark, sf)
     train = sequences.loo_split(sequences.order_events(inter, t.TIES)).where(F.col(PHASE) == sequences.TRAIN)
     return losses.item_freq(train, sequences.item_ids(inter), include_padding=True).drop(ITEM)
 
 
 @query
 def train_item_freq(spark, sf):
-    inter = t.purchases(spark, sf)
+    inter = t.stored_purchases(spark, sf)
     return losses.train_item_freq(inter, sequences.item_ids(inter), t.TIES, include_padding=True).drop(ITEM)
 
 
 @query
 def item_weights(spark, sf):
-    inter = t.purchases(spark, sf)
+    inter = t.stored_purchases(spark, sf)
     freq = losses.train_item_freq(inter, sequences.item_ids(inter), t.TIES)
     return losses.item_weights(freq).withColumn("weight", r6("weight"))
 
 
-def encoded_targets(spark, sf):
-    """Test rows with the vector of the latest item as sequence vector."""
-    rows = sequences.target_rows(t.purchases(spark, sf), t.TIES).withColumn(PHASE, F.lit(sequences.TEST))
-    return last_item_encoder(t.item_vectors(spark, sf))(rows).drop(SEQ, LENGTH)
-
-
-def target_nll(spark, sf, include_padding=False):
-    """nll of the test rows over the items of their market."""
-    items = prep.market_items(t.item_vectors(spark, sf), t.purchases(spark, sf))
-    return losses.all_item_nll(encoded_targets(spark, sf), items, KEY, include_padding=include_padding)
+def target_nll(spark, sf, inter, include_padding=False):
+    """nll of the test rows over the items of their market, the vector of the latest item standing for the sequence."""
+    vectors_ = t.item_vectors(spark, sf)
+    items = pin(prep.market_items(vectors_, inter), "market-items")
+    rows = sequences.target_rows(inter, t.TIES).withColumn(PHASE, F.lit(sequences.TEST))
+    encoded = last_item_encoder(vectors_)(rows).drop(SEQ, LENGTH)
+    return losses.all_item_nll(encoded, items, KEY, include_padding=include_padding)
 
 
 @query
 def ce_loss(spark, sf):
-    return losses.ce_loss(target_nll(spark, sf), [MARKET]).withColumn("loss", r6("loss"))
+    return losses.ce_loss(target_nll(spark, sf, t.stored_purchases(spark, sf)), [MARKET]).withColumn("loss", r6("loss"))
 
 
 @query
 def ce_loss_padded(spark, sf):
-    return losses.ce_loss(target_nll(spark, sf, True), [MARKET]).withColumn("loss", r6("loss"))
+    return losses.ce_loss(target_nll(spark, sf, t.stored_purchases(spark, sf), True), [MARKET]).withColumn("loss", r6("loss"))
 
 
 @query
 def wce_loss(spark, sf):
-    inter = t.purchases(spark, sf)
+    inter = t.stored_purchases(spark, sf)
     weights = losses.item_weights(losses.train_item_freq(inter, sequences.item_ids(inter), t.TIES))
-    rows = losses.with_weights(target_nll(spark, sf), weights)
+    rows = losses.with_weights(target_nll(spark, sf, inter), weights)
     return losses.wce_loss(rows, [MARKET]).withColumn("loss", r6("loss"))
 
 
 def scored(spark, sf, n=99):
     vectors_ = t.item_vectors(spark, sf)
-    return scored_targets(t.purchases(spark, sf), vectors_, last_item_encoder(vectors_), t.TIES, n=n)
+    return scored_targets(t.stored_purchases(spark, sf), vectors_, last_item_encoder(vectors_), t.TIES, n=n)
 
 
 def scored_long(spark, sf):
@@ -281,7 +278,7 @@ def bpr_loss(spark, sf):
 
 @query
 def uniform_negatives(spark, sf):
-    inter = t.purchases(spark, sf)
+    inter = t.stored_purchases(spark, sf)
     rows = sequences.target_rows(inter, t.TIES).withColumn(PHASE, F.lit(sequences.TEST))
     drawn = sampling.uniform_negatives(rows, sequences.item_ids(inter))
     return sampling.long_candidates(drawn).select(*USER_KEY, "positive", "candidate")
@@ -289,7 +286,7 @@ def uniform_negatives(spark, sf):
 
 @query
 def unseen_negatives(spark, sf):
-    inter = t.purchases(spark, sf)
+    inter = t.stored_purchases(spark, sf)
     ids = sequences.item_ids(inter)
     rows = sequences.target_rows(inter, t.TIES).withColumn(PHASE, F.lit(sequences.TEST))
     seen = inter.select(*USER_KEY, ITEM).distinct().join(ids, ITEM_KEY)
@@ -300,9 +297,8 @@ def unseen_negatives(spark, sf):
 @query
 def pair_scores(spark, sf):
     """Every event's item scored by the item before it."""
-    rows = sequences.build_sequences(t.purchases(spark, sf), t.TIES, max_len=1)
-    encode = last_item_encoder(t.item_vectors(spark, sf))
-    scored_pairs = scoring.score_pairs(encode(rows), t.item_vectors(spark, sf), digits=None)
+    rows, vectors_ = sequences.build_sequences(t.purchases(spark, sf), t.TIES, max_len=1), t.item_vectors(spark, sf)
+    scored_pairs = scoring.score_pairs(last_item_encoder(vectors_)(rows), vectors_, digits=None)
     return scored_pairs.select(*USER_KEY, POS, ITEM, r6("score").alias("score"))
 
 
@@ -315,7 +311,7 @@ def vector_lookup(spark, sf):
 
 @query
 def dense_item_features(spark, sf):
-    inter = t.purchases(spark, sf)
+    inter = t.stored_purchases(spark, sf)
     some = t.item_vectors(spark, sf).where(F.col(ITEM) % 50 != 7)
     found = dense_items(sequences.item_ids(inter), some)
     return found.select(MARKET, IID, ITEM, r6(F.get(VECTOR, F.lit(0)).cast("double")).alias("v0"))
@@ -329,12 +325,12 @@ def rank_positive(spark, sf):
 
 @query
 def ranking_metrics(spark, sf):
-    return sampled_evaluation(t.purchases(spark, sf), t.item_vectors(spark, sf), ties=t.TIES)
+    return sampled_evaluation(t.stored_purchases(spark, sf), t.item_vectors(spark, sf), ties=t.TIES)
 
 
 @query
 def validation_metrics(spark, sf):
-    return sampled_evaluation(t.purchases(spark, sf), t.item_vectors(spark, sf), ties=t.TIES, which=sequences.VALID)
+    return sampled_evaluation(t.stored_purchases(spark, sf), t.item_vectors(spark, sf), ties=t.TIES, which=sequences.VALID)
 
 
 @query
@@ -363,9 +359,10 @@ def full_sort_top_items(spark, sf):
 @query
 def market_top_items(spark, sf):
     """Serving: the ten best items of the market for each user's latest sequence."""
-    inter, vectors_ = t.purchases(spark, sf), t.item_vectors(spark, sf)
+    inter, vectors_ = t.stored_purchases(spark, sf), t.item_vectors(spark, sf)
     rows = last_item_encoder(vectors_)(sequences.latest_sequence(inter, t.TIES))
-    top = full_sort_topk(rows, prep.market_items(vectors_, inter), 10, USER_KEY)
+    items = pin(prep.market_items(vectors_, inter), "market-items")
+    top = full_sort_topk(rows, items, 10, USER_KEY)
     return top.select(*USER_KEY, ITEM, r6("score").alias("score"), long("rank").alias("rank"))
 
 
@@ -414,7 +411,8 @@ def attention_pool(spark, sf):
 def encode_sequences(spark, sf):
     """The attention encoder with adapters, on each user's latest sequence."""
     rows = sequences.latest_sequence(t.purchases(spark, sf), t.TIES)
-    encoded = encoder.encode_sequences(rows, t.item_vectors(spark, sf), t.model_params(spark, sf), act="swish", key=USER_KEY)
+    model = t.model_params(spark, sf)
+    encoded = encoder.encode_sequences(rows, t.item_vectors(spark, sf), model, act="swish", key=USER_KEY)
     return encoded.select(*parts_of(scoring.SEQ_VECTOR, *USER_KEY)).select(
         *USER_KEY, long("place").alias("place"), r6("value").alias("value")
     )
@@ -429,7 +427,7 @@ def encoder_metrics(spark, sf):
     def encode(rows):
         return encoder.encode_sequences(rows, vectors_, model)
 
-    return sampled_evaluation(t.purchases(spark, sf), vectors_, encode, t.TIES)
+    return sampled_evaluation(t.stored_purchases(spark, sf), vectors_, encode, t.TIES)
 
 
 def whole_layers(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from xmseq.functions.dates import days_to_seconds
 from xmseq.model import DESCRIPTION, ITEM, MARKET, TIME, TITLE, USER, VECTOR
+from xmseq.storage import pin
 
 TIES = ["l_orderkey", "l_linenumber"]
 
@@ -34,10 +35,13 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, customer, orders, lineitem = (
         table(spark, sf_dir, name) for name in ("nation", "customer", "orders", "lineitem")
     )
-    place = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    buyer = customer.join(place, customer.c_nationkey == place.n_nationkey).select("c_custkey", MARKET)
     # Customers join the orders first: the line items are then shuffled by order, not by a customer who may hold many.
-    bought = orders.join(buyer, orders.o_custkey == buyer.c_custkey)
+    bought = (
+        orders.join(customer, orders.o_custkey == customer.c_custkey)
+        .join(nation, customer.c_nationkey == nation.n_nationkey)
+        .join(region, nation.n_regionkey == region.r_regionkey)
+        .select("o_orderkey", "o_custkey", "o_orderdate", MARKET)
+    )
     return lineitem.join(bought, lineitem.l_orderkey == bought.o_orderkey).select(
         MARKET,
         F.col("o_custkey").alias(USER),
@@ -47,6 +51,14 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stored table, for work that reads it more than once.
+
+    Spread by order, so that files come out even however the inputs are cut, also when one user holds many orders.
+    """
+    return pin(purchases(spark, sf_dir).repartition("l_orderkey"), "purchases")
+
+
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second source without ties in time: one market, item = props.k."""
     return table(spark, sf_dir, "events").select(
@@ -73,11 +85,11 @@ def raw_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vector for every part: parts share the given vectors by part number modulo their count."""
+    """A stored table with a vector for every part: parts share the given vectors by part number modulo their count."""
     vectors = raw_vectors(spark, sf_dir)
     n = vectors.count()
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias(ITEM))
-    return parts.join(vectors, F.col(ITEM) % n == F.col("vec_id")).select(ITEM, VECTOR)
+    return pin(parts.join(vectors, F.col(ITEM) % n == F.col("vec_id")).select(ITEM, VECTOR), "item-vectors")
 
 
 # Names, first vector, rows, and vectors joined per row of a model made of the given vectors; norm weights are 1 + vector.

@@ -22,11 +22,6 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def token_bucket(token: Column, dim: int) -> Column:
-    """Stable bucket 0..dim-1 of a token, from the first eight hex digits of its MD5."""
-    return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
-
-
 def vec_to_text(vector: Column | str) -> Column:
     """Blank-separated text of a vector, floats widened to double."""
     return F.array_join(F.transform(vector, lambda x: x.cast("double").cast("string")), " ")

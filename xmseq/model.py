@@ -16,8 +16,9 @@ LENGTH = "item_length"
 PHASE = "phase"
 IID = "iid"
 
-USER_KEY = [MARKET, USER]
-ITEM_KEY = [MARKET, ITEM]
+# The many-valued column first: sorts then compare it before the market.
+USER_KEY = [USER, MARKET]
+ITEM_KEY = [ITEM, MARKET]
 
 # They must equal the public format and protocol for results to agree.
 MARKETS = ["ca", "de", "fr", "in", "jp", "mx", "uk", "us"]

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from xmseq.model import IID, ITEM, ITEM_KEY, MARKET, VECTOR
-from xmseq.storage import BROADCAST_BYTES, at_most, pin, vector_table_bytes
+from xmseq.storage import BROADCAST_BYTES, SMALL_ROWS, at_most, pin, vector_table_bytes
 
-SMALL_ROWS = 100_000
 HOT_KEYS = 1024
 
 

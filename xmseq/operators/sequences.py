@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from xmseq.model import EVENTS, IID, ITEM, ITEM_KEY, LENGTH, MARKET, MAX_LENGTH, PHASE, POS, SEQ, TIME, USER_KEY
 from xmseq.operators.groups import HOT_ROWS, number_rows, split_hot, total_order
 from xmseq.operators.prep import market_item_sets
-from xmseq.storage import pin
+from xmseq.storage import SMALL_ROWS, at_most, pin
 
 TRAIN, VALID, TEST = "train", "valid", "test"
 
@@ -129,8 +129,15 @@ def target_rows(
     )
 
 
-def item_ids(inter: DataFrame) -> DataFrame:
-    """Dense ids 1..N of each market's items in item order; 0 stays free for padding. Pinned: ids are used repeatedly."""
-    return pin(
-        number_rows(market_item_sets(inter), [MARKET], [ITEM], IID, "n_items", distinct=True), "item-ids"
-    ).select(*ITEM_KEY, IID, "n_items")
+def item_ids(inter: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
+    """Dense ids 1..N of each market's items in item order, with N; 0 stays free for padding.
+
+    A dictionary of up to `small_rows` rows (checked) is numbered in a window per market, a larger one across tasks.
+    """
+    sets = pin(market_item_sets(inter), "item-sets")
+    if at_most(sets, small_rows):
+        market = Window.partitionBy(MARKET)
+        number = F.row_number().over(market.orderBy(ITEM)).cast("bigint")
+        return sets.select(*ITEM_KEY, number.alias(IID), F.count("*").over(market).alias("n_items"))
+    numbered = number_rows(sets, [MARKET], [ITEM], IID, "n_items", distinct=True)
+    return pin(numbered, "item-ids").select(*ITEM_KEY, IID, "n_items")

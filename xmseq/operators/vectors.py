@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from xmseq.functions.text import token_bucket, tokens
+from xmseq.functions.text import tokens
 from xmseq.functions.vectors import dot, matvec, weighted_sum
 from xmseq.model import ITEM, SEQ, TEXT, TEXT_BATCH, USER_KEY, VECTOR
 from xmseq.operators.lookup import lookup_vectors
@@ -25,28 +26,34 @@ def hashed_texts(
 ) -> DataFrame:
     """(key, weights): tokens hashed into `dim` buckets, counted, scaled to unit length; zeros for a text without tokens.
 
-    The whole text counts; `max_tokens` keeps the first tokens only, as encoders of limited length do. Tokens become
-    bucket numbers in Spark, counting is one pass over each Arrow batch, and nothing is shuffled.
+    A token's bucket is the number in the first eight hex digits of its MD5, modulo `dim`. The whole text counts;
+    `max_tokens` keeps the first tokens only, as encoders of limited length do. Spark cuts the texts into tokens; each
+    Arrow batch then hashes its distinct tokens once and counts all in one pass. Nothing is shuffled.
     """
     words = tokens(F.coalesce(F.col(text), F.lit("")))
     if max_tokens is not None:
         words = F.slice(words, 1, max_tokens)
-    buckets = texts.select(key, F.transform(words, lambda w: token_bucket(w, dim).cast("int")).alias("_b"))
     schema = T.StructType([texts.schema[key], T.StructField("weights", T.ArrayType(T.DoubleType()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, CELLS // dim)
         for batch in batches:
             for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
-                lists = part.column("_b")
+                lists = part.column("_w")
                 owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-                cells = owner * dim + lists.flatten().to_numpy()
+                encoded = lists.flatten().dictionary_encode()
+                buckets = np.array([_bucket(w, dim) for w in encoded.dictionary.to_pylist()], dtype=np.int64)
+                cells = owner * dim + buckets[encoded.indices.to_numpy()]
                 counts = np.bincount(cells, minlength=len(lists) * dim).reshape(-1, dim).astype(np.float64)
                 norm = np.sqrt((counts**2).sum(axis=1, keepdims=True))
                 weights = counts / np.where(norm > 0, norm, 1.0)
                 yield pa.RecordBatch.from_arrays([part.column(key), to_lists(weights)], [key, "weights"])
 
-    return buckets.mapInArrow(count, schema)
+    return texts.select(key, words.alias("_w")).mapInArrow(count, schema)
+
+
+def _bucket(token: str, dim: int) -> int:
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
 
 
 def text_weights(
@@ -106,10 +113,11 @@ def attention_weights(
     bounded in length, so the softmax runs in a window.
     """
     key = list(key)
-    placed = seqs.select(*key, F.element_at(SEQ, -1).alias("_last"), F.posexplode(SEQ).alias("place", ITEM))
-    both = lookup_vectors(lookup_vectors(placed, queries, "_last", "_q"), queries if keys is None else keys, ITEM, "_k")
+    last = lookup_vectors(seqs.select(*key, SEQ, F.element_at(SEQ, -1).alias("_last")), queries, "_last", "_q")
+    placed = last.select(*key, "_q", F.posexplode(SEQ).alias("place", ITEM))
+    both = lookup_vectors(placed, queries if keys is None else keys, ITEM, "_k")
     score = dot("_q", "_k") / F.sqrt(F.size("_q"))
-    scored = both.select(*key, "place", ITEM, score.alias("score")).where(F.col("score").isNotNull())
+    scored = both.where("_q is not null and _k is not null").select(*key, "place", ITEM, score.alias("score"))
     group = Window.partitionBy(*key)
     shifted = scored.withColumn("_e", F.exp(F.col("score") - F.max("score").over(group)))
     return shifted.withColumn("weight", F.col("_e") / F.sum("_e").over(group)).drop("_e")

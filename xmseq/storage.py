@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 128 << 20
+SMALL_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
