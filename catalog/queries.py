@@ -353,7 +353,7 @@ def full_sort_top_items(spark, sf):
     found = t.raw_vectors(spark, sf).select(F.col("vec_id").alias(ITEM), VECTOR)
     rows = found.select(F.col(ITEM).alias("vec_id"), F.col(VECTOR).alias(scoring.SEQ_VECTOR))
     top = full_sort_topk(rows, found, 10, ["vec_id"])
-    return top.select("vec_id", ITEM, r6("score").alias("score"), long("rank").alias("rank"))
+    return top.select("vec_id", ITEM, "score", long("rank").alias("rank"))
 
 
 @query
@@ -363,7 +363,7 @@ def market_top_items(spark, sf):
     rows = last_item_encoder(vectors_)(sequences.latest_sequence(inter, t.TIES))
     items = pin(prep.market_items(vectors_, inter), "market-items")
     top = full_sort_topk(rows, items, 10, USER_KEY)
-    return top.select(*USER_KEY, ITEM, r6("score").alias("score"), long("rank").alias("rank"))
+    return top.select(*USER_KEY, ITEM, "score", long("rank").alias("rank"))
 
 
 # ---- vectors, attention, encoder, parameters
@@ -422,10 +422,11 @@ def encode_sequences(spark, sf):
 def encoder_metrics(spark, sf):
     """Sampled evaluation with the attention encoder, its query and key matrices taken over from another model."""
     vectors_ = t.item_vectors(spark, sf)
-    model = params.transfer(t.model_params(spark, sf), params.select_weights(whole_layers(spark, sf)))
+    given = params.select_weights(whole_layers(spark, sf))
+    model = pin(params.transfer(t.model_params(spark, sf), given), "transferred")
 
     def encode(rows):
-        return encoder.encode_sequences(rows, vectors_, model)
+        return encoder.encode_sequences(rows, vectors_, model, act="swish")
 
     return sampled_evaluation(t.stored_purchases(spark, sf), vectors_, encode, t.TIES)
 

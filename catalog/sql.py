@@ -150,23 +150,23 @@ BLOCKS = {
 }
 
 
-def _with(*names: str) -> str:
+def _with(names: str, blocks: dict[str, tuple[list[str], str]]) -> str:
     """The named blocks and what they need, in order."""
     done: list[str] = []
 
     def add(name: str) -> None:
-        for other in BLOCKS[name][0]:
+        for other in blocks[name][0]:
             add(other)
         if name not in done:
             done.append(name)
 
-    for name in names:
+    for name in names.split():
         add(name)
-    return "with " + ",\n".join(f"{n} as ({BLOCKS[n][1]})" for n in done) + "\n"
+    return "with " + ",\n".join(f"{n} as ({blocks[n][1]})" for n in done) + "\n"
 
 
-def define(name: str, blocks: str, select: str) -> None:
-    SQL[name] = (_with(*blocks.split()) if blocks else "") + select
+def define(name: str, names: str, select: str, extra: dict[str, tuple[list[str], str]] | None = None) -> None:
+    SQL[name] = (_with(names, BLOCKS | (extra or {})) if names else "") + select
 
 
 define("item_text", "metadata", "select item_id, title || ' ' || coalesce(description[1], '') as text_feature from metadata")
@@ -332,7 +332,7 @@ define(
 define(
     "full_sort_top_items",
     "",
-    """select vec_id, item_id, round(s, 6) + 0.0 as score, rank from (
+    """select vec_id, item_id, s + 0.0 as score, rank from (
     select vec_id, item_id, s, row_number() over (partition by vec_id order by s desc, item_id) as rank from (
     select a.vec_id, b.vec_id as item_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 9) as s
     from embeddings a, embeddings b)) where rank <= 10""",
@@ -340,7 +340,7 @@ define(
 define(
     "market_top_items",
     "positions ids vectors",
-    """select market, user_id, item_id, round(s, 6) + 0.0 as score, rank from (
+    """select market, user_id, item_id, s + 0.0 as score, rank from (
     select market, user_id, item_id, s, row_number() over (partition by market, user_id order by s desc, item_id) as rank
     from (select p.market, p.user_id, ids.item_id, round(list_dot_product(q.v, k.v), 9) as s
     from positions p join vectors q on q.item_id = p.item_id join ids on ids.market = p.market
@@ -380,80 +380,109 @@ define(
 )
 
 
-def _linear(matrix: str, bias: str, x: str) -> str:
-    return (
-        f"list_transform(list_zip(list_transform({matrix}, lambda w: list_dot_product(w, {x})), {bias}), "
-        "lambda z: z[1] + z[2])"
-    )
+_ATT, _FF = "trm_encoder.layer.multi_head_attention.", "trm_encoder.layer.feed_forward."
 
 
-def _norm(x: str, weight: str, bias: str) -> str:
-    """Layer norm of a list column `x`."""
-    mean = f"list_avg({x})"
-    scale = f"sqrt(list_avg(list_transform({x}, lambda a: a * a)) - {mean} * {mean} + 1e-12)"
-    scaled = f"list_transform({x}, lambda a: (a - {mean}) / {scale})"
-    return f"list_transform(list_zip({scaled}, {weight}, {bias}), lambda z: z[1] * z[2] + z[3])"
+def _linear(source: str, name: str, relu: bool = False) -> str:
+    """Rows of `source` (id, v) times a matrix, plus bias."""
+    value = "list_dot_product(w.v, s.v) + b.v[w.row + 1]"
+    value = f"greatest({value}, 0.0)" if relu else value
+    return f"""select s.id, list({value} order by w.row) as v from {source} s, params w, params b
+        where w.name = '{name}.weight' and b.name = '{name}.bias' group by s.id"""
 
 
-def _relu(x: str) -> str:
-    return f"list_transform({x}, lambda a: greatest(a, 0.0))"
+def _norm(source: str, name: str) -> str:
+    """Layer norm of rows of `source` (id, v)."""
+    return f"""select n.id, list_transform(list_zip(n.v, w.v, b.v), lambda z: (z[1] - m) / sqrt(s + 1e-12) * z[2] + z[3])
+        as v from (select id, v, m, list_avg(list_transform(v, lambda x: (x - m) * (x - m))) as s
+        from (select id, v, list_avg(v) as m from {source})) n, params w, params b
+        where w.name = '{name}.weight' and b.name = '{name}.bias'"""
 
 
-def _sum(a: str, b: str) -> str:
-    return f"list_transform(list_zip({a}, {b}), lambda z: z[1] + z[2])"
+def _added(left: str, right: str) -> str:
+    return f"""select l.id, list_transform(list_zip(l.v, r.v), lambda z: z[1] + z[2]) as v
+        from {left} l join {right} r on r.id = l.id"""
+
+
+def encoder_blocks(places: tuple[list[str], str], model: tuple[list[str], str]) -> dict[str, tuple[list[str], str]]:
+    """The encoder on `places` (market, user_id, place from 1, is_last, v); result: encoded (market, user_id, v)."""
+    return {
+        "params": model,
+        "places": places,
+        "numbered": (["places"], "select *, row_number() over (order by market, user_id, place) as id from places"),
+        "input": (
+            ["numbered", "params"],
+            """select n.id, list_transform(list_zip(n.v, p.v), lambda z: z[1] + z[2]) as v from numbered n
+            join params p on p.name = 'position_embedding.weight' and p.row = n.place - 1""",
+        ),
+        "x": (["input"], _norm("input", "LayerNorm")),
+        "last": (["x", "numbered"], "select id, x.v from x join numbered using (id) where is_last"),
+        "q0": (["last"], _linear("last", _ATT + "query")),
+        "q": (["q0"], _linear("q0", _ATT + "mlp_query.mlp_layers.1", relu=True)),
+        "k0": (["x"], _linear("x", _ATT + "key")),
+        "k": (["k0"], _linear("k0", _ATT + "mlp_key.mlp_layers.1", relu=True)),
+        "v": (["x"], _linear("x", _ATT + "value")),
+        "asked": (
+            ["numbered", "q", "k", "v"],
+            """select l.id, h, v.v[h * 16 + 1 : h * 16 + 16] as hv,
+            exp(list_dot_product(q.v[h * 16 + 1 : h * 16 + 16], k.v[h * 16 + 1 : h * 16 + 16]) / 4.0) as e
+            from numbered l join numbered n on n.market = l.market and n.user_id = l.user_id join q on q.id = l.id
+            join k on k.id = n.id join v on v.id = n.id, range(4) r(h) where l.is_last""",
+        ),
+        "context": (
+            ["asked"],
+            """select id, list(c order by h, d) as v from (
+            select id, h, d, sum(e * hv[d + 1]) / sum(e) as c from asked, range(16) r(d) group by all) group by id""",
+        ),
+        "dense": (["context"], _linear("context", _ATT + "dense")),
+        "mixed": (["dense", "last"], _added("dense", "last")),
+        "hidden": (["mixed"], _norm("mixed", _ATT + "LayerNorm")),
+        "inner1": (["hidden"], _linear("hidden", _FF + "dense_1")),
+        "inner2": (["inner1"], "select id, list_transform(v, lambda a: a / (1.0 + exp(-a))) as v from inner1"),
+        "inner3": (["inner2"], _linear("inner2", _FF + "dense_2")),
+        "mixed2": (["inner3", "hidden"], _added("inner3", "hidden")),
+        "output": (["mixed2"], _norm("mixed2", _FF + "LayerNorm")),
+        "encoded": (["output", "numbered"], "select market, user_id, o.v from output o join numbered using (id)"),
+    }
 
 
-_A, _F = "trm_encoder.layer.multi_head_attention.", "trm_encoder.layer.feed_forward."
-_PARTS = {
-    "pos": ("position_embedding.weight", 2),
-    "lnw": ("LayerNorm.weight", 1),
-    "lnb": ("LayerNorm.bias", 1),
-    "dw": (_A + "dense.weight", 2),
-    "db": (_A + "dense.bias", 1),
-    "alw": (_A + "LayerNorm.weight", 1),
-    "alb": (_A + "LayerNorm.bias", 1),
-    "w1": (_F + "dense_1.weight", 2),
-    "b1": (_F + "dense_1.bias", 1),
-    "w2": (_F + "dense_2.weight", 2),
-    "b2": (_F + "dense_2.bias", 1),
-    "flw": (_F + "LayerNorm.weight", 1),
-    "flb": (_F + "LayerNorm.bias", 1),
-}
-for _kind in ("query", "key", "value"):
-    _PARTS[_kind + "w"] = (_A + _kind + ".weight", 2)
-    _PARTS[_kind + "b"] = (_A + _kind + ".bias", 1)
-for _kind in ("query", "key"):
-    _PARTS[_kind + "aw"] = (_A + f"mlp_{_kind}.mlp_layers.1.weight", 2)
-    _PARTS[_kind + "ab"] = (_A + f"mlp_{_kind}.mlp_layers.1.bias", 1)
-_MATRICES = ", ".join(
-    f"list(v order by row) filter (name = '{name}')" + ("" if depth == 2 else "[1]") + f" as {short}"
-    for short, (name, depth) in _PARTS.items()
-)
 define(
     "encode_sequences",
-    "positions vectors model",
-    f""", m as (select {_MATRICES} from model),
-    places as (select market, user_id, pos - greatest(n_events - 50, 0) as place, pos = n_events as is_last, v
-        from positions join vectors using (item_id) where pos > n_events - 50),
-    added as (select market, user_id, is_last, {_sum('v', 'pos[place]')} as s from places, m),
-    x as (select market, user_id, is_last, {_norm('s', 'lnw', 'lnb')} as x from added, m),
-    kv as (select market, user_id, {_relu(_linear('keyaw', 'keyab', _linear('keyw', 'keyb', 'x')))} as k,
-        {_linear('valuew', 'valueb', 'x')} as v from x, m),
-    q as (select market, user_id, x as xl, {_relu(_linear('queryaw', 'queryab', _linear('queryw', 'queryb', 'x')))} as q
-        from x, m where is_last),
-    heads as (select market, user_id, h, v[h * 16 + 1 : h * 16 + 16] as hv,
-        exp(list_dot_product(q[h * 16 + 1 : h * 16 + 16], k[h * 16 + 1 : h * 16 + 16]) / 4.0) as e
-        from kv join q using (market, user_id), range(4) r(h)),
-    summed as (select market, user_id, h, d, sum(e * hv[d + 1]) / sum(e) as c from heads, range(16) r(d) group by all),
-    context as (select market, user_id, list(c order by h, d) as c from summed group by all),
-    pre as (select market, user_id, {_sum(_linear('dw', 'db', 'c'), 'xl')} as s
-        from context join q using (market, user_id), m),
-    hidden as (select market, user_id, {_norm('s', 'alw', 'alb')} as y from pre, m),
-    inside as (select market, user_id, y, list_transform({_linear('w1', 'b1', 'y')}, lambda a: a / (1.0 + exp(-a))) as a
-        from hidden, m),
-    post as (select market, user_id, {_sum(_linear('w2', 'b2', 'a'), 'y')} as s from inside, m),
-    final as (select market, user_id, {_norm('s', 'flw', 'flb')} as o from post, m)
-    select market, user_id, place, round(o[place + 1], 6) + 0.0 as value from final, range(64) r(place)""",
+    "encoded",
+    "select market, user_id, place, round(v[place + 1], 6) + 0.0 as value from encoded, range(64) r(place)",
+    encoder_blocks(
+        (
+            ["positions", "vectors"],
+            """select market, user_id, pos - greatest(n_events - 50, 0) as place, pos = n_events as is_last, v
+            from positions join vectors using (item_id) where pos > n_events - 50""",
+        ),
+        (["model"], "select * from model"),
+    ),
+)
+define(
+    "encoder_metrics",
+    "metrics",
+    "select * from metrics",
+    encoder_blocks(
+        (
+            ["positions", "vectors"],
+            """select market, user_id, pos - greatest(n_events - 51, 0) as place, pos = n_events - 1 as is_last, v
+            from positions join vectors using (item_id) where n_events >= 3 and pos between n_events - 50 and n_events - 1""",
+        ),
+        (
+            ["model", "layered"],
+            """select m.name, m.row, coalesce(l.v, m.v) as v from model m left join layered l
+            on m.name = 'trm_encoder.layer.multi_head_attention.' || l.kind || '.weight' and l.row = m.row
+            and l.kind in ('query', 'key') and l.layer = (select count(*) // 192 - 1 from embeddings)""",
+        ),
+    )
+    | {
+        "targets": (
+            ["split", "encoded"],
+            """select s.market, s.user_id, s.phase, s.item_id, e.v as seq_v from split s
+            join encoded e on e.market = s.market and e.user_id = s.user_id where s.phase = 'test'""",
+        )
+    },
 )
 define("select_weights", "chosen", "select weight, row, round(v[1], 6) + 0.0 as v0 from chosen")
 define(

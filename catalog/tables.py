@@ -141,7 +141,7 @@ def model_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     scale = F.col("name").endswith("LayerNorm.weight")
     shifted = F.transform("values", lambda x: F.when(scale, x.cast("double") + 1.0).otherwise(x.cast("double")))
-    return rows.select("name", "row", shifted.alias("values"))
+    return pin(rows.select("name", "row", shifted.alias("values")), "model")
 
 
 def layered_params(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ def to_matrix(column: pa.Array | pa.ChunkedArray, dtype: type = np.float64) -> n
     valid = np.asarray(column.is_valid())
     width = len(flat) // max(valid.sum(), 1)
     out = np.zeros((len(column), width), dtype)
-    out[valid] = flat.reshape(-1, width)
+    out[valid] = flat.reshape(valid.sum(), width)
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from xmseq.model import DESCRIPTION, ITEM, MARKET, MARKET_FILE_SUFFIX, MARKETS, TITLE
+from xmseq.storage import pin
 
 METADATA_SCHEMA = "asin string, title string, description array<string>"
 RATINGS_SCHEMA = "reviewerID string, asin string, ratings double, date string"
@@ -41,7 +42,11 @@ def read_metadata(spark: SparkSession, path: str | list[str], strict: bool = Tru
 
 
 def split_corrupt(meta: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and the count of broken lines per file, of metadata read with strict=False."""
+    """Good rows, and the count of broken lines per file, of metadata read with strict=False.
+
+    The parsed rows are stored first: Spark does not answer for broken lines alone from the raw file.
+    """
+    meta = pin(meta, "metadata")
     broken = meta.where(F.col(CORRUPT).isNotNull()).groupBy("file").agg(F.count("*").alias("n_broken"))
     return meta.where(F.col(CORRUPT).isNull()).drop(CORRUPT), broken
 
