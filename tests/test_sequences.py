@@ -60,6 +60,15 @@ def test_sequences_equal_brute_force(inter, events, hot_rows):
     assert rows_of(found, MARKET, USER, POS, ITEM, EVENTS, LENGTH, SEQ) == sorted(expected, key=repr)
 
 
+def test_missing_user_and_large_reach(spark, inter, events):
+    lost = inter.withColumn(USER, F.when(F.col(USER) != "hot", F.col(USER)))
+    columns = [MARKET, USER, POS, ITEM, EVENTS]
+    plain = rows_of(order_events(lost, ["ord"], hot_rows=None), *columns)
+    assert rows_of(order_events(lost, ["ord"], hot_rows=60), *columns) == plain
+    expected = [(m, u, [e[2] for e in es]) for (m, u), es in brute_force(events).items()]
+    assert rows_of(latest_sequence(inter, ["ord"], 5000), MARKET, USER, SEQ) == sorted(expected, key=repr)
+
+
 @pytest.mark.parametrize("hot_rows", [2_000_000, 60])
 def test_positions(inter, events, hot_rows):
     expected = [

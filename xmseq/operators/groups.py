@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,28 +25,52 @@ def total_order(df: DataFrame, first: Sequence[str], skip: Sequence[str]) -> lis
     return [*first, *[c for c in sortable if c not in first and c not in skip]]
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups up to `hot_rows` rows, and of the larger ones (None if there are none, or hot_rows is None)."""
+def same(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """`other` with its keys renamed, and the condition that the keys of `df` equal them, a missing one included."""
+    condition = F.lit(True)
+    for k in keys:
+        other = other.withColumnRenamed(k, f"_same_{k}")
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    return other, condition
+
+
+def split_hot(
+    df: DataFrame, keys: Sequence[str], hot_rows: int | None
+) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows of groups up to `hot_rows` rows; those of larger ones (None if there are none) and how many they are.
+
+    hot_rows=None says that no group is large.
+    """
     if hot_rows is None:
-        return df, None
-    large = df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys)
+        return df, None, 0
+    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
     if large.isEmpty():
-        return df, None
+        return df, None, 0
     large = pin(large, "hot-groups")
-    return df.join(large, list(keys), "left_anti"), df.join(large, list(keys), "left_semi")
+    n = large.agg(F.sum("_n")).first()[0]
+    other, equal = same(df, large.select(*keys), keys)
+    return df.join(other, equal, "left_anti"), df.join(other, equal, "left_semi"), n
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], number: str, total: str, distinct: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    number: str,
+    total: str,
+    parts: int,
+    distinct: bool = False,
 ) -> DataFrame:
     """Number rows 1.. within each group by `order`, and give the group's row count, without a task per group.
 
-    `keys` and `order` together must cover all columns that tell rows apart; `distinct` says that no two rows are equal.
+    `parts` range partitions share the rows. `keys` and `order` together must cover all columns that tell rows apart;
+    `distinct` says that no two rows are equal.
     """
     copies = df.withColumn("_copies", F.lit(1)) if distinct else df.groupBy(*df.columns).agg(
         F.count("*").alias("_copies")
     )
-    ranged = pin(copies.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    ranges = copies.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id())
+    ranged = pin(ranges, "ranges")
     inside = Window.partitionBy(*keys, "_range").orderBy(*order)
     upto = ranged.withColumn("_upto", F.sum("_copies").over(inside))
     # One row per group and range it touches: few per group, however large it is.
@@ -60,7 +84,8 @@ def number_rows(
         F.sum("_rows").over(group).alias(total),
     )
     last = F.col("_before") + F.col("_upto")
-    numbered = upto.join(starts, [*keys, "_range"])
+    starts, equal = same(upto, starts, [*keys, "_range"])
+    numbered = upto.join(starts, equal)
     if distinct:
         return numbered.withColumn(number, last).select(*df.columns, number, total)
     # Copies are spread again in blocks, so that many of one row do not come out of one task.

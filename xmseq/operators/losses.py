@@ -33,7 +33,7 @@ def train_item_freq(
     """Training targets per item, from the interactions.
 
     All events less those that are no training target: each user's first, and the last two as far as they are test and
-    valid. Counts are added up before they move, and of each user only three events do; no user is sorted.
+    valid. Counts are added up before they move, and each task passes on three events of a user at most.
     """
     order = F.struct(*total_order(inter, [TIME, *ties], USER_KEY))
     first = inter.groupBy(*USER_KEY).agg(

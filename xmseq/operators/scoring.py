@@ -45,7 +45,7 @@ def score_candidates(
     joined to their vectors and gathered again by `key`.
     """
     matrix = collect_matrix(vectors, limit_bytes=limit_bytes)
-    id_rows = matrix and collect_id_rows(ids, matrix, limit_bytes // 16)
+    id_rows = matrix and collect_id_rows(ids, matrix, limit_bytes // 64)
     if id_rows is None:
         return _score_joined(rows, dense_items(ids, vectors), list(key), digits)
     shared = rows.sparkSession.sparkContext.broadcast((id_rows, matrix.values))

@@ -13,6 +13,8 @@ from xmseq.operators.prep import market_item_sets
 from xmseq.storage import SMALL_ROWS, at_most, pin
 
 TRAIN, VALID, TEST = "train", "valid", "test"
+# Default of spark.sql.optimizer.windowGroupLimitThreshold.
+GROUP_LIMIT = 1000
 
 
 def _order(inter: DataFrame, ties: Sequence[str]) -> list[str]:
@@ -41,7 +43,7 @@ def build_sequences(
     """
     fields = {ITEM: SEQ} if fields is None else fields
     order = _order(inter, ties)
-    usual, hot = split_hot(inter, USER_KEY, hot_rows)
+    usual, hot, n_hot = split_hot(inter, USER_KEY, hot_rows)
     by_time = Window.partitionBy(*USER_KEY).orderBy(*order)
     whole = by_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = usual.select(
@@ -51,7 +53,7 @@ def build_sequences(
         *_lists(fields, by_time.rowsBetween(-max_len, -1)),
     )
     if hot is not None:
-        numbered = number_rows(hot, USER_KEY, order, POS, EVENTS)
+        numbered = number_rows(hot, USER_KEY, order, POS, EVENTS, -(-n_hot // hot_rows))
         out = out.unionByName(_hot_lists(numbered, fields, max_len, max(hot_rows, max_len)) if fields else numbered)
     out = out.withColumn(LENGTH, F.least(F.col(POS) - 1, F.lit(max_len)).cast("int"))
     return out if keep_first else out.where(F.col(POS) > 1)
@@ -93,10 +95,14 @@ def loo_split(rows: DataFrame) -> DataFrame:
 def last_events(inter: DataFrame, ties: Sequence[str], n: int) -> DataFrame:
     """The last `n` events of each user with `back` = 1 for the latest.
 
-    Each task passes on at most `n` rows of a user, so no user is too large.
+    Each task passes on at most `n` rows of a user, so no user is too large. Spark does that for limits below
+    GROUP_LIMIT; a longer reach is taken from the positions of all events.
     """
+    if n >= GROUP_LIMIT:
+        placed = order_events(inter, ties).withColumn("back", F.col(EVENTS) - F.col(POS) + 1)
+        return placed.where(F.col("back") <= n).drop(POS, EVENTS)
     latest = [F.col(c).desc() for c in _order(inter, ties)]
-    back = F.row_number().over(Window.partitionBy(*USER_KEY).orderBy(*latest))
+    back = F.row_number().over(Window.partitionBy(*USER_KEY).orderBy(*latest)).cast("bigint")
     return inter.withColumn("back", back).where(F.col("back") <= n)
 
 
@@ -139,5 +145,6 @@ def item_ids(inter: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
         market = Window.partitionBy(MARKET)
         number = F.row_number().over(market.orderBy(ITEM)).cast("bigint")
         return sets.select(*ITEM_KEY, number.alias(IID), F.count("*").over(market).alias("n_items"))
-    numbered = number_rows(sets, [MARKET], [ITEM], IID, "n_items", distinct=True)
+    parts = -(-sets.count() // max(small_rows, 1))
+    numbered = number_rows(sets, [MARKET], [ITEM], IID, "n_items", parts, distinct=True)
     return pin(numbered, "item-ids").select(*ITEM_KEY, IID, "n_items")

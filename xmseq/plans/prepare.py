@@ -26,7 +26,7 @@ from xmseq.storage import pin
 def selected_metadata(meta: DataFrame, inter: DataFrame, order: Sequence[str] = tuple(FILE_ORDER)) -> DataFrame:
     """The first metadata row of each item of any market; raises if an item has none."""
     items = all_items(inter)
-    chosen = dedup_first(keep_items(meta, items), [ITEM], order)
+    chosen = pin(dedup_first(keep_items(meta, items), [ITEM], order), "metadata")
     require_coverage(items, chosen)
     return chosen
 
