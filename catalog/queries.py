@@ -100,14 +100,13 @@ def interactions(spark, sf):
 
 @query
 def coverage_report(spark, sf):
-    meta = t.metadata(spark, sf).where(F.col(ITEM) % 50 != 7)
-    return prep.coverage_report(prep.all_items(t.purchases(spark, sf)), meta)
+    """Purchased items against the metadata that has a description."""
+    return prep.coverage_report(prep.all_items(t.purchases(spark, sf)), t.described(spark, sf))
 
 
 @query
 def missing_items(spark, sf):
-    meta = t.metadata(spark, sf).where(F.col(ITEM) % 50 != 7)
-    return prep.missing_items(t.purchases(spark, sf), meta)
+    return prep.missing_items(t.purchases(spark, sf), t.described(spark, sf))
 
 
 @query
@@ -311,10 +310,11 @@ def vector_lookup(spark, sf):
 
 @query
 def dense_item_features(spark, sf):
+    """Features of all ids, padding included; only items with a description have a vector here."""
     inter = t.stored_purchases(spark, sf)
-    some = t.item_vectors(spark, sf).where(F.col(ITEM) % 50 != 7)
-    found = dense_items(sequences.item_ids(inter), some)
-    return found.select(MARKET, IID, ITEM, r6(F.get(VECTOR, F.lit(0)).cast("double")).alias("v0"))
+    some = prep.keep_items(t.item_vectors(spark, sf), t.described(spark, sf))
+    found = dense_items(sequences.item_ids(inter), some, include_padding=True)
+    return found.select(MARKET, IID, r6(F.get(VECTOR, F.lit(0)).cast("double")).alias("v0"))
 
 
 @query

@@ -185,10 +185,16 @@ define("interactions", "purchases", "select market, user_id, item_id, ts_sec fro
 define(
     "coverage_report",
     "purchases metadata",
-    """select count(*) as n_items, count(*) filter (item_id % 50 = 7) as n_missing, 0::bigint as n_duplicated,
+    """select count(*) as n_items, count(*) filter (item_id not in (select item_id from metadata
+        where len(description) > 0)) as n_missing, 0::bigint as n_duplicated,
     0::bigint as n_no_title, 0::bigint as n_no_description from (select distinct item_id from purchases)""",
 )
-define("missing_items", "purchases", "select distinct item_id from purchases where item_id % 50 = 7")
+define(
+    "missing_items",
+    "purchases metadata",
+    """select distinct item_id from purchases
+    where item_id not in (select item_id from metadata where len(description) > 0)""",
+)
 define(
     "market_items",
     "purchases vectors",
@@ -208,11 +214,12 @@ for _name, _column in (("market_overlap", "item_id"), ("user_overlap", "user_id"
     define(
         _name,
         "purchases",
-        f"""select a.market as market_a, b.market as market_b, count(*) filter (a.x = b.x) as n_common,
-        round(count(*) filter (a.x = b.x) / (count(distinct a.x) + count(distinct b.x)
-            - count(*) filter (a.x = b.x)), 6) + 0.0 as jaccard
-        from (select distinct market, {_column} as x from purchases) a
-        join (select distinct market, {_column} as x from purchases) b on a.market < b.market group by all""",
+        f""", own as (select distinct market, {_column} as x from purchases),
+        n as (select market, count(*) as n from own group by 1),
+        common as (select a.market as a, b.market as b, count(*) as n from own a join own b using (x) group by all)
+        select a.market as market_a, b.market as market_b, coalesce(common.n, 0) as n_common,
+        round(coalesce(common.n, 0) / (a.n + b.n - coalesce(common.n, 0)), 6) + 0.0 as jaccard
+        from n a join n b on a.market < b.market left join common on common.a = a.market and common.b = b.market""",
     )
 define(
     "event_positions",
@@ -310,9 +317,10 @@ define(
 )
 define(
     "dense_item_features",
-    "ids vectors",
-    """select market, iid, item_id, round(v[1], 6) + 0.0 as v0 from ids
-    left join (select * from vectors where item_id % 50 <> 7) using (item_id)""",
+    "ids vectors metadata",
+    """select market, iid, round(v[1], 6) + 0.0 as v0 from ids left join (select * from vectors
+        where item_id in (select item_id from metadata where len(description) > 0)) using (item_id)
+    union all select distinct market, 0::bigint, null::double from ids""",
 )
 define("rank_positive", "ranks", "select market, user_id, positive, rank from ranks where phase = 'test'")
 define("ranking_metrics", "metrics", "select * from metrics where phase = 'test'")

@@ -80,6 +80,11 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata with a description."""
+    return metadata(spark, sf_dir).where(F.size(DESCRIPTION) > 0)
+
+
 def raw_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias(VECTOR))
 

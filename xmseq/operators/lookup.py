@@ -50,6 +50,15 @@ def spread_lookup(df: DataFrame, table: DataFrame, on: Sequence[str], how: str,
     return kept.unionByName(moved)
 
 
-def dense_items(ids: DataFrame, vectors: DataFrame) -> DataFrame:
+def padding_rows(ids: DataFrame) -> DataFrame:
+    """Id 0 of each market, without an item."""
+    nothing = F.lit(None).cast(ids.schema[ITEM].dataType)
+    return ids.select(MARKET).distinct().select(MARKET, nothing.alias(ITEM), F.lit(0).cast("bigint").alias(IID))
+
+
+def dense_items(ids: DataFrame, vectors: DataFrame, include_padding: bool = False) -> DataFrame:
     """Features by dense id: every id of every market with its vector, NULL where there is none."""
-    return ids.select(*ITEM_KEY, IID).join(vectors.select(ITEM, VECTOR), ITEM, "left").select(MARKET, IID, ITEM, VECTOR)
+    rows = ids.select(MARKET, ITEM, IID)
+    if include_padding:
+        rows = rows.unionByName(padding_rows(ids))
+    return rows.join(vectors.select(ITEM, VECTOR), ITEM, "left").select(MARKET, IID, ITEM, VECTOR)

@@ -12,7 +12,7 @@ from xmseq.functions.vectors import dot
 from xmseq.model import ALPHA, BETA, IID, ITEM, ITEM_KEY, MARKET, TIME, USER_KEY, VECTOR
 from xmseq.operators.blocks import all_item_logsumexp
 from xmseq.operators.groups import total_order
-from xmseq.operators.lookup import lookup
+from xmseq.operators.lookup import lookup, padding_rows
 from xmseq.operators.scoring import SEQ_VECTOR
 from xmseq.operators.sequences import last_events
 from xmseq.storage import BROADCAST_BYTES, vector_table_bytes
@@ -33,32 +33,27 @@ def train_item_freq(
     """Training targets per item, from the interactions.
 
     All events less those that are no training target: each user's first, and the last two as far as they are test and
-    valid. Counts are added up before they move, and each task passes on three events of a user at most.
+    valid. Counts are added up before they move, and each task passes on five events of a user at most.
     """
     order = F.struct(*total_order(inter, [TIME, *ties], USER_KEY))
-    first = inter.groupBy(*USER_KEY).agg(
-        F.min_by(ITEM, order).alias(ITEM), F.count("*").alias("_n")
-    )
-    last = (
-        last_events(inter, ties, 2)
-        .select(*USER_KEY, ITEM, "back")
-        .join(first.select(*USER_KEY, "_n"), USER_KEY)
-        .where(F.col("_n") >= F.col("back") + 2)
-    )
-    less = first.select(*ITEM_KEY).unionAll(last.select(*ITEM_KEY)).withColumn("_by", F.lit(-1))
+    first = inter.groupBy(*USER_KEY).agg(F.min_by(ITEM, order).alias(ITEM))
+    # Four events tell whether a user has three, or four and more: one more than are left out.
+    events = F.array_sort(F.collect_list(F.struct("back", ITEM)))
+    last = last_events(inter, ties, 4).groupBy(*USER_KEY).agg(events.alias("_e"))
+    left_out = F.when(F.size("_e") >= 4, 2).when(F.size("_e") == 3, 1).otherwise(0)
+    last = last.select(MARKET, F.explode(F.slice("_e", 1, left_out)).alias("_x")).select(f"_x.{ITEM}", MARKET)
+    less = first.select(*ITEM_KEY).unionAll(last).withColumn("_by", F.lit(-1))
     both = inter.select(*ITEM_KEY).withColumn("_by", F.lit(1)).unionAll(less)
     counts = both.groupBy(*ITEM_KEY).agg(F.sum("_by").alias(FREQ))
     return _zero_filled(ids, counts, include_padding)
 
 
 def _zero_filled(ids: DataFrame, counts: DataFrame, include_padding: bool) -> DataFrame:
-    filled = ids.select(*ITEM_KEY, IID).join(counts, ITEM_KEY, "left")
-    out = filled.select(*ITEM_KEY, IID, F.coalesce(FREQ, F.lit(0).cast("bigint")).alias(FREQ))
+    rows = ids.select(MARKET, ITEM, IID)
     if include_padding:
-        nothing = F.lit(None).cast(ids.schema[ITEM].dataType).alias(ITEM)
-        zero = F.lit(0).cast("bigint")
-        out = out.unionByName(ids.select(MARKET).distinct().select(MARKET, nothing, zero.alias(IID), zero.alias(FREQ)))
-    return out
+        rows = rows.unionByName(padding_rows(ids))
+    freq = F.coalesce(FREQ, F.lit(0).cast("bigint"))
+    return rows.join(counts, ITEM_KEY, "left").select(*ITEM_KEY, IID, freq.alias(FREQ))
 
 
 def item_weights(freq: DataFrame, alpha: float = ALPHA, beta: float = BETA) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from xmseq.functions.dates import epoch_seconds
 from xmseq.functions.text import joined_text
 from xmseq.model import DESCRIPTION, ITEM, ITEM_KEY, MARKET, TEXT, TIME, TITLE, USER
+from xmseq.storage import pin
 
 
 def item_text(meta: DataFrame, item: str = ITEM, strict: bool = False) -> DataFrame:
@@ -113,13 +114,13 @@ def market_overlap(inter: DataFrame, column: str = ITEM) -> DataFrame:
 
     Items are first grouped by the set of markets they occur in; pairs are formed per distinct set, never per item.
     """
-    sets = (
+    sets = pin(
         inter.select(MARKET, column)
-        .distinct()
         .groupBy(column)
         .agg(F.array_sort(F.collect_set(MARKET)).alias("markets"))
         .groupBy("markets")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n")),
+        "market-sets",
     )
     one = sets.select(F.explode("markets").alias("a"), "markets", "n")
     pair = one.select("a", F.explode("markets").alias("b"), "n").where(F.col("a") <= F.col("b"))
