@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from catalog.queries import QUERIES
+from catalog.sql import SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -20,13 +22,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    ours = queries()[name](spark, SF).toPandas()
-    theirs = con.execute(oracle_sql()[name]).df()
+    ours = QUERIES[name](spark, SF).toPandas()
+    theirs = con.execute(SQL[name]).df()
     columns = sorted(ours.columns)
     assert columns == sorted(theirs.columns)
     assert len(ours) > 0
