@@ -5,21 +5,89 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from xmseq.llm import inverted
+from xmseq.llm import fingerprints, inverted, kneser_ney, language, lattice, lines, mixing, packing, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 or more between vectors of one label."""
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents and of their edited texts."""
+    return fingerprints.edit_report(table(spark, sf_dir, "documents"))
+
+
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kneser-Ney score of every document beside a unigram score, learnt from nine tenths of them."""
+    return kneser_ney.held_out_scores(table(spark, sf_dir, "documents"))
+
+
+#: Weights of the tree's nodes; those not named weigh 1.
+WEIGHTS = {"domain": {"d0": 5, "d1": 3, "d2": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}, "source": {"src0": 3}}
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """The tables have no domain: the number of a source, modulo 3, stands for one."""
+    number = F.regexp_extract("source", r"(\d+)$", 1)
+    return docs.withColumn("domain", F.when(number != "", F.concat(F.lit("d"), number.cast("bigint") % 3)))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a mixture of 60 % of all tokens reads each document."""
+    docs = with_domain(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(docs, F.expr("tokens * 6 div 10"), WEIGHTS, max_epochs=4, seed=1)
+    return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "uses")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of up to 1024 tokens."""
+    import public_tokenizers
+
+    pieces = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    # The ids of a piece are stored as little-endian 32-bit numbers.
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step")
+
+
 def op7_near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with 3-word shingle sets of Jaccard 0.85 or more."""
     return inverted.near_groups(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from three quarters of them."""
+    return language.held_out_languages(table(spark, sf_dir, "documents"))
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without runs of three lines that start earlier elsewhere."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lines.drop_repeated_lines(docs)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of 20-word windows that start earlier elsewhere."""
+    kept = substrings.drop_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lattice": op1_lattice,
+    "op2_fingerprints": op2_fingerprints,
+    "op3_kneser_ney": op3_kneser_ney,
+    "op4_mixing": op4_mixing,
+    "op6_packing": op6_packing,
     "op7_near_groups": op7_near_groups,
+    "op8_language": op8_language,
+    "op9_substrings": op9_substrings,
+    "op10_lines": op10_lines,
 }
 
 SQL: dict[str, str] = {}
