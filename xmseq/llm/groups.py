@@ -17,7 +17,9 @@ def by_group(
     `starts` holds the first row of each group and the number of rows. The caller bounds the groups; a task holds the
     groups of one Arrow batch, plus the one that goes on in the next.
     """
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    # A fixed number of partitions: rows here are few but costly, and would be merged by their bytes.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -328,7 +328,9 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     )
     groups = pin(components(candidate_links(classes.select("rep", "signature"), m)), "candidate-groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    texts = docs.withColumnRenamed("doc_id", "node").join(groups, "node").join(sizes, "component")
+    sized = groups.join(sizes, "component")
+    # Texts are shuffled at every size: whether the groups could be broadcast depends on the data.
+    texts = docs.withColumnRenamed("doc_id", "node").join(sized.hint("merge"), "node")
     members = pin(texts.select(F.col("component").alias("g1"), F.col("node").alias("rep"), "text", "n"), "group-texts")
     parts = F.ceil(F.col("n") / GROUP)
     own = F.pmod(F.xxhash64("rep"), parts)

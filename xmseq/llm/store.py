@@ -34,13 +34,14 @@ def components(links: DataFrame, u: str = "u", v: str = "v", node: str = "node",
         before = seen
         # Large star: neighbours above a node go to the smallest of its neighbours and itself.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # As a table, so that Spark may split the rows of a node with many links in the join.
+        least = pin(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = (
             both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         )
         large = pin(large, "large-star")
         # Small star: a node and its neighbours below it go to the smallest of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = pin(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         edges = pin(small.where("a > b").distinct(), "small-star")
     else:
