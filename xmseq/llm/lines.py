@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from xmseq.llm.store import unused
 from xmseq.llm.words import hashes, mix, rolling, runs, slices, text_bytes
 from xmseq.storage import pin
 
@@ -99,12 +100,13 @@ def drop_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*names)
-    late = repeated_windows(docs.select("doc_id", "text"), run).withColumnRenamed("starts", "_starts")
+    extra = unused(docs, "starts")
+    late = repeated_windows(docs.select("doc_id", "text"), run).withColumnRenamed("starts", extra)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, total, gone = [], [], []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("_starts").to_pylist(), strict=True):
+            for text, starts in zip(batch.column("text").to_pylist(), batch.column(extra).to_pylist(), strict=True):
                 if text is None:
                     texts.append(None)
                     total.append(0)
@@ -122,4 +124,4 @@ def drop_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     added = [T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed")]
     schema = T.StructType([*docs.schema.fields, *added])
     # Texts are shuffled at every size: whether the starts could be broadcast depends on the data.
-    return docs.join(late.hint("merge"), "doc_id", "left").select(*names, "_starts").mapInArrow(cut, schema)
+    return docs.join(late.hint("merge"), "doc_id", "left").select(*names, extra).mapInArrow(cut, schema)

@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from xmseq.llm.store import unused
 from xmseq.storage import pin
 
 LEVELS = ("domain", "lang", "source")
@@ -116,8 +117,12 @@ def same_leaf() -> Column:
 
 def with_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """`docs` with the plan of their leaf. Spark broadcasts the plan, one row per leaf, if that is small, else shuffles."""
-    named = plan.withColumnsRenamed({c: f"_{c}" for c in LEVELS})
-    return docs.join(named, same_leaf()).drop(*[f"_{c}" for c in LEVELS])
+    names = {c: unused(docs, f"plan_{c}") for c in LEVELS}
+    plan = plan.withColumnsRenamed(names)
+    match = F.lit(True)
+    for c, other in names.items():
+        match = match & docs[c].eqNullSafe(plan[other])
+    return docs.join(plan, match).drop(*names.values())
 
 
 def mix(
@@ -138,7 +143,8 @@ def mix(
     """
     docs = docs.drop("n_tokens", "uses").withColumn("n_tokens", token_count(text))
     plan = leaf_plan(docs, budget, weights or {}, max_epochs, seed)
-    rows = with_plan(docs, plan.withColumnsRenamed({"tokens": "_tokens", "budget": "_budget", "epochs": "_epochs", "last": "_last"}))
-    place = F.struct(order_key(seed, F.col("_epochs")).alias("key"), F.col("doc_id").alias("doc_id"))
-    more = F.coalesce((place <= F.col("_last")) & (F.col("_epochs") * F.col("_tokens") < F.col("_budget")), F.lit(False))
-    return rows.withColumn("uses", F.col("_epochs") + more.cast("bigint")).drop("_tokens", "_budget", "_epochs", "_last")
+    tokens, room, epochs, last = (unused(docs, c) for c in ("plan_tokens", "plan_budget", "plan_epochs", "plan_last"))
+    rows = with_plan(docs, plan.withColumnsRenamed({"tokens": tokens, "budget": room, "epochs": epochs, "last": last}))
+    place = F.struct(order_key(seed, F.col(epochs)).alias("key"), F.col("doc_id").alias("doc_id"))
+    more = F.coalesce((place <= F.col(last)) & (F.col(epochs) * F.col(tokens) < F.col(room)), F.lit(False))
+    return rows.withColumn("uses", F.col(epochs) + more.cast("bigint")).drop(tokens, room, epochs, last)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xmseq.llm import fingerprints, inverted, kneser_ney, language, lattice, lines, mixing, packing, substrings
+from xmseq.llm import fingerprints, inverted, kneser_ney, language, lattice, lines, mixing, packing, substrings, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,20 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "uses")
 
 
+RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page by its url and its aliases."""
+    return urls.judge(table(spark, sf_dir, "pages"), urls.rules_table(spark, RULES))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of up to 1024 tokens."""
     import public_tokenizers
@@ -83,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_kneser_ney": op3_kneser_ney,
     "op4_mixing": op4_mixing,
+    "op5_urls": op5_urls,
     "op6_packing": op6_packing,
     "op7_near_groups": op7_near_groups,
     "op8_language": op8_language,
@@ -90,4 +105,125 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lines": op10_lines,
 }
 
-SQL: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def case(level: str) -> str:
+    """Weight of a node in SQL."""
+    whens = " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS[level].items())
+    return f"CASE {level} {whens} ELSE 1 END"
+
+
+def fill(level: str, parent: str, names: str) -> str:
+    """The shares of one level of the tree, in the same whole numbers."""
+    by = f"PARTITION BY {parent}" if parent else ""
+    match = " AND ".join(f"n.{c} IS NOT DISTINCT FROM p.{c}" for c in parent.split(", ")) if parent else "true"
+    above = {"domain": "root", "lang": "b_domain", "source": "b_lang"}[level]
+    own = ", ".join(f"n.{c}" for c in names.split(", "))
+    return f"""
+      n_{level} AS (
+        SELECT {own}, n.capacity, n.weight, p.budget
+        FROM (SELECT {names}, sum(capacity)::hugeint AS capacity, ({case(level)})::hugeint AS weight FROM leaves GROUP BY {names}) n
+        JOIN {above} p ON {match}),
+      f_{level} AS (
+        SELECT *, capacity * sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+          <= (budget - coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight AS full_
+        FROM n_{level} WINDOW w AS ({by} ORDER BY capacity::double / weight::double, {level} NULLS FIRST)),
+      b_{level} AS (
+        SELECT {names}, CASE WHEN full_ THEN capacity ELSE least(capacity,
+            ((budget - coalesce(sum(capacity) FILTER (full_) OVER ({by}), 0)) * weight
+              // coalesce(sum(weight) FILTER (NOT full_) OVER ({by}), 1))::hugeint) END AS budget
+        FROM f_{level})"""
+
+
+MIXING_SQL = f"""
+    WITH docs AS (
+      SELECT doc_id, lang, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint AS n_tokens,
+        CASE WHEN regexp_matches(source, '[0-9]+$') THEN 'd' || (regexp_extract(source, '([0-9]+)$', 1)::bigint % 3)::varchar END AS domain
+      FROM documents),
+      leaves AS (SELECT domain, lang, source, sum(n_tokens)::hugeint AS tokens, (sum(n_tokens) * 4)::hugeint AS capacity FROM docs GROUP BY ALL),
+      root AS (SELECT least(sum(capacity), sum(tokens) * 6 // 10)::hugeint AS budget FROM leaves),
+      {fill("domain", "", "domain")},
+      {fill("lang", "domain", "domain, lang")},
+      {fill("source", "domain, lang", "domain, lang, source")},
+      plan AS (
+        SELECT b.*, l.tokens, CASE WHEN l.tokens = 0 THEN 0 ELSE b.budget // l.tokens END::bigint AS epochs
+        FROM b_source b JOIN leaves l ON b.domain IS NOT DISTINCT FROM l.domain AND b.lang IS NOT DISTINCT FROM l.lang
+          AND b.source IS NOT DISTINCT FROM l.source),
+      keyed AS (
+        SELECT d.*, p.budget, p.tokens, p.epochs, md5('1:' || p.epochs || ':' || coalesce(d.doc_id::varchar, '')) AS key
+        FROM docs d JOIN plan p ON d.domain IS NOT DISTINCT FROM p.domain AND d.lang IS NOT DISTINCT FROM p.lang
+          AND d.source IS NOT DISTINCT FROM p.source)
+    SELECT doc_id, domain, lang, source, n_tokens, (epochs + CASE WHEN epochs * tokens < budget AND
+        sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id) <= budget - epochs * tokens
+      THEN 1 ELSE 0 END)::bigint AS uses
+    FROM keyed"""
+
+LINES_SQL = f"""
+    WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+      numbered AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM split),
+      counted AS (
+        SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM numbered
+        WHERE regexp_matches(line, '{WORD}')),
+      runs AS (
+        SELECT doc_id, n, line || chr(10) || lead(line) OVER w || chr(10) || lead(line, 2) OVER w AS run
+        FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+      ranked AS (
+        SELECT doc_id, n, row_number() OVER (PARTITION BY run ORDER BY doc_id, n) AS k FROM runs WHERE run IS NOT NULL),
+      gone AS (SELECT DISTINCT doc_id, n + j AS n FROM ranked, (SELECT unnest([0, 1, 2]) AS j) WHERE k > 1),
+      drops AS (SELECT c.doc_id, c.i FROM counted c JOIN gone USING (doc_id, n)),
+      kept AS (
+        SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM numbered ANTI JOIN drops USING (doc_id, i) GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(c.n, 0)::bigint AS n_lines, coalesce(g.n, 0)::bigint AS n_removed,
+      CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(k.text, '')) END AS kept_sha256
+    FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM counted GROUP BY 1) c USING (doc_id)
+      LEFT JOIN (SELECT doc_id, count(*) AS n FROM drops GROUP BY 1) g USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
+
+
+def value(tag: str, name: str) -> str:
+    """Value of an attribute of a tag in SQL."""
+    pattern = rf"""(?i)[\s"'']{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))"""
+    return "(" + " || ".join(f"regexp_extract({tag}, '{pattern}', {i})" for i in (1, 2, 3)) + ")"
+
+
+HOST, PATH = "lower(regexp_extract({0}, '^[^/?#]*'))", "regexp_extract({0}, '^[^/?#]*([^?#]*)', 1)"
+KEY = "lower(regexp_extract({0}, '^[^/?#]*')) || regexp_extract({0}, '^[^/?#]*([^#]*)', 1)"
+REST = "CASE WHEN instr({0}, '://') > 0 THEN substr({0}, instr({0}, '://') + 3) END"
+RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+
+URLS_SQL = rf"""
+    WITH RECURSIVE rules(verdict, host, path) AS (VALUES {RULE_ROWS}),
+      pages_ AS (
+        SELECT page_id, url, html, {REST.format("url")} AS rest FROM pages),
+      p AS (
+        SELECT page_id, url, html, coalesce({HOST.format("rest")}, '') AS host, coalesce({PATH.format("rest")}, '') AS path, {KEY.format("rest")} AS key
+        FROM pages_),
+      tags AS (SELECT key, url, host, path, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE key IS NOT NULL),
+      aims AS (
+        SELECT key, url, host, path, trim(CASE
+          WHEN list_contains(regexp_split_to_array(lower(trim({value("tag", "rel")})), '\s+'), 'canonical') THEN {value("tag", "href")}
+          WHEN lower(trim({value("tag", "http-equiv")})) = 'refresh'
+            THEN regexp_extract({value("tag", "content")}, '(?i);\s*url\s*=\s*[''"]?([^''"]*)', 1) END) AS aim
+        FROM tags),
+      whole AS (
+        SELECT key, CASE WHEN regexp_matches(aim, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN aim
+            WHEN starts_with(aim, '//') THEN 'http:' || aim WHEN starts_with(aim, '/') THEN 'http://' || host || aim
+            WHEN starts_with(aim, '?') THEN 'http://' || host || path || aim WHEN starts_with(aim, '#') THEN url
+            ELSE 'http://' || host || CASE WHEN regexp_extract(path, '^(.*/)?') = '' THEN '/' ELSE regexp_extract(path, '^(.*/)?') END || aim END AS target
+        FROM aims WHERE aim <> ''),
+      far AS (SELECT key, {REST.format("target")} AS rest FROM whole),
+      links AS (SELECT key, {KEY.format("rest")} AS other, {HOST.format("rest")} AS host, {PATH.format("rest")} AS path FROM far WHERE rest IS NOT NULL),
+      both_ AS (SELECT key AS a, other AS b FROM links WHERE key <> other UNION SELECT other, key FROM links WHERE key <> other),
+      reach(node, seen) AS (SELECT DISTINCT a, a FROM both_ UNION SELECT r.node, b FROM reach r JOIN both_ ON r.seen = a),
+      groups_ AS (SELECT node AS key, min(seen) AS component FROM reach GROUP BY node),
+      nodes AS (SELECT key, host, path FROM p WHERE key IS NOT NULL UNION SELECT other, host, path FROM links),
+      fits AS (
+        SELECT n.key, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY n.key ORDER BY length(r.host || r.path) DESC, r.host || r.path, r.verdict DESC) AS k
+        FROM nodes n JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path)),
+      ruled AS (SELECT key, rule, verdict FROM fits WHERE k = 1),
+      spoken AS (
+        SELECT component, bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow') AS bad FROM groups_ JOIN ruled USING (key) GROUP BY 1)
+    SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict, coalesce(component, key) AS alias
+    FROM p LEFT JOIN ruled USING (key) LEFT JOIN groups_ USING (key) LEFT JOIN spoken USING (component)"""
+
+SQL: dict[str, str] = {"op4_mixing": MIXING_SQL, "op5_urls": URLS_SQL, "op10_lines": LINES_SQL}

@@ -10,6 +10,14 @@ from xmseq.storage import pin
 MAX_ROUNDS = 64
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or the first name after it that `df` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(links: DataFrame, u: str = "u", v: str = "v", node: str = "node", component: str = "component") -> DataFrame:
     """Smallest node reachable from each node that has a link to another node.
 
