@@ -27,7 +27,7 @@ WINDOW = 20
 PREFIXES = (1, 2, 4, 8)
 BITS = 16
 TASK_WINDOWS = 2_000_000
-SLICE = 12 << 20
+SLICE = 5 << 20
 
 
 def windows_of(batch: pa.RecordBatch, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -71,23 +71,43 @@ def grouped(h: np.ndarray) -> np.ndarray:
     return order.astype(np.int64)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, byte by byte with as many bytes as the largest needs: planes of zeros are left to compress."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def from_planes(x: bytes) -> np.ndarray:
+    out = np.zeros(((len(x) - 1) // x[0], 8), np.uint8)
+    out[:, : x[0]] = np.frombuffer(x, np.uint8, offset=1).reshape(x[0], -1).T
+    return out.view("<i8").ravel()
+
+
 def pack(x: np.ndarray) -> bytes:
-    """Differences of a sequence of integers, byte by byte: small steps leave planes of zeros for Spark to compress."""
-    return np.diff(x.astype(np.int64), prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """A sequence of integers by its steps; steps down are odd."""
+    step = np.diff(x.astype(np.int64), prepend=0)
+    return planes(((step << 1) ^ (step >> 63)).view(np.uint64))
 
 
 def unpack(x: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel())
+    step = from_planes(x).view(np.uint64)
+    return np.cumsum((step >> np.uint64(1)).astype(np.int64) ^ -(step & np.uint64(1)).astype(np.int64))
 
 
 def packed(doc: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """(doc, start) rows sorted by doc: distinct docs, rows of each, starts."""
-    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-    return pack(doc[first]), pack(np.diff(np.append(first, len(doc)))), pack(start)
+    """(doc, start) rows, sorted: docs, rows of each, and starts as steps within a doc; one that starts again is listed again."""
+    first = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] < start[:-1])) if len(doc) else np.zeros(0, bool)
+    first = np.flatnonzero(first)
+    step = np.diff(start, prepend=0)
+    step[first] = start[first]
+    return pack(doc[first]), planes(np.diff(np.append(first, len(doc)))), planes(step)
 
 
 def unpacked(docs: bytes, counts: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(unpack(docs), unpack(counts)), unpack(starts)
+    counts, total = from_planes(counts), np.cumsum(from_planes(starts))
+    first = np.cumsum(counts) - counts
+    before = np.where(first > 0, total[first - 1], 0)
+    return np.repeat(unpack(docs), counts), total - np.repeat(before, counts)
 
 
 def plan_groups(docs: DataFrame, window: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -151,6 +171,7 @@ def repeats(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                     left = np.flatnonzero(task < 0)
                     bins = prefix_bin(h, at[left], k)
                     task[left] = np.where(longer[i][bins], -1, task_of[i][bins])
+                del order
                 new = np.flatnonzero(~again)
                 new = new[np.argsort(task[new].astype(np.uint16 if task_of.max() < 1 << 16 else np.int32), kind="stable")]
                 cuts = np.flatnonzero(np.append(True, task[new][1:] != task[new][:-1]))
