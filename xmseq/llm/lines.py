@@ -27,9 +27,9 @@ def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """Start and end byte of each line, whether it has anything but white space, and the lines of each row."""
     breaks = np.flatnonzero(data == 10)
     row_ends = offsets[1:]
-    # A break that is the last byte of a row still opens a last, empty line.
     ends = np.append(breaks, row_ends)
-    order = np.argsort(ends * 2 + np.append(np.zeros(len(breaks), np.int64), np.ones(len(row_ends), np.int64)), kind="stable")
+    # A break right behind the end of a row belongs to the next one.
+    order = np.argsort(ends * 2 + np.append(np.ones(len(breaks), np.int64), np.zeros(len(row_ends), np.int64)), kind="stable")
     ends = ends[order]
     is_last = order >= len(breaks)
     counts = np.diff(np.flatnonzero(is_last), prepend=-1)

@@ -259,7 +259,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 held, order = [], np.lexsort((start, doc))
                 doc, start = doc[order], start[order]
                 first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-                index = dict(zip(doc[first].tolist(), zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True), strict=True))
+                last = np.append(first[1:], len(doc))[: len(first)]
+                index = dict(zip(doc[first].tolist(), zip(first.tolist(), last.tolist(), strict=True), strict=True))
             for at in range(0, rows.num_rows, 1024):
                 part = rows.slice(at, 1024)
                 out = []
