@@ -59,6 +59,11 @@ def text_of(seq: str) -> Column:
     return F.array_join(seq, " ")
 
 
+def digits_of(vector: str) -> Column:
+    """All places of a vector as whole millionths, in one text."""
+    return F.array_join(F.transform(vector, lambda x: F.round(x.cast("double") * 1e6).cast("bigint")), " ")
+
+
 def parts_of(vector: str, *key: str) -> list[Column]:
     """A vector in long form."""
     return [*map(F.col, key), F.posexplode(vector).alias("place", "value")]
@@ -100,8 +105,8 @@ def interactions(spark, sf):
 
 @query
 def coverage_report(spark, sf):
-    """Purchased items against the metadata that has a description."""
-    return prep.coverage_report(prep.all_items(t.purchases(spark, sf)), t.described(spark, sf))
+    """Purchased items against metadata that lacks some, repeats some, and lacks some titles and descriptions."""
+    return prep.coverage_report(prep.all_items(t.purchases(spark, sf)), t.flawed_metadata(spark, sf))
 
 
 @query
@@ -241,10 +246,51 @@ def ce_loss_padded(spark, sf):
 def wce_loss(spark, sf):
     inter = t.stored_purchases(spark, sf)
     weights = losses.item_weights(losses.train_item_freq(inter, sequences.item_ids(inter), t.TIES))
-    rows = losses.with_weights(target_nll(spark, sf, inter), weights)
+    rows = losses.with_weights(target_nll(spark, sf, inter), pin(weights, "weights"))
+    return losses.wce_loss(rows, [MARKET]).withColumn("loss", r6("loss"))
+
+
+def train_rows(spark, sf, inter):
+    """Every training target with the item before it: the vector of that stands for the sequence."""
+    rows = sequences.loo_split(sequences.build_sequences(inter, t.TIES, max_len=1))
+    return rows.where(F.col(PHASE) == sequences.TRAIN).select(*USER_KEY, POS, ITEM, SEQ)
+
+
+def train_nll(spark, sf, inter):
+    """nll of the training rows over the items of their market."""
+    vectors_ = t.item_vectors(spark, sf)
+    items = pin(prep.market_items(vectors_, inter), "market-items")
+    encoded = last_item_encoder(vectors_)(train_rows(spark, sf, inter)).drop(SEQ)
+    return losses.all_item_nll(encoded, items, [*USER_KEY, POS])
+
+
+@query
+def train_ce_loss(spark, sf):
+    return losses.ce_loss(train_nll(spark, sf, t.stored_purchases(spark, sf)), [MARKET]).withColumn("loss", r6("loss"))
+
+
+@query
+def train_wce_loss(spark, sf):
+    inter = t.stored_purchases(spark, sf)
+    weights = losses.item_weights(losses.train_item_freq(inter, sequences.item_ids(inter), t.TIES))
+    rows = losses.with_weights(train_nll(spark, sf, inter), pin(weights, "weights"))
     return losses.wce_loss(rows, [MARKET]).withColumn("loss", r6("loss"))
 
 
+@query
+def train_bpr_loss(spark, sf):
+    """One negative for each training row."""
+    inter, vectors_ = t.stored_purchases(spark, sf), t.item_vectors(spark, sf)
+    ids = sequences.item_ids(inter)
+    drawn = sampling.uniform_negatives(train_rows(spark, sf, inter), ids, 1, key=(MARKET, USER, POS))
+    encoded = last_item_encoder(vectors_)(drawn)
+    pair = encoded.select(MARKET, scoring.SEQ_VECTOR, F.concat(F.array(IID), sampling.NEGATIVES).alias(scoring.CANDIDATES))
+    found = scoring.score_candidates(pair, ids, vectors_).select(
+        MARKET, F.get(scoring.SCORES, F.lit(0)).alias("pos_score"), F.get(scoring.SCORES, F.lit(1)).alias("neg_score")
+    )
+    return losses.bpr_loss(found, [MARKET]).withColumn("loss", r6("loss"))
+
+
 def scored(spark, sf, n=99):
     vectors_ = t.item_vectors(spark, sf)
     return scored_targets(t.stored_purchases(spark, sf), vectors_, last_item_encoder(vectors_), t.TIES, n=n)
@@ -260,8 +306,9 @@ def scored_long(spark, sf):
 
 @query
 def log_softmax(spark, sf):
-    found = losses.log_softmax(scored_long(spark, sf), KEY)
-    return found.select(*USER_KEY, "candidate", r6("log_p").alias("log_p"))
+    log_p = losses.array_log_softmax(F.col(scoring.SCORES)).alias("log_p")
+    rows = scored(spark, sf).select(*USER_KEY, F.inline(F.arrays_zip(F.col(scoring.CANDIDATES).alias("candidate"), log_p)))
+    return rows.select(*USER_KEY, "candidate", r6("log_p").alias("log_p"))
 
 
 @query
@@ -296,7 +343,7 @@ def unseen_negatives(spark, sf):
 @query
 def pair_scores(spark, sf):
     """Every event's item scored by the item before it."""
-    rows, vectors_ = sequences.build_sequences(t.purchases(spark, sf), t.TIES, max_len=1), t.item_vectors(spark, sf)
+    rows, vectors_ = sequences.build_sequences(t.stored_purchases(spark, sf), t.TIES, max_len=1), t.item_vectors(spark, sf)
     scored_pairs = scoring.score_pairs(last_item_encoder(vectors_)(rows), vectors_, digits=None)
     return scored_pairs.select(*USER_KEY, POS, ITEM, r6("score").alias("score"))
 
@@ -305,7 +352,7 @@ def pair_scores(spark, sf):
 def vector_lookup(spark, sf):
     rows = t.purchases(spark, sf).select(*USER_KEY, ITEM)
     found = lookup_vectors(rows, t.item_vectors(spark, sf))
-    return found.select(*USER_KEY, ITEM, *[r6(F.get(VECTOR, F.lit(i)).cast("double")).alias(f"v{i}") for i in (0, 63)])
+    return found.select(*USER_KEY, ITEM, digits_of(VECTOR).alias("v"))
 
 
 @query
@@ -314,7 +361,7 @@ def dense_item_features(spark, sf):
     inter = t.stored_purchases(spark, sf)
     some = prep.keep_items(t.item_vectors(spark, sf), t.described(spark, sf))
     found = dense_items(sequences.item_ids(inter), some, include_padding=True)
-    return found.select(MARKET, IID, r6(F.get(VECTOR, F.lit(0)).cast("double")).alias("v0"))
+    return found.select(MARKET, IID, digits_of(VECTOR).alias("v"))
 
 
 @query
@@ -343,8 +390,8 @@ def metric_report(spark, sf):
 
 @query
 def best_run(spark, sf):
-    """The market with the best MRR@10, each market taken as a run."""
-    runs = ranking_metrics(spark, sf).withColumnRenamed(MARKET, "run")
+    """The market with the best MRR@10 on the validation rows, each market taken as a run."""
+    runs = validation_metrics(spark, sf).withColumnRenamed(MARKET, "run")
     return metrics.best_run(runs)
 
 
@@ -380,7 +427,7 @@ def text_vectors(spark, sf):
 def item_text_vectors(spark, sf):
     texts = prep.item_text(t.metadata(spark, sf))
     found = vectors.text_vectors(texts, DIM)
-    return found.select(ITEM, text_of(F.transform(VECTOR, lambda x: F.when(x > 0, "1").otherwise("0"))).alias("used"))
+    return found.select(ITEM, digits_of(VECTOR).alias("v"))
 
 
 @query
@@ -395,7 +442,10 @@ def attention_top_item(spark, sf):
     """The past item weighing most for each user."""
     seqs = sequences.latest_sequence(t.purchases(spark, sf), t.TIES)
     found = vectors.attention_weights(seqs, t.item_vectors(spark, sf))
-    return found.groupBy(*USER_KEY).agg(r6(F.max("weight")).alias("top_weight"))
+    # Equal weights go to the later place.
+    top = F.max_by(F.struct(ITEM, "place"), F.struct(r6("weight"), "place")).alias("top")
+    best = found.groupBy(*USER_KEY).agg(top, r6(F.max("weight")).alias("top_weight"))
+    return best.select(*USER_KEY, F.col(f"top.{ITEM}").alias(ITEM), long("top.place").alias("place"), "top_weight")
 
 
 @query
@@ -412,7 +462,7 @@ def encode_sequences(spark, sf):
     """The attention encoder with adapters, on each user's latest sequence."""
     rows = sequences.latest_sequence(t.purchases(spark, sf), t.TIES)
     model = t.model_params(spark, sf)
-    encoded = encoder.encode_sequences(rows, t.item_vectors(spark, sf), model, act="swish", key=USER_KEY)
+    encoded = encoder.encode_sequences(rows, t.item_vectors(spark, sf), model, key=USER_KEY)
     return encoded.select(*parts_of(scoring.SEQ_VECTOR, *USER_KEY)).select(
         *USER_KEY, long("place").alias("place"), r6("value").alias("value")
     )
@@ -426,11 +476,35 @@ def encoder_metrics(spark, sf):
     model = pin(params.transfer(t.model_params(spark, sf), given), "transferred")
 
     def encode(rows):
-        return encoder.encode_sequences(rows, vectors_, model, act="swish")
+        return encoder.encode_sequences(rows, vectors_, model)
 
     return sampled_evaluation(t.stored_purchases(spark, sf), vectors_, encode, t.TIES)
 
 
+def encoded_targets(spark, sf, inter, vectors_):
+    """The test rows with the encoder's output."""
+    rows = sequences.target_rows(inter, t.TIES).withColumn(PHASE, F.lit(sequences.TEST))
+    return encoder.encode_sequences(rows, vectors_, t.model_params(spark, sf)).drop(SEQ, LENGTH)
+
+
+@query
+def encoder_ce_loss(spark, sf):
+    """Mean nll of the test rows over the items of their market, scored by the encoder's output."""
+    inter, vectors_ = t.stored_purchases(spark, sf), t.item_vectors(spark, sf)
+    items = pin(prep.market_items(vectors_, inter), "market-items")
+    rows = losses.all_item_nll(encoded_targets(spark, sf, inter, vectors_), items, KEY)
+    return losses.ce_loss(rows, [MARKET]).withColumn("loss", r6("loss"))
+
+
+@query
+def encoder_top_items(spark, sf):
+    """The ten best items of the market for each user's test sequence, by the encoder's output."""
+    inter, vectors_ = t.stored_purchases(spark, sf), t.item_vectors(spark, sf)
+    items = pin(prep.market_items(vectors_, inter), "market-items")
+    top = full_sort_topk(encoded_targets(spark, sf, inter, vectors_), items, 10, USER_KEY, digits=6)
+    return top.select(*USER_KEY, ITEM, "score", long("rank").alias("rank"))
+
+
 def whole_layers(spark, sf):
     """Parameters of the layers that the given vectors fill completely: 192 rows each."""
     given = t.layered_params(spark, sf).withColumn("layer", F.regexp_extract("name", r"layer\.(\d+)", 1))
@@ -441,13 +515,15 @@ def whole_layers(spark, sf):
 @query
 def select_weights(spark, sf):
     chosen = params.select_weights(t.layered_params(spark, sf))
-    return chosen.select("weight", long("row").alias("row"), r6(F.get("values", F.lit(0)).cast("double")).alias("v0"))
+    return chosen.select("weight", long("row").alias("row"), digits_of("values").alias("v"))
 
 
 @query
 def transfer_weights(spark, sf):
-    model = params.transfer(t.model_params(spark, sf), params.select_weights(t.layered_params(spark, sf)))
-    return model.select("name", long("row").alias("row"), r6(F.get("values", F.lit(0)).cast("double")).alias("v0"))
+    """Query, key and value matrices of the highest whole layer in place of the model's own."""
+    given = params.select_weights(whole_layers(spark, sf), ("query", "key", "value"))
+    model = params.transfer(t.model_params(spark, sf), given)
+    return model.select("name", long("row").alias("row"), digits_of("values").alias("v"))
 
 
 # ---- files
@@ -466,7 +542,7 @@ def vector_text(spark, sf):
 def vector_file(spark, sf):
     path = export_vectors(t.item_vectors(spark, sf), shared_path(spark, "item-emb"))
     found = prepared.read_vectors(spark, path)
-    return found.select(long(ITEM).alias(ITEM), r6(F.get(VECTOR, F.lit(63)).cast("double")).alias("v63"))
+    return found.select(long(ITEM).alias(ITEM), digits_of(VECTOR).alias("v"))
 
 
 def all_markets(spark, df, export, pick):
@@ -487,20 +563,18 @@ def prepared_interactions(spark, sf):
 
 @query
 def prepared_items(spark, sf):
-    v0 = r6(F.get(VECTOR, F.lit(0)).cast("double")).alias("v0")
     items = prep.market_items(t.item_vectors(spark, sf), t.purchases(spark, sf))
     found = all_markets(spark, items, export_items, prepared.read_items)
-    return found.select(MARKET, long(ITEM).alias(ITEM), v0)
+    return found.select(MARKET, long(ITEM).alias(ITEM), digits_of(VECTOR).alias("v"))
 
 
 @query
 def master_table(spark, sf):
-    """Rows per market of the partitioned master."""
+    """The rows of the partitioned master."""
     path = shared_path(spark, "master")
     write_master(t.purchases(spark, sf), path)
-    return spark.read.parquet(path).groupBy(F.col(MARKET).cast("string").alias(MARKET)).agg(
-        F.count("*").alias("n_rows"), F.sum(TIME).alias("sum_ts")
-    )
+    found = spark.read.parquet(path)
+    return found.select(F.col(MARKET).cast("string").alias(MARKET), USER, ITEM, TIME, *map(long, t.TIES))
 
 
 @query
@@ -546,4 +620,4 @@ def params_file(spark, sf):
     path = shared_path(spark, "params")
     t.layered_params(spark, sf).write.parquet(path)
     found = prepared.read_params(spark, path)
-    return found.select("name", long("row").alias("row"), r6(F.get("values", F.lit(1)).cast("double")).alias("v1"))
+    return found.select("name", long("row").alias("row"), digits_of("values").alias("v"))

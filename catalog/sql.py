@@ -165,6 +165,11 @@ def _with(names: str, blocks: dict[str, tuple[list[str], str]]) -> str:
     return "with " + ",\n".join(f"{n} as ({blocks[n][1]})" for n in done) + "\n"
 
 
+def digits(vector: str) -> str:
+    """All places of a vector as whole millionths, in one text."""
+    return f"array_to_string(list_transform({vector}, lambda x: cast(round(x * 1e6) as bigint)), ' ')"
+
+
 def define(name: str, names: str, select: str, extra: dict[str, tuple[list[str], str]] | None = None) -> None:
     SQL[name] = (_with(names, BLOCKS | (extra or {})) if names else "") + select
 
@@ -185,9 +190,16 @@ define("interactions", "purchases", "select market, user_id, item_id, ts_sec fro
 define(
     "coverage_report",
     "purchases metadata",
-    """select count(*) as n_items, count(*) filter (item_id not in (select item_id from metadata
-        where len(description) > 0)) as n_missing, 0::bigint as n_duplicated,
-    0::bigint as n_no_title, 0::bigint as n_no_description from (select distinct item_id from purchases)""",
+    """, flawed as (select item_id, case when item_id % 50 <> 11 then title end as title,
+        case when item_id % 50 <> 13 then description end as description
+        from metadata, range(2) r(again) where item_id % 50 <> 7 and (again = 0 or item_id % 50 = 3)),
+    bought as (select distinct item_id from purchases)
+    select (select count(*) from bought) as n_items,
+    (select count(*) from bought where item_id not in (select item_id from flawed)) as n_missing,
+    (select count(*) from (select item_id from flawed where item_id in (select item_id from bought)
+        group by 1 having count(*) > 1)) as n_duplicated,
+    (select count(*) from flawed where title is null and item_id in (select item_id from bought)) as n_no_title,
+    (select count(*) from flawed where description is null and item_id in (select item_id from bought)) as n_no_description""",
 )
 define(
     "missing_items",
@@ -253,9 +265,10 @@ define(
 define("loo_split", "split", "select market, user_id, pos, item_id, phase from split")
 define(
     "target_rows",
-    "split prefixes",
-    """select s.market, s.user_id, s.phase, s.item_id, array_to_string(p.seq, ' ') as seq from split s
-    join prefixes p on p.market = s.market and p.user_id = s.user_id and p.pos = s.pos where s.phase <> 'train'""",
+    "prefixes",
+    """select market, user_id, case when pos = n_events then 'test' else 'valid' end as phase, item_id,
+    array_to_string(seq, ' ') as seq from prefixes
+    where (pos = n_events and n_events >= 3) or (pos = n_events - 1 and n_events >= 4)""",
 )
 define("latest_sequence", "latest", "select market, user_id, array_to_string(seq, ' ') as seq, n as item_length from latest")
 define("item_ids", "ids", "select market, item_id, iid, n_items from ids")
@@ -276,6 +289,56 @@ define(
     """select market, count(*) as n_rows, round(sum(weight * (lse - own)) / sum(weight), 6) + 0.0 as loss
     from nll join weights using (market, item_id) group by 1""",
 )
+# Rows with the same last item share their sum over all items.
+_TRAIN = {
+    "train": (
+        ["positions", "split"],
+        """select s.*, before from split s join (select market, user_id, pos,
+            lag(item_id) over (partition by market, user_id order by pos) as before from positions) b
+        using (market, user_id, pos) where phase = 'train'""",
+    ),
+    "sums": (
+        ["train", "ids", "vectors"],
+        """select t.market, t.before, ln(sum(exp(list_dot_product(a.v, b.v)))) as lse
+        from (select distinct market, before from train) t join vectors a on a.item_id = t.before
+        join ids on ids.market = t.market join vectors b on b.item_id = ids.item_id group by all""",
+    ),
+    "train_nll": (
+        ["train", "sums", "vectors"],
+        """select t.market, t.item_id, lse - list_dot_product(a.v, b.v) as nll from train t
+        join sums using (market, before) join vectors a on a.item_id = t.before join vectors b on b.item_id = t.item_id""",
+    ),
+    "train_drawn": (
+        ["train", "ids", "vectors"],
+        """select t.market, p.v as pos_v, a.v as seq_v, iid,
+        cast('0x' || substr(md5('7|' || t.market || '|' || user_id || '|' || pos || '|1'), 1, 15) as bigint)
+            % (n_items - 1) + 1 as place
+        from train t join ids using (market, item_id) join vectors a on a.item_id = t.before
+        join vectors p on p.item_id = t.item_id""",
+    ),
+}
+define(
+    "train_ce_loss",
+    "train_nll",
+    "select market, count(*) as n_rows, round(avg(nll), 6) + 0.0 as loss from train_nll group by 1",
+    _TRAIN,
+)
+define(
+    "train_wce_loss",
+    "train_nll weights",
+    """select market, count(*) as n_rows, round(sum(weight * nll) / sum(weight), 6) + 0.0 as loss
+    from train_nll join weights using (market, item_id) group by 1""",
+    _TRAIN,
+)
+define(
+    "train_bpr_loss",
+    "train_drawn ids vectors",
+    """select d.market, count(*) as n_rows, round(avg(ln(1.0 + exp(
+        round(list_dot_product(seq_v, n.v), 9) - round(list_dot_product(seq_v, pos_v), 9)))), 6) + 0.0 as loss
+    from train_drawn d join ids on ids.market = d.market and ids.iid = case when place >= d.iid then place + 1 else place end
+    join vectors n on n.item_id = ids.item_id group by 1""",
+    _TRAIN,
+)
 define(
     "log_softmax",
     "scored",
@@ -305,22 +368,22 @@ define(
 define(
     "pair_scores",
     "positions vectors",
-    """select b.market, b.user_id, b.pos, b.item_id, round(list_dot_product(va.v, vb.v), 6) + 0.0 as score
-    from positions a join positions b on a.market = b.market and a.user_id = b.user_id and a.pos = b.pos - 1
-    join vectors va on va.item_id = a.item_id join vectors vb on vb.item_id = b.item_id""",
+    """, pairs as (select market, user_id, pos, item_id, lag(item_id) over (partition by market, user_id order by pos) as before
+        from positions)
+    select market, user_id, pos, b.item_id, round(list_dot_product(va.v, vb.v), 6) + 0.0 as score
+    from pairs b join vectors va on va.item_id = before join vectors vb on vb.item_id = b.item_id""",
 )
 define(
     "vector_lookup",
     "purchases vectors",
-    """select market, user_id, item_id, round(v[1], 6) + 0.0 as v0, round(v[64], 6) + 0.0 as v63
-    from purchases join vectors using (item_id)""",
+    f"select market, user_id, item_id, {digits('v')} as v from purchases join vectors using (item_id)",
 )
 define(
     "dense_item_features",
     "ids vectors metadata",
-    """select market, iid, round(v[1], 6) + 0.0 as v0 from ids left join (select * from vectors
+    f"""select market, iid, {digits('v')} as v from ids left join (select * from vectors
         where item_id in (select item_id from metadata where len(description) > 0)) using (item_id)
-    union all select distinct market, 0::bigint, null::double from ids""",
+    union all select distinct market, 0::bigint, null::varchar from ids""",
 )
 define("rank_positive", "ranks", "select market, user_id, positive, rank from ranks where phase = 'test'")
 define("ranking_metrics", "metrics", "select * from metrics where phase = 'test'")
@@ -334,7 +397,7 @@ define(
 define(
     "best_run",
     "metrics",
-    """select market as run, value from metrics where phase = 'test' and metric = 'MRR' and k = 10
+    """select market as run, value from metrics where phase = 'valid' and metric = 'MRR' and k = 10
     order by value desc, market limit 1""",
 )
 define(
@@ -365,10 +428,13 @@ define(
 define(
     "item_text_vectors",
     "metadata",
-    r"""select item_id, string_agg(case when list_contains(b, i) then '1' else '0' end, ' ' order by i) as used from (
+    r"""select item_id, array_to_string(list(cast(round(coalesce(n, 0) / sqrt(total) * 1e6) as bigint) order by i), ' ') as v
+    from (select item_id, i, (len(list_filter(b, lambda x: x = i)))::double as n,
+        list_sum(list_transform(range(64), lambda k: len(list_filter(b, lambda x: x = k))::double
+            * len(list_filter(b, lambda x: x = k)))) as total from (
     select item_id, list_transform(list_filter(string_split_regex(lower(title || ' ' || coalesce(description[1], '')),
         '[^\p{L}\p{N}]+'), lambda w: w <> ''), lambda w: cast('0x' || substr(md5(w), 1, 8) as bigint) % 64) as b
-    from metadata), range(64) r(i) group by item_id""",
+    from metadata), range(64) r(i)) group by item_id""",
 )
 define(
     "attention_weights",
@@ -378,7 +444,9 @@ define(
 define(
     "attention_top_item",
     "attended",
-    "select market, user_id, round(max(weight), 6) + 0.0 as top_weight from attended group by all",
+    """select market, user_id, item_id, place, w as top_weight from (select market, user_id, item_id, place,
+    round(weight, 6) + 0.0 as w, row_number() over (partition by market, user_id order by round(weight, 6) desc, place desc) as k
+    from attended) where k = 1""",
 )
 define(
     "attention_pool",
@@ -412,6 +480,14 @@ def _added(left: str, right: str) -> str:
         from {left} l join {right} r on r.id = l.id"""
 
 
+def _gelu(a: str) -> str:
+    """a * (1 + erf(a / sqrt 2)) / 2; erf by its series of positive terms, which sums to 1 far out."""
+    z = f"(abs({a}) / sqrt(2.0))"
+    term = f"exp(n * 2 * ln(2.0) + lgamma(n + 1.0) - lgamma(2.0 * n + 2) + (2 * n + 1) * ln({z}) - {z} * {z})"
+    erf = f"2 / sqrt(pi()) * list_sum(list_transform(range(120), lambda n: {term}))"
+    return f"case when {a} = 0 then 0.0 when {z} > 5 then greatest({a}, 0.0) else 0.5 * {a} * (1 + sign({a}) * {erf}) end"
+
+
 def encoder_blocks(places: tuple[list[str], str], model: tuple[list[str], str]) -> dict[str, tuple[list[str], str]]:
     """The encoder on `places` (market, user_id, place from 1, is_last, v); result: encoded (market, user_id, v)."""
     return {
@@ -446,7 +522,7 @@ def encoder_blocks(places: tuple[list[str], str], model: tuple[list[str], str])
         "mixed": (["dense", "last"], _added("dense", "last")),
         "hidden": (["mixed"], _norm("mixed", _ATT + "LayerNorm")),
         "inner1": (["hidden"], _linear("hidden", _FF + "dense_1")),
-        "inner2": (["inner1"], "select id, list_transform(v, lambda a: a / (1.0 + exp(-a))) as v from inner1"),
+        "inner2": (["inner1"], f"select id, list_transform(v, lambda a: {_gelu('a')}) as v from inner1"),
         "inner3": (["inner2"], _linear("inner2", _FF + "dense_2")),
         "mixed2": (["inner3", "hidden"], _added("inner3", "hidden")),
         "output": (["mixed2"], _norm("mixed2", _FF + "LayerNorm")),
@@ -467,16 +543,24 @@ define(
         (["model"], "select * from model"),
     ),
 )
+_TEST_PLACES = (
+    ["positions", "vectors"],
+    """select market, user_id, pos - greatest(n_events - 51, 0) as place, pos = n_events - 1 as is_last, v
+    from positions join vectors using (item_id) where n_events >= 3 and pos between n_events - 50 and n_events - 1""",
+)
+_TEST_TARGETS = {
+    "targets": (
+        ["split", "encoded"],
+        """select s.market, s.user_id, s.phase, s.item_id, e.v as seq_v from split s
+        join encoded e on e.market = s.market and e.user_id = s.user_id where s.phase = 'test'""",
+    )
+}
 define(
     "encoder_metrics",
     "metrics",
     "select * from metrics",
     encoder_blocks(
-        (
-            ["positions", "vectors"],
-            """select market, user_id, pos - greatest(n_events - 51, 0) as place, pos = n_events - 1 as is_last, v
-            from positions join vectors using (item_id) where n_events >= 3 and pos between n_events - 50 and n_events - 1""",
-        ),
+        _TEST_PLACES,
         (
             ["model", "layered"],
             """select m.name, m.row, coalesce(l.v, m.v) as v from model m left join layered l
@@ -484,38 +568,48 @@ define(
             and l.kind in ('query', 'key') and l.layer = (select count(*) // 192 - 1 from embeddings)""",
         ),
     )
-    | {
-        "targets": (
-            ["split", "encoded"],
-            """select s.market, s.user_id, s.phase, s.item_id, e.v as seq_v from split s
-            join encoded e on e.market = s.market and e.user_id = s.user_id where s.phase = 'test'""",
-        )
-    },
+    | _TEST_TARGETS,
+)
+_OWN_MODEL = encoder_blocks(_TEST_PLACES, (["model"], "select * from model")) | _TEST_TARGETS
+define(
+    "encoder_ce_loss",
+    "nll",
+    "select market, count(*) as n_rows, round(avg(lse - own), 6) + 0.0 as loss from nll group by 1",
+    _OWN_MODEL,
+)
+define(
+    "encoder_top_items",
+    "targets ids vectors",
+    """select market, user_id, item_id, s + 0.0 as score, rank from (
+    select market, user_id, item_id, s, row_number() over (partition by market, user_id order by s desc, item_id) as rank
+    from (select t.market, t.user_id, ids.item_id, round(list_dot_product(seq_v, k.v), 6) as s
+    from targets t join ids on ids.market = t.market join vectors k on k.item_id = ids.item_id)) where rank <= 10""",
+    _OWN_MODEL,
 )
-define("select_weights", "chosen", "select weight, row, round(v[1], 6) + 0.0 as v0 from chosen")
+define("select_weights", "chosen", f"select weight, row, {digits('v')} as v from chosen")
 define(
     "transfer_weights",
-    "model chosen",
-    """select name, model.row as row, round(coalesce(chosen.v[1], model.v[1]), 6) + 0.0 as v0 from model left join chosen
-    on name = 'trm_encoder.layer.multi_head_attention.' || weight || '.weight' and chosen.row = model.row""",
+    "model layered",
+    f"""select name, model.row as row, {digits('coalesce(l.v, model.v)')} as v from model left join layered l
+    on name = 'trm_encoder.layer.multi_head_attention.' || kind || '.weight' and l.row = model.row
+    and layer = (select count(*) // 192 - 1 from embeddings)""",
 )
 define(
     "vector_text",
     "",
     "select vec_id, place, round(embedding[place + 1]::double, 6) + 0.0 as value from embeddings, range(64) r(place)",
 )
-define("vector_file", "vectors", "select item_id, round(v[64], 6) + 0.0 as v63 from vectors")
+define("vector_file", "vectors", f"select item_id, {digits('v')} as v from vectors")
 define("prepared_interactions", "purchases", "select market, user_id, item_id, ts_sec from purchases")
 define(
     "prepared_items",
     "purchases vectors",
-    """select market, item_id, round(v[1], 6) + 0.0 as v0 from (select distinct market, item_id from purchases)
-    join vectors using (item_id)""",
+    f"select market, item_id, {digits('v')} as v from (select distinct market, item_id from purchases) join vectors using (item_id)",
 )
 define(
     "master_table",
     "purchases",
-    "select market, count(*) as n_rows, cast(sum(ts_sec) as bigint) as sum_ts from purchases group by 1",
+    "select market, user_id, item_id, ts_sec, l_orderkey, l_linenumber::bigint as l_linenumber from purchases",
 )
 define("market_files", "purchases", "select market, user_id, item_id, ts_sec from purchases")
 define(
@@ -533,6 +627,6 @@ define(
 define(
     "params_file",
     "layered",
-    """select 'trm_encoder.layer.' || layer || '.multi_head_attention.' || kind || '.weight' as name, row,
-    round(v[2], 6) + 0.0 as v1 from layered""",
+    f"""select 'trm_encoder.layer.' || layer || '.multi_head_attention.' || kind || '.weight' as name, row,
+    {digits('v')} as v from layered""",
 )

@@ -85,6 +85,16 @@ def described(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata(spark, sf_dir).where(F.size(DESCRIPTION) > 0)
 
 
+def flawed_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata without parts 7 of 50, with parts 3 of 50 twice, without titles for 11 and descriptions for 13 of 50."""
+    part = F.col(ITEM) % 50
+    meta = metadata(spark, sf_dir).where(part != 7)
+    twice = meta.withColumn("_n", F.explode(F.when(part == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return twice.drop("_n").withColumns(
+        {TITLE: F.when(part != 11, F.col(TITLE)), DESCRIPTION: F.when(part != 13, F.col(DESCRIPTION))}
+    )
+
+
 def raw_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias(VECTOR))
 

@@ -33,7 +33,6 @@ HIDDEN_ACT = "gelu"
 LAYER_NORM_EPS = 1e-12
 ALPHA = 1.2
 BETA = 0.99
-MAX_TEXT_TOKENS = 512
 TEXT_BATCH = 4
 LEAKY_SLOPE = 0.01
 INTER_HEADER = {USER: "user_id:token", ITEM: "item_id:token", TIME: "timestamp:float"}

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from xmseq.functions.activations import softplus, weight_decay
-from xmseq.functions.vectors import dot
+from xmseq.functions.vectors import dot, logsumexp
 from xmseq.model import ALPHA, BETA, IID, ITEM, ITEM_KEY, MARKET, TIME, USER_KEY, VECTOR
 from xmseq.operators.blocks import all_item_logsumexp
-from xmseq.operators.groups import total_order
+from xmseq.operators.groups import same, total_order
 from xmseq.operators.lookup import lookup, padding_rows
 from xmseq.operators.scoring import SEQ_VECTOR
 from xmseq.operators.sequences import last_events
-from xmseq.storage import BROADCAST_BYTES, vector_table_bytes
+from xmseq.storage import BROADCAST_BYTES, pin, vector_table_bytes
 
 FREQ = "freq"
 WEIGHT = "weight"
@@ -68,15 +68,24 @@ def with_weights(rows: DataFrame, weights: DataFrame, alpha: float = ALPHA, beta
 
 
 def log_softmax(scored: DataFrame, group: Sequence[str], score: str = "score") -> DataFrame:
-    """Add `log_p` over each group's candidates. Two grouped aggregates, so no group has to fit a task."""
+    """Add `log_p` over each group's candidates; a null group is a group.
+
+    The rows are stored once, and groups are only aggregated and joined, so none has to fit a task.
+    """
     group = list(group)
-    peak = scored.groupBy(*group).agg(F.max(score).alias("_peak"))
-    shifted = scored.join(peak, group)
-    total = shifted.groupBy(*group).agg(
-        F.first("_peak").alias("_peak"), F.sum(F.exp(F.col(score) - F.col("_peak"))).alias("_sum")
-    )
-    lse = total.select(*group, (F.col("_peak") + F.log("_sum")).alias("_lse"))
-    return scored.join(lse, group).withColumn("log_p", F.col(score) - F.col("_lse")).drop("_lse")
+    scored = pin(scored, "scored")
+    peak, equal = same(scored, scored.groupBy(*group).agg(F.max(score).alias("_peak")), group)
+    names = [f"_same_{k}" for k in group]
+    shifted = scored.join(peak, equal).drop(*names).withColumn("_e", F.exp(F.col(score) - F.col("_peak")))
+    total = shifted.groupBy(*group).agg((F.max("_peak") + F.log(F.sum("_e"))).alias("_lse"))
+    total, equal = same(scored, total, group)
+    return scored.join(total, equal).drop(*names).withColumn("log_p", F.col(score) - F.col("_lse")).drop("_lse")
+
+
+def array_log_softmax(scores: Column | str) -> Column:
+    """The same for scores that lie in one array: no shuffle."""
+    lse = logsumexp(scores)
+    return F.transform(scores, lambda s: s - lse)
 
 
 def all_item_nll(
@@ -96,7 +105,7 @@ def all_item_nll(
     small = vector_table_bytes(table, "_target") <= blocks.get("limit_bytes", BROADCAST_BYTES)
     found = lookup(rows, table, on, "left", small)
     own = found.withColumn("_own", dot(SEQ_VECTOR, "_target")).drop("_target")
-    scored = all_item_logsumexp(own, items, key, **blocks)
+    scored = all_item_logsumexp(own, items, **blocks)
     lse = softplus(F.col("lse")) if include_padding else F.col("lse")
     return scored.withColumn("nll", lse - F.col("_own")).drop("_own", "lse")
 

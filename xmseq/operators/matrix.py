@@ -30,21 +30,28 @@ def to_lists(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
 
 
-class ItemMatrix:
-    """Item ids, ascending, and their vectors; row -1 is the zero vector of unknown items."""
+# Ids, ascending, and their vectors. Plain arrays: a broadcast must not need this package on the workers.
+Matrix = tuple[np.ndarray, np.ndarray]
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids = pd.Index(ids[order])
-        self.values = np.vstack([values[order], np.zeros((1, values.shape[1]), values.dtype)])
 
-    def rows(self, ids: np.ndarray) -> np.ndarray:
-        return self.ids.get_indexer(ids)
+def sorted_matrix(ids: np.ndarray, values: np.ndarray) -> Matrix:
+    order = np.argsort(ids, kind="stable")
+    return ids[order], values[order]
+
+
+def with_zeros(values: np.ndarray) -> np.ndarray:
+    """The vectors and, as row -1, zeros for unknown items."""
+    return np.vstack([values, np.zeros((1, values.shape[1]), values.dtype)])
+
+
+def rows_of_ids(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Row of each wanted id, -1 where there is none."""
+    return pd.Index(ids).get_indexer(wanted)
 
 
 def collect_matrix(
     vectors: DataFrame, key: str = ITEM, vector: str = VECTOR, limit_bytes: int = BROADCAST_BYTES
-) -> ItemMatrix | None:
+) -> Matrix | None:
     """The vectors as one matrix; None if their table may exceed `limit_bytes`."""
     found = collect_matrices(vectors, None, key, vector, limit_bytes)
     return found and found[None]
@@ -56,20 +63,21 @@ def collect_matrices(
     key: str = ITEM,
     vector: str = VECTOR,
     limit_bytes: int = BROADCAST_BYTES,
-) -> dict[str | None, ItemMatrix] | None:
-    """The same, a matrix for each value of `group`."""
+) -> dict[str | None, Matrix] | None:
+    """The same, a matrix for each value of `group`; a missing value has none. Numbers keep their type."""
     if vector_table_bytes(vectors, vector) > limit_bytes:
         return None
-    columns = [F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("vector")]
+    columns = [F.col(key).alias("id"), F.col(vector).alias("vector")]
+    number = np.float32 if vectors.schema[vector].dataType.simpleString() == "array<float>" else np.float64
     table = vectors.select(*columns, *([F.col(group).alias("group")] if group else [])).toArrow()
-    ids, values = table["id"].to_pandas().to_numpy(), to_matrix(table["vector"], np.float32)
+    ids, values = table["id"].to_pandas().to_numpy(), to_matrix(table["vector"], number)
     if group is None:
-        return {None: ItemMatrix(ids, values)}
+        return {None: sorted_matrix(ids, values)}
     code, names = pd.factorize(table["group"].to_pandas())
-    return {name: ItemMatrix(ids[code == g], values[code == g]) for g, name in enumerate(names)}
+    return {name: sorted_matrix(ids[code == g], values[code == g]) for g, name in enumerate(names)}
 
 
-def collect_id_rows(ids: DataFrame, matrix: ItemMatrix, limit_rows: int) -> dict | None:
+def collect_id_rows(ids: DataFrame, matrix: Matrix, limit_rows: int) -> dict | None:
     """Per market, the matrix row of each dense id (row -1 for the padding id 0); None above `limit_rows` ids."""
     if not at_most(ids, limit_rows):
         return None
@@ -77,6 +85,6 @@ def collect_id_rows(ids: DataFrame, matrix: ItemMatrix, limit_rows: int) -> dict
     out = {}
     for market, part in table.groupby(MARKET):
         rows = np.full(part[IID].max() + 1, -1)
-        rows[part[IID].to_numpy()] = matrix.rows(part[ITEM].to_numpy())
+        rows[part[IID].to_numpy()] = rows_of_ids(matrix[0], part[ITEM].to_numpy())
         out[market] = rows
     return out

@@ -13,15 +13,18 @@ from pyspark.sql import types as T
 
 from xmseq.functions.vectors import dot
 from xmseq.model import IID, ITEM, MARKET, PHASE, USER, VECTOR
-from xmseq.operators.lookup import dense_items, lookup_vectors, spread_lookup
-from xmseq.operators.matrix import collect_id_rows, collect_matrix, to_matrix
-from xmseq.storage import BROADCAST_BYTES
+from xmseq.operators.lookup import dense_items, lookup_vectors
+from xmseq.operators.matrix import collect_id_rows, collect_matrix, to_matrix, with_zeros
+from xmseq.storage import BROADCAST_BYTES, numbered, vector_table_bytes
 
 SEQ_VECTOR = "seq_emb"
 CANDIDATES = "candidates"
 SCORES = "scores"
 DIGITS = 9
 CELLS = 1 << 21
+ROW_BLOCK = 50_000
+BLOCK_BYTES = 1 << 20
+ROW = "_row"
 
 
 def score_pairs(pairs: DataFrame, vectors: DataFrame, on: str = ITEM, digits: int | None = DIGITS) -> DataFrame:
@@ -38,33 +41,40 @@ def score_candidates(
     key: Sequence[str] = (MARKET, USER, PHASE),
     digits: int = DIGITS,
     limit_bytes: int = BROADCAST_BYTES,
+    row_block: int = ROW_BLOCK,
 ) -> DataFrame:
-    """Scores parallel to the array of candidates, dense ids of the row's market; 0 for one without vector.
+    """Scores parallel to the array of candidates, dense ids of the row's market.
 
-    Small dictionary and vectors (checked) are broadcast and the candidates never leave their row. Beyond that they are
-    joined to their vectors and gathered again by `key`.
+    A candidate scores 0 if its market or id is unknown or its item has no vector; a null array of candidates has a null
+    one of scores. Small dictionary and vectors (checked) are broadcast and the candidates never leave their row. Beyond
+    that the items are cut into blocks by dense id: a row sends its vector once to each block that holds candidates of
+    it, and only scores come back. Rows keep a number of their own, so `key` need not tell them apart.
     """
     matrix = collect_matrix(vectors, limit_bytes=limit_bytes)
     id_rows = matrix and collect_id_rows(ids, matrix, limit_bytes // 64)
     if id_rows is None:
-        return _score_joined(rows, dense_items(ids, vectors), list(key), digits)
-    shared = rows.sparkSession.sparkContext.broadcast((id_rows, matrix.values))
+        return _score_by_blocks(rows, dense_items(ids, vectors), digits, limit_bytes, row_block)
+    shared = rows.sparkSession.sparkContext.broadcast((id_rows, with_zeros(matrix[1])))
     schema = T.StructType([*rows.schema.fields, T.StructField(SCORES, T.ArrayType(T.DoubleType()))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        id_rows, values = shared.value
         for batch in batches:
-            id_rows, values = shared.value
             lists = batch.column(CANDIDATES)
-            lengths = lists.value_lengths().to_numpy()
+            lengths = lists.value_lengths().fill_null(0).to_numpy()
             owner = np.repeat(np.arange(len(lengths)), lengths)
-            found = np.empty(len(owner), dtype=np.int64)
+            wanted = lists.flatten().fill_null(-1).to_numpy()
+            found = np.full(len(owner), -1)
             code, markets = pd.factorize(batch.column(MARKET).to_pandas())
             for m, market in enumerate(markets):
-                at = code[owner] == m
-                found[at] = id_rows[market][lists.flatten().to_numpy()[at]]
+                known = id_rows.get(market, np.zeros(0, np.int64))
+                at = np.flatnonzero((code[owner] == m) & (wanted >= 0) & (wanted < len(known)))
+                found[at] = known[wanted[at]]
             scores = row_dots(to_matrix(batch.column(SEQ_VECTOR)), owner, values, found)
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.round(scores, digits) + 0.0))
+            column = pa.ListArray.from_arrays(
+                pa.array(offsets), pa.array(np.round(scores, digits) + 0.0), mask=pa.array(~np.asarray(lists.is_valid()))
+            )
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, SCORES])
 
     return rows.mapInArrow(score, schema)
@@ -80,13 +90,61 @@ def row_dots(left: np.ndarray, left_rows: np.ndarray, right: np.ndarray, right_r
     return out
 
 
-def _score_joined(rows: DataFrame, features: DataFrame, key: list[str], digits: int) -> DataFrame:
-    pairs = rows.select(*key, SEQ_VECTOR, F.posexplode(CANDIDATES).alias("_at", IID))
-    found = spread_lookup(pairs, features.select(MARKET, IID, VECTOR), [MARKET, IID], "left")
-    score = F.coalesce(F.round(dot(SEQ_VECTOR, VECTOR), digits), F.lit(0.0)).alias("_s")
-    scores = (
-        found.select(*key, "_at", score)
-        .groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("_at", "_s"))).alias("_all"))
+def _score_by_blocks(rows: DataFrame, features: DataFrame, digits: int, limit_bytes: int, row_block: int) -> DataFrame:
+    rows = numbered(rows, ROW)
+    features = features.where(F.col(MARKET).isNotNull() & F.col(VECTOR).isNotNull()).select(MARKET, IID, VECTOR)
+    size = vector_table_bytes(features, VECTOR)
+    blocks = max(1, -(-size // max(limit_bytes // 4, BLOCK_BYTES)))
+    row_blocks = max(1, -(-rows.count() // row_block))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Once per row and block of its candidates: their places and ids, and the row's vector."""
+        for batch in batches:
+            lists = batch.column(CANDIDATES)
+            lengths = lists.value_lengths().fill_null(0).to_numpy()
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            wanted = lists.flatten().fill_null(-1).to_numpy()
+            block = wanted % blocks
+            order = np.lexsort((place, block, owner))
+            owner, block = owner[order], block[order]
+            first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (block[1:] != block[:-1]))) if len(owner) else order
+            cut = pa.array(np.append(first, len(owner)).astype(np.int32))
+            own = pa.array(owner[first])
+            columns = [batch.column(c).take(own) for c in (ROW, MARKET, SEQ_VECTOR)]
+            parts = [pa.ListArray.from_arrays(cut, pa.array(x[order])) for x in (place, wanted)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(block[first]), *parts], names)
+
+    names = [ROW, MARKET, SEQ_VECTOR, "_ib", "_places", "_wanted"]
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (ROW, MARKET, SEQ_VECTOR)}
+    schema = ", ".join([*(f"{c} {kind}" for c, kind in kinds.items()), "_ib bigint, _places array<bigint>, _wanted array<bigint>"])
+    asked = rows.select(ROW, MARKET, SEQ_VECTOR, F.col(CANDIDATES).cast("array<bigint>").alias(CANDIDATES))
+    left = asked.where(F.col(MARKET).isNotNull()).mapInArrow(send, schema).withColumn("_rb", F.pmod(F.xxhash64(ROW), F.lit(row_blocks)))
+    right = features.withColumn("_ib", F.pmod(F.col(IID).cast("bigint"), F.lit(blocks))).withColumn(
+        "_rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(row_blocks - 1).cast("bigint")))
     )
-    return rows.join(scores.select(*key, F.transform("_all", lambda x: x["_s"]).alias(SCORES)), key)
+
+    def score(some: pa.Table, items: pa.Table) -> pa.Table:
+        if not some.num_rows:
+            return pa.table({ROW: pa.array([], pa.int64()), "_found": pa.array([], pair)})
+        some = some.combine_chunks()
+        lists, places = some["_wanted"].combine_chunks(), some["_places"].combine_chunks()
+        lengths = lists.value_lengths().to_numpy()
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        names = items[MARKET].to_pandas()
+        known = pd.MultiIndex.from_arrays([names, items[IID].to_pandas()])
+        wanted = pd.MultiIndex.from_arrays([some[MARKET].to_pandas().to_numpy()[owner], lists.flatten().to_numpy()])
+        values = to_matrix(items[VECTOR])
+        left = to_matrix(some[SEQ_VECTOR])
+        values = with_zeros(values) if len(values) else np.zeros((1, left.shape[1]))
+        scores = np.round(row_dots(left, owner, values, known.get_indexer(wanted)), digits) + 0.0
+        found = pa.StructArray.from_arrays([places.flatten(), pa.array(scores)], ["at", "s"])
+        return pa.table({ROW: some[ROW], "_found": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), found)})
+
+    pair = pa.list_(pa.struct([("at", pa.int64()), ("s", pa.float64())]))
+    pieces = left.groupBy("_rb", "_ib").cogroup(right.groupBy("_rb", "_ib"))
+    pieces = pieces.applyInArrow(score, f"{ROW} bigint, _found array<struct<at: bigint, s: double>>")
+    whole = pieces.groupBy(ROW).agg(F.array_sort(F.flatten(F.collect_list("_found"))).alias("_all"))
+    zeros = F.transform(CANDIDATES, lambda c: F.lit(0.0))
+    scores = F.coalesce(F.transform("_all", lambda x: x["s"]), zeros)
+    return rows.join(whole, ROW, "left").withColumn(SCORES, scores).drop(ROW, "_all")

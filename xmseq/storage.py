@@ -38,6 +38,11 @@ def pin(df: DataFrame, name: str = "pinned", by: str | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a stored table with a number of its own for every row, equal rows included."""
+    return pin(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def vector_table_bytes(df: DataFrame, column: str) -> int:
     """Upper bound of the size of a table of (id, vector) as float64."""
     rows, width = df.agg(F.count("*"), F.max(F.size(column))).first()
