@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from corpus_fixtures import SCHEMA, documents, folded, prose, smallest_reachable
-from xmseq.llm import fingerprints, inverted, lattice, store, words
+from xmseq.llm import fingerprints, inverted, lattice, store, verify, words
 
 
 def shingle_set(text, k):
@@ -45,8 +45,9 @@ def test_near_groups(spark, k, percent):
 
 def test_near_groups_in_blocks(spark, monkeypatch):
     """Every list, group and block is cut: one large group of near copies, and a chain whose ends are far apart."""
-    for name, value in {"HOT_LEAST": 2, "HOT_PAIRS": 10**9, "BLOCK": 4, "CHUNK": 8, "GROUP": 6}.items():
+    for name, value in {"HOT_LEAST": 2, "HOT_PAIRS": 10**9, "BLOCK": 4, "CHUNK": 8}.items():
         monkeypatch.setattr(inverted, name, value)
+    monkeypatch.setattr(verify, "GROUP", 6)
     rng = random.Random(3)
     base = prose(rng, 120, 10_000).split()
     rows = []
@@ -65,6 +66,16 @@ def test_near_groups_in_blocks(spark, monkeypatch):
     assert len(set(component.values())) == 2
 
 
+def test_near_documents_by_bands(spark):
+    rows = documents(1)
+    found = fingerprints.near_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    _, component = groups_by_hand(rows, 5, 80)
+    assert len(found) == len(rows)
+    assert {r.doc_id: r.component_id for r in found} == component | {None: None}
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found if r.doc_id is not None)
+    assert fingerprints.near_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_near_groups_repeated_rows_and_nothing(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "")]
     found = sorted((r.doc_id, r.component_id) for r in inverted.near_groups(spark.createDataFrame(rows, SCHEMA)).collect())

@@ -16,12 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from xmseq.llm.minhash import signatures
+from xmseq.llm.store import components
+from xmseq.llm.verify import confirmed
 from xmseq.llm.words import bounds, hashes, shingles, slices, text_bytes
+from xmseq.storage import pin
 
 MINIMA = 128
 WORDS = 5
 SEED = 11
 ROWS = 256
+#: Bands of five minima: a pair of likeness 0.8 shares none of 25 once in 20,000.
+BANDS, BAND_ROWS = 25, 5
 
 
 def fingerprint_matrix(texts: pa.Array, k: int = WORDS, minima: int = MINIMA) -> np.ndarray:
@@ -159,3 +164,42 @@ def edit_report(docs: DataFrame, parts: int | None = None) -> DataFrame:
         f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double",
     )
+
+
+def near_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, component_id (the smallest doc_id reachable by links), kept.
+
+    Links have 5-word shingle sets of Jaccard percent/100 or more. Documents whose signatures agree in a band are candidates:
+    they are joined to the smallest document of the band, so a band shared by many costs one row each; the groups this
+    makes are confirmed on the full sets. Equal texts are one candidate. A null or empty text links with nothing, nor
+    does a row without doc_id, whose component is null; both are kept. Rows that share a doc_id are one document.
+    """
+    docs = docs.select("doc_id", "text")
+    named = docs.where("doc_id is not null and text is not null").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("same"))
+    classes = pin(named.groupBy("same").agg(F.min("doc_id").alias("rep")), "text-classes")
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                m = fingerprint_matrix(part.column("text"))
+                rows = np.flatnonzero((m != 0xFFFF).any(axis=1))
+                found = m[rows, : BANDS * BAND_ROWS].reshape(-1, BAND_ROWS)
+                ids = part.column("doc_id").take(pa.array(np.repeat(rows, BANDS)))
+                band = pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(rows)))
+                yield pa.record_batch([ids, band, pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "band", "minima"])
+
+    reps = docs.join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    posted = pin(reps.mapInArrow(bands, "doc_id bigint, band int, minima binary"), "bands")
+    shared = posted.groupBy("band", "minima").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    links = posted.join(shared, ["band", "minima"]).select(F.col("doc_id").alias("u"), F.col("first").alias("v")).distinct()
+    joined = confirmed(docs, pin(components(links), "candidate-groups"), WORDS, percent)
+    known = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    known = known.select("same", F.coalesce("component", "rep").alias("component_id"))
+    empty = F.lit("").cast("binary")
+    rows = docs.select("doc_id", F.sha2(F.coalesce(F.col("text").cast("binary"), empty), 256).alias("same"), F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("has_words"))
+    rows = rows.join(known, "same", "left")
+    some = F.col("has_words") & F.col("doc_id").isNotNull()
+    return rows.select(
+        "doc_id", F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
