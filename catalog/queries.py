@@ -31,6 +31,7 @@ from xmseq.operators import encoder, losses, metrics, params, prep, sampling, sc
 from xmseq.operators.blocks import full_sort_topk
 from xmseq.operators.lookup import dense_items, lookup_vectors
 from xmseq.plans.evaluate import last_item_encoder, sampled_evaluation, scored_targets
+from xmseq.plans.prepare import prepare
 from xmseq.sinks.export import export_inter, export_items, export_vectors, write_master
 from xmseq.sources import prepared, raw
 from xmseq.storage import pin, shared_path
@@ -577,9 +578,8 @@ def master_table(spark, sf):
     return found.select(F.col(MARKET).cast("string").alias(MARKET), USER, ITEM, TIME, *map(long, t.TIES))
 
 
-@query
-def market_files(spark, sf):
-    """Interactions written as raw market files and read with their market taken from the file name."""
+def raw_market_files(spark, sf):
+    """Folder and markets of the interactions as raw market files."""
     folder = shared_path(spark, "raw")
     inter = pin(t.purchases(spark, sf), "inter", MARKET)
     markets = [r[0] for r in t.table(spark, sf, "region").select("r_name").collect()]  # five rows
@@ -587,6 +587,21 @@ def market_files(spark, sf):
     columns = [F.col(USER).alias("userId"), F.col(ITEM).alias("itemId"), F.lit(5).alias("ratings"), date.alias("date")]
     for market, path in zip(markets, raw.market_files(folder, markets)):
         inter.where(F.col(MARKET) == market).select(*columns).write.csv(path, sep=" ", header=True)
+    return folder, markets
+
+
+def raw_metadata_file(spark, sf):
+    """Path of the metadata as JSON lines."""
+    path = shared_path(spark, "metadata")
+    meta = t.metadata(spark, sf).withColumnRenamed(ITEM, "asin").withColumn("asin", F.col("asin").cast("string"))
+    meta.write.json(path, compression="gzip")
+    return path
+
+
+@query
+def market_files(spark, sf):
+    """Interactions written as raw market files and read with their market taken from the file name."""
+    folder, markets = raw_market_files(spark, sf)
     found = prep.to_interactions(raw.read_markets(spark, folder, markets))
     return found.select(MARKET, long(USER).alias(USER), long(ITEM).alias(ITEM), TIME)
 
@@ -594,14 +609,26 @@ def market_files(spark, sf):
 @query
 def metadata_file(spark, sf):
     """Metadata written as JSON lines, read, restricted to purchased items, one row per item, as texts."""
-    path = shared_path(spark, "metadata")
-    meta = t.metadata(spark, sf).withColumnRenamed(ITEM, "asin").withColumn("asin", F.col("asin").cast("string"))
-    meta.write.json(path, compression="gzip")
+    path = raw_metadata_file(spark, sf)
     items = prep.all_items(t.purchases(spark, sf)).select(F.col(ITEM).cast("string").alias(ITEM))
     chosen = prep.dedup_first(prep.keep_items(raw.read_metadata(spark, path), items), [ITEM], raw.FILE_ORDER)
     return prep.item_text(chosen).select(long(ITEM).alias(ITEM), TEXT)
 
 
+@query
+def prepared_tables(spark, sf):
+    """From raw files to prepared tables, read back: every event of every market with the vector of its item."""
+    (folder, markets), out = raw_market_files(spark, sf), shared_path(spark, "prepared")
+    prepare(spark, folder, raw_metadata_file(spark, sf), out, markets, DIM)
+
+    def both(market):
+        inter, items = prepared.read_prepared(spark, out, market)
+        return inter.join(items.drop(MARKET), ITEM, "left")
+
+    found = reduce(DataFrame.unionByName, map(both, markets))
+    return found.select(MARKET, long(USER).alias(USER), long(ITEM).alias(ITEM), TIME, digits_of(VECTOR).alias("v"))
+
+
 @query
 def ratings_file(spark, sf):
     """Ratings written without a header and read again."""

@@ -425,16 +425,20 @@ define(
     select doc_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) as w from documents)
     where w <> '' group by all)""",
 )
-define(
-    "item_text_vectors",
-    "metadata",
-    r"""select item_id, array_to_string(list(cast(round(coalesce(n, 0) / sqrt(total) * 1e6) as bigint) order by i), ' ') as v
-    from (select item_id, i, (len(list_filter(b, lambda x: x = i)))::double as n,
-        list_sum(list_transform(range(64), lambda k: len(list_filter(b, lambda x: x = k))::double
-            * len(list_filter(b, lambda x: x = k)))) as total from (
-    select item_id, list_transform(list_filter(string_split_regex(lower(title || ' ' || coalesce(description[1], '')),
-        '[^\p{L}\p{N}]+'), lambda w: w <> ''), lambda w: cast('0x' || substr(md5(w), 1, 8) as bigint) % 64) as b
-    from metadata), range(64) r(i)) group by item_id""",
+# Hashed vectors of item texts, stored as single-precision numbers.
+BLOCKS["hashed"] = (
+    ["metadata"],
+    r"""select item_id, list_transform(range(64), lambda i: cast(cast(
+        len(list_filter(b, lambda x: x = i))::double / sqrt(list_sum(list_transform(range(64),
+            lambda k: len(list_filter(b, lambda x: x = k))::double * len(list_filter(b, lambda x: x = k))))) as float) as double)) as v
+    from (select item_id, list_transform(list_filter(string_split_regex(lower(title || ' ' || coalesce(description[1], '')),
+        '[^\p{L}\p{N}]+'), lambda w: w <> ''), lambda w: cast('0x' || substr(md5(w), 1, 8) as bigint) % 64) as b from metadata)""",
+)
+define("item_text_vectors", "hashed", f"select item_id, {digits('v')} as v from hashed")
+define(
+    "prepared_tables",
+    "purchases hashed",
+    f"select market, user_id, item_id, ts_sec, {digits('v')} as v from purchases join hashed using (item_id)",
 )
 define(
     "attention_weights",
