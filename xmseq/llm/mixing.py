@@ -60,8 +60,9 @@ def share(nodes: DataFrame, parent: Sequence[str], name: str) -> DataFrame:
 def leaf_budgets(leaves: DataFrame, budget: Column, weights: Mapping[str, Mapping[str, int]], max_epochs: int) -> DataFrame:
     """Budget of each leaf. leaves: the levels and tokens; budget: an expression over `tokens`, the sum of all."""
     leaves = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
-    plan = leaves.agg(F.sum("tokens").alias("tokens"), F.sum("capacity").alias("capacity"))
-    plan = plan.select(F.least("capacity", budget.cast("bigint")).alias("budget"))
+    whole = leaves.agg(F.sum("tokens").alias("tokens"), F.sum("capacity").alias("capacity"))
+    root = whole.select(F.least("capacity", budget.cast("bigint"))).first()[0] or 0
+    plan = leaves
     for i, level in enumerate(LEVELS):
         names = list(LEVELS[: i + 1])
         nodes = leaves.groupBy(*names).agg(F.sum("capacity").alias("capacity"))
@@ -73,7 +74,7 @@ def leaf_budgets(leaves: DataFrame, budget: Column, weights: Mapping[str, Mappin
                 match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
             nodes = nodes.join(above, match).drop(*[f"_{c}" for c in names[:-1]])
         else:
-            nodes = nodes.join(plan, F.lit(True))  # one row
+            nodes = nodes.withColumn("budget", F.lit(root).cast("bigint"))
         plan = share(nodes, names[:-1], level).select(*names, "capacity", "budget")
     return plan
 
@@ -86,7 +87,7 @@ def leaf_plan(
     docs: doc_id, the levels, n_tokens.
     """
     docs = pin(docs.select("doc_id", *LEVELS, "n_tokens"), "mixing-tokens")
-    leaves = docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
+    leaves = pin(docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "mixing-leaves")
     budgets = leaf_budgets(leaves, budget, weights, max_epochs)
     joined = leaves.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "tokens")
     plan = budgets.join(joined, same_leaf()).select(*LEVELS, "tokens", "budget", F.expr("if(tokens = 0, 0, budget div tokens)").alias("epochs"))

@@ -72,8 +72,11 @@ def resolved(target: Column, url: Column) -> Column:
 
 
 def rules_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """(verdict, host, path) rows as a table."""
-    return spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    """(verdict, host, path) rows as a table, for rules that fit into a query."""
+    names = ("verdict", "host", "path")
+    rows = [F.struct(*[F.lit(x).alias(c) for c, x in zip(names, r, strict=True)]) for r in rules]
+    table = F.array(*rows) if rows else F.array().cast("array<struct<verdict: string, host: string, path: string>>")
+    return spark.range(1).select(F.inline(table))
 
 
 def decided(urls: DataFrame, rules: DataFrame) -> DataFrame:
