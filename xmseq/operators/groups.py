@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from xmseq.storage import pin
+from xmseq.storage import BROADCAST_BYTES, SMALL_ROWS, fits, pin
 
 HOT_ROWS = 2_000_000
 COPY_BLOCK = 10_000
@@ -49,6 +49,8 @@ def split_hot(
     large = pin(large, "hot-groups")
     n = large.agg(F.sum("_n")).first()[0]
     other, equal = same(df, large.select(*keys), keys)
+    # Each has more than `hot_rows` rows, so there are few: rows are told apart where they are, not in one task per key.
+    other = F.broadcast(other) if fits(other, SMALL_ROWS, BROADCAST_BYTES) else other
     return df.join(other, equal, "left_anti"), df.join(other, equal, "left_semi"), n
 
 

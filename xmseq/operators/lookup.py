@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from xmseq.model import IID, ITEM, ITEM_KEY, MARKET, VECTOR
-from xmseq.storage import BROADCAST_BYTES, SMALL_ROWS, at_most, pin, vector_table_bytes
+from xmseq.storage import BROADCAST_BYTES, SMALL_ROWS, fits, pin, vector_table_bytes
 
 HOT_KEYS = 1024
 
 
 def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", small: bool | None = None) -> DataFrame:
-    """Join a table of one row per key. Broadcast if it is small (checked), else shuffled with hot keys apart."""
-    small = at_most(table, SMALL_ROWS) if small is None else small
+    """Join a table of one row per key. Broadcast if rows and bytes are few (checked), else shuffled with hot keys apart."""
+    small = fits(table, SMALL_ROWS, BROADCAST_BYTES) if small is None else small
     if small:
         return df.join(F.broadcast(table), list(on), how)
     return spread_lookup(df, table, on, how)

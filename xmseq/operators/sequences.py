@@ -13,8 +13,7 @@ from xmseq.operators.prep import market_item_sets
 from xmseq.storage import SMALL_ROWS, at_most, pin
 
 TRAIN, VALID, TEST = "train", "valid", "test"
-# Default of spark.sql.optimizer.windowGroupLimitThreshold.
-GROUP_LIMIT = 1000
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def _order(inter: DataFrame, ties: Sequence[str]) -> list[str]:
@@ -95,10 +94,10 @@ def loo_split(rows: DataFrame) -> DataFrame:
 def last_events(inter: DataFrame, ties: Sequence[str], n: int) -> DataFrame:
     """The last `n` events of each user with `back` = 1 for the latest.
 
-    Each task passes on at most `n` rows of a user, so no user is too large. Spark does that for limits below
-    GROUP_LIMIT; a longer reach is taken from the positions of all events.
+    Each task passes on at most `n` rows of a user, so no user is too large. Spark does that for limits below the one
+    the session sets; a longer reach is taken from the positions of all events.
     """
-    if n >= GROUP_LIMIT:
+    if n >= int(inter.sparkSession.conf.get(GROUP_LIMIT)):
         placed = order_events(inter, ties).withColumn("back", F.col(EVENTS) - F.col(POS) + 1)
         return placed.where(F.col("back") <= n).drop(POS, EVENTS)
     latest = [F.col(c).desc() for c in _order(inter, ties)]

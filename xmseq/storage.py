@@ -52,3 +52,18 @@ def vector_table_bytes(df: DataFrame, column: str) -> int:
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether `df` has at most `rows` rows; reads no further than needed."""
     return df.limit(rows + 1).count() <= rows
+
+
+def fits(df: DataFrame, rows: int, size: int) -> bool:
+    """Whether `df` has at most `rows` rows and `size` bytes; reads no further than needed."""
+    width = F.lit(16)
+    for field in df.schema.fields:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(field.name), F.lit(0)) + 8
+        elif kind == "array":
+            width = width + F.coalesce(F.size(field.name), F.lit(0)) * 8 + 16
+        else:
+            width = width + 8
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(width.cast("bigint")).alias("size")).first()
+    return found["n"] <= rows and (found["size"] or 0) <= size
