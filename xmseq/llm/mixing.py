@@ -10,6 +10,7 @@ plan of one row per leaf and are not shuffled.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +20,9 @@ from xmseq.storage import pin
 
 LEVELS = ("domain", "lang", "source")
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hex digits of the order that cut a leaf into parts: 16^3 sums are kept per leaf.
-DIGITS = 3
+#: Hex digits of the order that cut a leaf into parts, and the part in which its budget ends into parts of its own: 256 sums
+#: per leaf each time, and rows of one 65,536th of it at last.
+DIGITS = (2, 4)
 
 
 def token_count(text: str = "text") -> Column:
@@ -93,17 +95,24 @@ def leaf_plan(
     plan = budgets.join(joined, same_leaf()).select(*LEVELS, "tokens", "budget", F.expr("if(tokens = 0, 0, budget div tokens)").alias("epochs"))
     plan = pin(plan, "mixing-plan")
     rows = with_plan(docs, plan).where("epochs * tokens < budget").withColumn("key", order_key(seed, F.col("epochs")))
-    rows = rows.withColumn("part", F.substring("key", 1, DIGITS)).withColumn("room", F.expr("budget - epochs * tokens"))
+    rows = rows.withColumn("room", F.expr("budget - epochs * tokens")).withColumn("before", F.lit(0).cast("bigint"))
     # A leaf of any size: sums of its parts first, then the rows of the one part in which the room ends.
-    parts = rows.groupBy(*LEVELS, "part", "room").agg(F.sum("n_tokens").alias("n"), F.max(F.struct("key", "doc_id")).alias("last"))
-    upto = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("part"))
-    parts = parts.withColumn("upto", upto)
-    whole = parts.where("upto <= room").groupBy(*LEVELS).agg(F.max("last").alias("last"))
-    edge = parts.where("upto > room and upto - n <= room").select(*[F.col(c).alias(f"_{c}") for c in LEVELS], F.col("part").alias("_part"), F.expr("upto - n").alias("before"))
-    inside = rows.join(edge, same_leaf() & (F.col("part") == F.col("_part")))
-    inside = inside.withColumn("sum", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("key", "doc_id")))
-    some = inside.where("sum <= room").groupBy(*LEVELS).agg(F.max(F.struct("key", "doc_id")).alias("last"))
-    last = whole.unionByName(some).groupBy(*LEVELS).agg(F.max("last").alias("last"))
+    largest = F.max(F.struct("key", "doc_id")).alias("last")
+    found = []
+    for digits in DIGITS:
+        rows = rows.withColumn("part", F.substring("key", 1, digits))
+        parts = rows.groupBy(*LEVELS, "part", "room", "before").agg(F.sum("n_tokens").alias("n"), largest)
+        upto = F.col("before") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("part"))
+        parts = parts.withColumn("upto", upto)
+        found.append(parts.where("upto <= room").groupBy(*LEVELS).agg(F.max("last").alias("last")))
+        edge = parts.where("upto > room and upto - n <= room")
+        edge = edge.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], F.col("part").alias("_part"), F.expr("upto - n").alias("_before"))
+        rows = rows.join(edge, same_leaf() & (F.col("part") == F.col("_part")))
+        rows = rows.withColumn("before", F.col("_before")).drop(*edge.columns)
+    upto = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("key", "doc_id"))
+    found.append(rows.withColumn("upto", upto).where("upto <= room").groupBy(*LEVELS).agg(largest))
+    last = reduce(DataFrame.unionByName, found)
+    last = last.groupBy(*LEVELS).agg(F.max("last").alias("last"))
     last = last.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "last")
     return pin(plan.join(last, same_leaf(), "left").select(*LEVELS, "tokens", "budget", "epochs", "last"), "mixing-plan")
 
