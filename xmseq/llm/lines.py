@@ -81,11 +81,12 @@ def repeated_windows(docs: DataFrame, run: int) -> DataFrame:
 
     prints = docs.where("doc_id is not null").mapInArrow(select, f"doc_id {kind}, fingerprint bigint, start bigint, windows array<bigint>")
     prints = pin(prints, "line-fingerprints")
-    again = prints.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    # Joins, not windows over a key: Spark splits what a frequent line brings together.
+    # Joins with stored tables, not windows over a key: Spark splits what a frequent line brings together.
+    again = pin(prints.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "line-repeats")
     met = prints.join(again, "fingerprint").select("doc_id", "start", F.posexplode("windows").alias("i", "whole"))
     met = pin(met.select("whole", "doc_id", (F.col("start") + F.col("i")).alias("start")), "line-windows")
-    first = met.groupBy("whole").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = met.groupBy("whole").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
+    first = pin(first.where("n > 1"), "line-firsts")
     late = met.join(first, "whole").where(F.struct("doc_id", "start") > F.col("first"))
     return late.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
