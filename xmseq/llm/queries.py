@@ -226,4 +226,58 @@ URLS_SQL = rf"""
     SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict, coalesce(component, key) AS alias
     FROM p LEFT JOIN ruled USING (key) LEFT JOIN groups_ USING (key) LEFT JOIN spoken USING (component)"""
 
-SQL: dict[str, str] = {"op4_mixing": MIXING_SQL, "op5_urls": URLS_SQL, "op10_lines": LINES_SQL}
+def closure(links: str) -> str:
+    """Smallest node reachable along the links (a, b), given in both directions."""
+    return f"""
+      reach(node, seen) AS (SELECT DISTINCT a, a FROM {links} UNION SELECT r.node, l.b FROM reach r JOIN {links} l ON r.seen = l.a),
+      components AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)"""
+
+
+LATTICE_SQL = f"""
+    WITH RECURSIVE v AS (
+      SELECT vec_id, label, embedding::double[] AS e FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+      links AS (
+        SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+        WHERE list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))) >= 0.98),
+      {closure("links")}
+    SELECT vec_id, coalesce(n, 0)::bigint AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+    FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = vec_id LEFT JOIN components ON node = vec_id"""
+
+NEAR_SQL = f"""
+    WITH RECURSIVE split AS (
+      SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{urls.UPPER}', '{urls.LOWER}'), '{WORD}'), []) AS ws FROM documents),
+      sets AS (
+        SELECT DISTINCT doc_id, md5(array_to_string(CASE WHEN len(ws) < 3 THEN ws ELSE ws[i:i + 2] END, ' ')) AS s
+        FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM split WHERE len(ws) > 0)),
+      sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+      both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+      pairs AS (
+        SELECT a, b FROM both_ JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both_.n >= 85 * (x.n + y.n - both_.n)),
+      links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+      {closure("links")}
+    SELECT doc_id, coalesce(n, 0)::bigint AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+    FROM split LEFT JOIN sizes USING (doc_id) LEFT JOIN components ON node = doc_id"""
+
+SUBSTRINGS_SQL = f"""
+    WITH split AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) AS ws FROM documents),
+      windows AS (
+        SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS run
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM split WHERE len(ws) >= 20)),
+      late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM windows) WHERE k > 1),
+      gone AS (SELECT doc_id, list(DISTINCT i + j) AS places FROM late, range(20) r(j) GROUP BY doc_id),
+      kept AS (
+        SELECT doc_id, len(ws) AS n, coalesce(len(places), 0) AS n_removed,
+          CASE WHEN places IS NULL THEN ws ELSE list_filter(ws, lambda w, i: NOT list_contains(places, i)) END AS ws
+        FROM split LEFT JOIN gone USING (doc_id))
+    SELECT doc_id, n::bigint AS n_words, n_removed::bigint AS n_removed, sha256(array_to_string(ws, ' ')) AS kept_sha256 FROM kept"""
+
+SQL: dict[str, str] = {
+    "op1_lattice": LATTICE_SQL,
+    "op4_mixing": MIXING_SQL,
+    "op5_urls": URLS_SQL,
+    "op7_near_groups": NEAR_SQL,
+    "op9_substrings": SUBSTRINGS_SQL,
+    "op10_lines": LINES_SQL,
+}
