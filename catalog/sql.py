@@ -103,11 +103,11 @@ BLOCKS = {
         from ranks, (values ('MRR'), ('NDCG')) m(metric), (values (5::bigint), (10::bigint), (20::bigint)) t(k)
         group by all""",
     ),
+    "offered": (["ids", "vectors"], "select market, item_id, v from ids join vectors using (item_id)"),
     "logits": (
-        ["targets", "ids", "vectors"],
-        """select t.market, t.user_id, t.item_id, ids.item_id as other, list_dot_product(seq_v, v) as score
-        from targets t join ids on ids.market = t.market join vectors on vectors.item_id = ids.item_id
-        where t.phase = 'test'""",
+        ["targets", "offered"],
+        """select t.market, t.user_id, t.item_id, o.item_id as other, list_dot_product(seq_v, v) as score
+        from targets t join offered o on o.market = t.market where t.phase = 'test'""",
     ),
     "nll": (
         ["logits"],
@@ -150,6 +150,10 @@ BLOCKS = {
 }
 
 
+# Made once, so that no join order builds a table of all pairs.
+MATERIALIZED = {"offered", "encoded", "targets"}
+
+
 def _with(names: str, blocks: dict[str, tuple[list[str], str]]) -> str:
     """The named blocks and what they need, in order."""
     done: list[str] = []
@@ -162,7 +166,8 @@ def _with(names: str, blocks: dict[str, tuple[list[str], str]]) -> str:
 
     for name in names.split():
         add(name)
-    return "with " + ",\n".join(f"{n} as ({blocks[n][1]})" for n in done) + "\n"
+    kept = {n: " materialized" if n in MATERIALIZED else "" for n in done}
+    return "with " + ",\n".join(f"{n} as{kept[n]} ({blocks[n][1]})" for n in done) + "\n"
 
 
 def digits(vector: str) -> str:
@@ -526,7 +531,12 @@ def encoder_blocks(places: tuple[list[str], str], model: tuple[list[str], str])
         "mixed": (["dense", "last"], _added("dense", "last")),
         "hidden": (["mixed"], _norm("mixed", _ATT + "LayerNorm")),
         "inner1": (["hidden"], _linear("hidden", _FF + "dense_1")),
-        "inner2": (["inner1"], f"select id, list_transform(v, lambda a: {_gelu('a')}) as v from inner1"),
+        # One row per number: the terms of a whole list at once would not fit into memory.
+        "inner2": (
+            ["inner1"],
+            f"""select id, list({_gelu('a')} order by i) as v from (
+            select id, unnest(v) as a, generate_subscripts(v, 1) as i from inner1) group by id""",
+        ),
         "inner3": (["inner2"], _linear("inner2", _FF + "dense_2")),
         "mixed2": (["inner3", "hidden"], _added("inner3", "hidden")),
         "output": (["mixed2"], _norm("mixed2", _FF + "LayerNorm")),
@@ -583,11 +593,11 @@ define(
 )
 define(
     "encoder_top_items",
-    "targets ids vectors",
+    "targets offered",
     """select market, user_id, item_id, s + 0.0 as score, rank from (
     select market, user_id, item_id, s, row_number() over (partition by market, user_id order by s desc, item_id) as rank
-    from (select t.market, t.user_id, ids.item_id, round(list_dot_product(seq_v, k.v), 6) as s
-    from targets t join ids on ids.market = t.market join vectors k on k.item_id = ids.item_id)) where rank <= 10""",
+    from (select t.market, t.user_id, o.item_id, round(list_dot_product(seq_v, o.v), 6) as s
+    from targets t join offered o on o.market = t.market)) where rank <= 10""",
     _OWN_MODEL,
 )
 define("select_weights", "chosen", f"select weight, row, {digits('v')} as v from chosen")
