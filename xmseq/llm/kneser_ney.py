@@ -27,7 +27,7 @@ from xmseq.llm.words import ROLL, bounds, hashes, mix, slices, text_bytes
 from xmseq.storage import shared_path
 
 BEGIN, END = np.uint64(0x5D3B8C1E97A6F024), np.uint64(0xA1C4E7F3529B6D08)
-SLICE = 6 << 20
+SLICE = 9 << 20
 BUCKET_BYTES = 8 << 20
 NAMES = ["bucket", "a", "b", "c", "d", "stats"]
 
