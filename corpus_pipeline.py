@@ -28,9 +28,9 @@ def find_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated runs of lines, n_chars brought in line; a document all of whose lines repeat goes."""
+    """Texts without repeated runs of three lines or 50 words, n_chars brought in line; a document all of whose lines repeat goes."""
     names = docs.columns
-    kept = lines.drop_repeated_lines(docs).where("n_removed = 0 or n_removed < n_lines")
+    kept = lines.drop_repeated_lines(docs, words=lines.LONG).where("n_removed = 0 or n_removed < n_lines")
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*names)
 
 

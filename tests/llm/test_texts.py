@@ -170,6 +170,41 @@ def test_drop_repeated_lines(spark, run):
     assert lines.drop_repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def long_lines_by_hand(rows, run, least):
+    """Windows of `run` lines, and the fewest lines from each one on that hold `least` words."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        every = t.split("\n")
+        counted = [j for j, x in enumerate(every) if words(x)]
+        gone = set()
+        for s in range(len(counted)):
+            sizes = [len(words("\n".join(every[j] for j in counted[s : s + k]))) for k in range(1, run + 1)]
+            for k in {run, next((k for k, n in enumerate(sizes, 1) if n >= least), run)}:
+                key = tuple(every[j] for j in counted[s : s + k])
+                if len(key) == k and key in seen:
+                    gone.update(counted[s : s + k])
+                seen.add(key if len(key) == k else None)
+        out[i] = (len(counted), len(gone), "\n".join(x for j, x in enumerate(every) if j not in gone))
+    return out
+
+
+@pytest.mark.parametrize("run", [1, 3])
+def test_long_lines_repeat_by_themselves(spark, run):
+    rng = random.Random(run)
+    long, pair, short = prose(rng, 50), [prose(rng, 25), prose(rng, 30)], prose(rng, 49)
+    rows = [(i, "\n".join([prose(rng, 3), long, prose(rng, 3), *pair, prose(rng, 3), short])) for i in range(3)]
+    rows += [(10, long), (11, "\n".join(pair)), (12, short), (13, f"{long}\n\n{long}"), (14, "")]
+    pool = [prose(rng, n) for n in (1, 2, 10, 20, 24, 30, 49, 50, 90)] + ["", " \t"]
+    beside = [prose(rng, 5), prose(rng, 60), prose(rng, 5)]
+    rows += [(15, "\n".join(beside)), (16, "\n".join(beside))]
+    rows += [(20 + i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(14)))) for i in range(60)]
+    expect = long_lines_by_hand(rows, run, 50)
+    found = lines.drop_repeated_lines(spark.createDataFrame(rows, SCHEMA), run, 50).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in found} == expect
+    if run == 3:
+        assert long not in expect[1][2] and expect[1][1] == 3 and expect[10][1] == 1 and expect[11][1] == 2 and expect[12][1] == 0 and expect[16][1] == 3
+
+
 def test_mixing_hands_shortage_to_siblings_first(spark):
     """d0 is short in fr, which en takes; what both lack goes to d1."""
     rows = [(i, "w " * 10, d, lang, s) for i, (d, lang, s) in enumerate(
