@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,24 @@ def test_kneser_ney_edges(spark):
         kneser_ney.mounted("hdfs://store/folder")
 
 
+def test_kneser_ney_frequent_words(spark, monkeypatch):
+    """The pairs of a frequent word are shared out over the buckets, and scores stay."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"the n{rng.randrange(4000)}" for _ in range(500)) + " of the of a") for i in range(20)]
+    rows.append((30, prose(rng, 3000)))
+    train, asked = spark.createDataFrame(rows[1:], SCHEMA).repartition(3), spark.createDataFrame([*rows, (40, "the a the unseen")], SCHEMA)
+    found = []
+    for most in (1 << 40, 400):
+        monkeypatch.setattr(kneser_ney, "MOST_PAIRS", most, raising=False)
+        model = kneser_ney.train(train)
+        sizes = [len(np.load(p)) for p in Path(model.folder).glob("pair-*-0.npy")]
+        found.append(sorted(map(tuple, kneser_ney.score(asked, model).collect())))
+    assert sum(sizes) == model.pairs and max(sizes) < 0.4 * model.pairs
+    assert len(found[0]) == len(found[1]) == 22
+    for a, b in zip(*found, strict=True):
+        assert a[:4] == b[:4] and all(math.isclose(x, y, rel_tol=1e-12) for x, y in zip(a[4:], b[4:], strict=True))
+
+
 def removed_by_hand(rows, window):
     seen, out = set(), {}
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):

@@ -4,8 +4,9 @@ A word pair (v, w) has the probability (c - D(c)) / c(v) + g(v) * p(w), where c
 begins, D is a discount for counts of one, two and more, and g(v) the weight that discounting sets free. p(w) is the same
 kind of estimate from the number of different words before w, and gives what it sets free to all words and one unknown one
 alike. The model is kept as sorted arrays of 64-bit hashes, one file of each kind and bucket, in the shared folder. Buckets
-are shares of the hash range of v (or w), so any number of tasks counts the corpus and no file outgrows a task. A worker
-maps the files and looks up what a slice of its texts asks for in the order of the hashes.
+are shares of the hash range of v (or w). A word that begins too many pairs for one task is frequent: its pairs are shared
+out by the hash of (v, w), and its sums are added up from the buckets. So any number of tasks counts the corpus and no file
+outgrows a task. A worker maps the files and looks up what a slice of its texts asks for in the order of the hashes.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from xmseq.storage import shared_path
 BEGIN, END = np.uint64(0x5D3B8C1E97A6F024), np.uint64(0xA1C4E7F3529B6D08)
 SLICE = 9 << 20
 BUCKET_BYTES = 8 << 20
+#: Rows that one word may bring to its bucket, one for each pair it begins in a slice; words above are frequent.
+MOST_PAIRS = 1 << 19
 NAMES = ["bucket", "a", "b", "c", "d", "stats"]
 
 
@@ -44,6 +47,8 @@ class Model:
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     free: float
+    #: Hashes of the frequent words, ascending.
+    frequent: np.ndarray
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -88,6 +93,37 @@ def bucket_of(key: np.ndarray, bits: int) -> np.ndarray:
     return (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
 
 
+def among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of `x` are in the ascending `some`."""
+    return some[np.searchsorted(some, x).clip(0, len(some) - 1)] == x if len(some) else np.zeros(len(x), bool)
+
+
+def pair_place(before: np.ndarray, key: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """What a pair of key `key` is shared out by: the hash of its first word, or the key if that word is frequent."""
+    return np.where(among(before, frequent), key, mix(before))
+
+
+def frequent_words(docs: DataFrame, pieces: int) -> np.ndarray:
+    """Words that bring more than MOST_PAIRS rows to their bucket, and maybe some of more than a half of that.
+
+    `pieces` is the most slices there can be. A slice leaves out words that begin so few pairs in it that all slices leave
+    out a half of MOST_PAIRS of a word at most; what they tell of is frequent from the other half on.
+    """
+    least = max(2, MOST_PAIRS // 2 // pieces)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for before, word, _ in tokens(batch.column("text")):
+                place, _ = distinct(pair_key(before, word))
+                at, n = summed(before[place], np.ones(len(place), np.int64))
+                often = n >= least
+                yield pa.record_batch([pa.array(before[place][at][often].view(np.int64)), pa.array(n[often])], ["v", "n"])
+
+    found = docs.select("text").mapInArrow(count, "v bigint, n bigint").groupBy("v").agg(F.sum("n").alias("n"))
+    rows = found.where(F.col("n") > MOST_PAIRS // 2).select("v").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
 def cuts_of(x: np.ndarray) -> list[tuple[int, int]]:
     """Runs of equal values."""
     if not len(x):
@@ -130,18 +166,23 @@ def train(docs: DataFrame) -> Model:
     """Count the texts of `docs` (column text, a null counting as empty) and write the arrays."""
     spark = docs.sparkSession
     folder = mounted(shared_path(spark, "kneser-ney"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sizes = docs.select(F.octet_length("text").alias("size"), F.spark_partition_id().alias("part"))
+    size, rows, last = (x or 0 for x in sizes.agg(F.sum("size"), F.count("*"), F.max("part")).first())
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     bits = max(0, (tasks - 1).bit_length())
+    # Two slices next to each other hold more than SLICE; a batch and a partition end with a smaller one.
+    batch_rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    frequent = frequent_words(docs, 1 + last + rows // max(batch_rows, 1) + 2 * size // SLICE)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for before, word, _ in tokens(batch.column("text")):
                 place, n = summed(pair_key(before, word), np.ones(len(word), np.int64))
                 v, w = before[place], word[place]
-                key = mix(v)
-                order = grouped(key)
-                v, w, n, bucket = v[order], w[order], n[order], bucket_of(key[order], bits)
+                bucket = bucket_of(pair_place(v, pair_key(v, w), frequent), bits)
+                order = grouped(mix(v))
+                order = order[np.argsort(bucket[order].astype(np.uint16) if bits <= 16 else bucket[order], kind="stable")]
+                v, w, n, bucket = v[order], w[order], n[order], bucket[order]
                 rows = []
                 for lo, hi in cuts_of(bucket):
                     first = np.array([a for a, _ in cuts_of(v[lo:hi])])
@@ -171,10 +212,16 @@ def train(docs: DataFrame) -> Model:
             bucket = part.column("bucket")[0].as_py()
             save(folder, f"pair-{bucket}", key, np.minimum(n, 255).astype(np.uint8), key[many], n[many])
             at, total, *kinds = summed(mix(v), n, *((n == 1) * 1, (n == 2) * 1, (n > 2) * 1))
-            save(folder, f"context-{bucket}", mix(v[at]), total, np.stack(kinds, 1).astype(np.uint32))
+            often, sums = among(v[at], frequent), np.stack([total, *kinds], 1)
+            if not often.all():
+                save(folder, f"context-{bucket}", mix(v[at[~often]]), total[~often], sums[~often, 1:].astype(np.uint32))
+            name = mix(v[at[often]])
             at, seen, raw = summed(mix(w), np.ones(len(w), np.int64), n)
             last = mix(w[at])
             rows = [(int(b), last[x:y].tobytes(), pack(seen[x:y]), pack(raw[x:y]), b"") for (x, y) in cuts_of(bucket_of(last, bits)) for b in [bucket_of(last[x : x + 1], bits)[0]]]
+            # The sums of frequent words go on, to be added up where their own hash is.
+            sums = np.column_stack([name.view(np.int64), sums[often]])
+            rows += [(int(bucket_of(name[x : x + 1], bits)[0]), b"", b"", b"", sums[x:y].tobytes()) for x, y in cuts_of(bucket_of(name, bits))]
             stats = [int(len(n)), *(int((n == k).sum()) for k in (1, 2, 3, 4))]
             out.append(table_of(rows, stats))
         return pa.Table.from_batches(out)
@@ -183,10 +230,16 @@ def train(docs: DataFrame) -> Model:
         out = []
         for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             part = table.slice(lo, hi - lo)
-            key = np.concatenate([np.frombuffer(x, np.uint64) for x in part.column("a").to_pylist()])
-            seen, raw = (np.concatenate([unpack(x) for x in part.column(c).to_pylist()]) for c in "bc")
+            key = np.frombuffer(b"".join(part.column("a").to_pylist()), np.uint64)
+            seen, raw = (np.concatenate([np.zeros(0, np.int64), *(unpack(x) for x in part.column(c).to_pylist() if x)]) for c in "bc")
             at, seen, raw = summed(key, seen, raw)
-            save(folder, f"word-{part.column('bucket')[0].as_py()}", key[at], seen, raw)
+            bucket = part.column("bucket")[0].as_py()
+            if len(at):
+                save(folder, f"word-{bucket}", key[at], seen, raw)
+            often = np.frombuffer(b"".join(part.column("d").to_pylist()), np.int64).reshape(-1, 5)
+            if len(often):
+                at, total, *kinds = summed(often[:, 0].copy().view(np.uint64), *often.T[1:])
+                save(folder, f"frequent-{bucket}", often[at, 0].copy().view(np.uint64), total, np.stack(kinds, 1))
             stats = np.sum([s for s in part.column("stats").to_pylist() if s] or [[0] * 5], axis=0).tolist()
             own = [int(raw.sum()), len(raw), int(seen.sum()), *(int((seen == k).sum()) for k in (1, 2, 3, 4)), int((seen > 2).sum())]
             out.append([*stats, *map(int, own)])
@@ -200,7 +253,7 @@ def train(docs: DataFrame) -> Model:
     n_pairs, pair_kinds, (n_tokens, n_words, total), word_kinds, more = sums[0], sums[1:5], sums[5:8], sums[8:12], sums[12]
     d = discounts(word_kinds)
     free = (d[0] * word_kinds[0] + d[1] * word_kinds[1] + d[2] * more) / total if total else 1.0
-    return Model(folder, bits, n_tokens, n_words, n_pairs, discounts(pair_kinds), d, free)
+    return Model(folder, bits, n_tokens, n_words, n_pairs, discounts(pair_kinds), d, free, frequent)
 
 
 def look_up(folder: str, name: str, bits: int, key: np.ndarray, bucket_key: np.ndarray, columns: int) -> list[np.ndarray]:
@@ -226,7 +279,7 @@ def look_up(folder: str, name: str, bits: int, key: np.ndarray, bucket_key: np.n
             if len(full):
                 often = np.load(f"{path}-2.npy", mmap_mode="r")
                 out[0][full] = np.load(f"{path}-3.npy", mmap_mode="r")[np.searchsorted(often, key[full])]
-    return out if out is not None else [np.zeros((len(key), 3) if name == "context" and i else len(key), np.int64) for i in range(columns)]
+    return out if out is not None else [np.zeros((len(key), 3) if name in ("context", "frequent") and i else len(key), np.int64) for i in range(columns)]
 
 
 def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,10 +299,13 @@ def log_probabilities(m: Model, before: np.ndarray, word: np.ndarray) -> tuple[n
     total = max(m.pairs, 1)
     p_word = (seen - taken(seen, m.word_discounts)) / total + m.free / (m.words + 1)
     at, pair_no = distinct(pair_key(before, word))
-    v = mix(before[at])
-    (count,) = look_up(m.folder, "pair", m.bits, pair_key(before[at], word[at]), v, 1)
+    v, key = mix(before[at]), pair_key(before[at], word[at])
+    (count,) = look_up(m.folder, "pair", m.bits, key, pair_place(before[at], key, m.frequent), 1)
     context, context_no = distinct(v)
     sums, kinds = look_up(m.folder, "context", m.bits, v[context], v[context], 2)
+    often = among(before[at][context], m.frequent)
+    if often.any():
+        sums[often], kinds[often] = look_up(m.folder, "frequent", m.bits, v[context][often], v[context][often], 2)
     free = kinds @ np.array(m.pair_discounts)
     sums, free = sums[context_no], free[context_no]
     lower = p_word[word_no[at]]
