@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xmseq.llm import fingerprints, inverted, kneser_ney, language, lattice, lines, mixing, packing, substrings, urls
+from xmseq.llm import centroids, fingerprints, inverted, kneser_ney, language, lattice, lines, mixing, packing, substrings, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,13 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector of 64 components after ten rounds around 8 centroids."""
+    found = centroids.clusters(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
     "op2_fingerprints": op2_fingerprints,
@@ -103,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_substrings": op9_substrings,
     "op10_lines": op10_lines,
+    "op13_centroids": op13_centroids,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -273,6 +281,38 @@ SUBSTRINGS_SQL = f"""
         FROM split LEFT JOIN gone USING (doc_id))
     SELECT doc_id, n::bigint AS n_words, n_removed::bigint AS n_removed, sha256(array_to_string(ws, ' ')) AS kept_sha256 FROM kept"""
 
+def centroids_sql(k: int = 8, rounds: int = 10, width: int = 64) -> str:
+    """Each round as a table of squared distances, the nearest centroid, and the new centroids."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+      asg{r} AS MATERIALIZED (
+        SELECT rid, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d
+        FROM (SELECT rid, cluster, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{r} c USING (dim) GROUP BY rid, cluster) GROUP BY rid)""")
+        if r < rounds:
+            steps.append(f"""
+      c{r + 1} AS MATERIALIZED (
+        SELECT cluster, dim, coalesce((s - ((s % n) + n) % n) // n, v) AS v
+        FROM c{r} LEFT JOIN (SELECT cluster, dim, sum(v) AS s, count(*)::hugeint AS n FROM x JOIN asg{r} USING (rid) GROUP BY ALL) USING (cluster, dim))""")
+    return f"""
+    WITH kept AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, embedding FROM embeddings
+        WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+      x AS MATERIALIZED (
+        SELECT rid, dim, floor(1024 * embedding[dim]::double)::hugeint AS v
+        FROM (SELECT rid, embedding, unnest(range(1, {width + 1})) AS dim FROM kept)),
+      c0 AS MATERIALIZED (
+        SELECT cluster, dim, v FROM x JOIN (
+          SELECT rid, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS cluster FROM kept QUALIFY cluster < {k}) USING (rid)),{",".join(steps)},
+      sums AS (
+        SELECT cluster, sum(d)::bigint AS cluster_inertia, sum(sum(d)) OVER ()::bigint AS inertia FROM asg{rounds} GROUP BY cluster),
+      names AS (SELECT cluster, sha256(string_agg(v::varchar, ',' ORDER BY dim)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+    SELECT vec_id, cluster::int AS cluster, d::bigint AS distance, cluster_inertia, inertia, centroid_sha256
+    FROM kept JOIN asg{rounds} USING (rid) JOIN sums USING (cluster) JOIN names USING (cluster)"""
+
+
+CENTROIDS_SQL = centroids_sql()
+
 SQL: dict[str, str] = {
     "op1_lattice": LATTICE_SQL,
     "op4_mixing": MIXING_SQL,
@@ -280,4 +320,5 @@ SQL: dict[str, str] = {
     "op7_near_groups": NEAR_SQL,
     "op9_substrings": SUBSTRINGS_SQL,
     "op10_lines": LINES_SQL,
+    "op13_centroids": CENTROIDS_SQL,
 }
