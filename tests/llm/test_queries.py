@@ -17,6 +17,7 @@ COLUMNS = {
     "op8_language": ["doc_id", "held_out", "lang_pred", "score"],
     "op9_substrings": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op10_lines": ["doc_id", "n_lines", "n_removed", "kept_sha256"],
+    "op11_phrases": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
     "op13_centroids": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xmseq.llm import centroids, fingerprints, inverted, kneser_ney, language, lattice, lines, mixing, packing, substrings, urls
+from xmseq.llm import centroids, fingerprints, inverted, kneser_ney, language, lattice, lines, mixing, packing, phrases, substrings, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,11 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 phrases of each language whose parts belong together most."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster of every vector of 64 components after ten rounds around 8 centroids."""
     found = centroids.clusters(table(spark, sf_dir, "embeddings"))
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_substrings": op9_substrings,
     "op10_lines": op10_lines,
+    "op11_phrases": op11_phrases,
     "op13_centroids": op13_centroids,
 }
 
@@ -281,6 +287,29 @@ SUBSTRINGS_SQL = f"""
         FROM split LEFT JOIN gone USING (doc_id))
     SELECT doc_id, n::bigint AS n_words, n_removed::bigint AS n_removed, sha256(array_to_string(ws, ' ')) AS kept_sha256 FROM kept"""
 
+PHRASES_SQL = f"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+      FROM documents),
+      split AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+      sizes AS (SELECT lang, sum(len(ws)) AS n FROM split GROUP BY lang),
+      places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM split),
+      f AS MATERIALIZED (
+        SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS a
+        FROM places, range(1, 6) lengths(k) WHERE i + k - 1 <= len(ws) GROUP BY ALL HAVING a >= 100),
+      kept AS (
+        SELECT * FROM f WHERE k > 1 AND NOT EXISTS (
+          SELECT 1 FROM f g WHERE g.lang = f.lang AND g.k > f.k AND g.a >= f.a AND contains(' ' || g.phrase || ' ', ' ' || f.phrase || ' '))),
+      cuts AS (
+        SELECT c.lang, c.phrase, c.a, h.a AS l, t.a AS r, n, (1000 * c.a::hugeint * n) // (h.a::hugeint * t.a) AS score, h.k AS cut
+        FROM kept c JOIN f h ON h.lang = c.lang AND h.k < c.k AND starts_with(c.phrase, h.phrase || ' ')
+          JOIN f t ON t.lang = c.lang AND t.phrase = c.phrase[length(h.phrase) + 2:] JOIN sizes s ON s.lang = c.lang),
+      scored AS (
+        SELECT lang, phrase, a, n, min(score) AS score, arg_min(l, (score, cut)) AS l, arg_min(r, (score, cut)) AS r FROM cuts GROUP BY ALL),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored)
+    SELECT lang, rank, phrase, a, l, r, n::bigint AS n, score::bigint AS score FROM ranked WHERE rank <= 2000"""
+
+
 def centroids_sql(k: int = 8, rounds: int = 10, width: int = 64) -> str:
     """Each round as a table of squared distances, the nearest centroid, and the new centroids."""
     steps = []
@@ -320,5 +349,6 @@ SQL: dict[str, str] = {
     "op7_near_groups": NEAR_SQL,
     "op9_substrings": SUBSTRINGS_SQL,
     "op10_lines": LINES_SQL,
+    "op11_phrases": PHRASES_SQL,
     "op13_centroids": CENTROIDS_SQL,
 }
