@@ -18,6 +18,7 @@ COLUMNS = {
     "op9_substrings": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op10_lines": ["doc_id", "n_lines", "n_removed", "kept_sha256"],
     "op11_phrases": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
+    "op12_suffixes": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op13_centroids": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
 }
 

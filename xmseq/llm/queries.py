@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xmseq.llm import centroids, fingerprints, inverted, kneser_ney, language, lattice, lines, mixing, packing, phrases, substrings, urls
+from xmseq.llm import centroids, fingerprints, inverted, kneser_ney, language, lattice, lines, mixing, packing, phrases, substrings, suffixes, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +97,13 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 50-byte strings that also start in an earlier document."""
+    kept = suffixes.drop_repeats(table(spark, sf_dir, "documents"))
+    spans = F.size("removed").cast("bigint").alias("n_spans")
+    return kept.select("doc_id", "n_bytes", "n_removed", spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster of every vector of 64 components after ten rounds around 8 centroids."""
     found = centroids.clusters(table(spark, sf_dir, "embeddings"))
@@ -116,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substrings": op9_substrings,
     "op10_lines": op10_lines,
     "op11_phrases": op11_phrases,
+    "op12_suffixes": op12_suffixes,
     "op13_centroids": op13_centroids,
 }
 
@@ -310,6 +318,25 @@ PHRASES_SQL = f"""
     SELECT lang, rank, phrase, a, l, r, n::bigint AS n, score::bigint AS score FROM ranked WHERE rank <= 2000"""
 
 
+#: Bytes as two hexadecimal digits each, cut into blocks first: a place in a long string is found by walking to it.
+SUFFIXES_SQL = """
+    WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+      blocks AS (SELECT rid, doc_id, b, substr(h, 1 + 2 * b, 1122) AS part FROM (SELECT *, unnest(range(0, length(h) // 2, 512)) AS b FROM texts)),
+      windows AS (
+        SELECT rid, doc_id, b + j AS p, substr(part, 1 + 2 * j, 100) AS w
+        FROM (SELECT *, unnest(range(0, least(512, length(part) // 2 - 49))) AS j FROM blocks)),
+      least_ AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+      late AS (SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS back FROM windows JOIN least_ USING (w) WHERE first < doc_id),
+      runs AS (SELECT rid, p, sum((back IS NULL OR p > back + 50)::int) OVER (PARTITION BY rid ORDER BY p) AS run FROM late),
+      spans AS (SELECT rid, run, min(p) AS a, max(p) + 50 AS z FROM runs GROUP BY ALL),
+      keeps AS (SELECT rid, run, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY run), 0) AS a, a AS z FROM spans),
+      tails AS (SELECT rid, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS z FROM spans GROUP BY rid),
+      heads AS (SELECT rid, string_agg(substr(h, 1 + 2 * a, 2 * (z - a)), '' ORDER BY run) AS h FROM keeps JOIN texts USING (rid) GROUP BY rid)
+    SELECT doc_id, length(t.h) // 2 AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans,
+      sha256(unhex(coalesce(heads.h || substr(t.h, 1 + 2 * z), t.h))) AS kept_sha256
+    FROM texts t LEFT JOIN tails USING (rid) LEFT JOIN heads USING (rid)"""
+
+
 def centroids_sql(k: int = 8, rounds: int = 10, width: int = 64) -> str:
     """Each round as a table of squared distances, the nearest centroid, and the new centroids."""
     steps = []
@@ -350,5 +377,6 @@ SQL: dict[str, str] = {
     "op9_substrings": SUBSTRINGS_SQL,
     "op10_lines": LINES_SQL,
     "op11_phrases": PHRASES_SQL,
+    "op12_suffixes": SUFFIXES_SQL,
     "op13_centroids": CENTROIDS_SQL,
 }
