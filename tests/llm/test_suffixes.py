@@ -80,9 +80,9 @@ def awkward():
     return rows
 
 
-@pytest.mark.parametrize(("window", "gram", "hot"), [(50, 24, 64), (50, 24, 2), (50, 50, 5), (30, 8, 64), (9, 8, 1)])
-def test_against_plain_version(spark, monkeypatch, window, gram, hot):
-    for name, value in (("HOT", hot), ("SLICE", 4000), ("PIECE", 700), ("BATCH", 3000), ("TASK_BYTES", 9000)):
+@pytest.mark.parametrize(("window", "gram", "hot", "step"), [(50, 24, 64, 64), (50, 24, 5, 2), (50, 50, 5, 64), (30, 8, 64, 3), (9, 8, 1, 1)])
+def test_against_plain_version(spark, monkeypatch, window, gram, hot, step):
+    for name, value in (("HOT", hot), ("IN_STEP", step), ("SLICE", 4000), ("PIECE", 700), ("BATCH", 3000), ("TASK_BYTES", 9000)):
         monkeypatch.setattr(suffixes, name, value)
     rows = awkward()
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as slice", "'x' as z", "2 as ids", "3 as kept").repartition(5)

@@ -10,8 +10,9 @@ sorted in step, one group of each at a time, so that the work is numpy's.
 Distribution: a window of 50 bytes belongs to the smallest hash of its 24-byte grams, so equal windows meet wherever they
 stand, and neighbouring windows of one hash form a segment. Hashes that occur in one document only are dropped. The distinct
 segments of a hash are one text, whose suffix array brings equal windows side by side; bytes are compared, not hashes. A
-hash in more than 64 documents (`HOT`) has too many distinct segments for one task to hold: its windows go out one by
-one, by 128-bit hashes of their bytes, and are met by those.
+hash of more than 64 distinct segments (`IN_STEP`) has its windows sorted as they are, since one long text would hold up the
+others; one in more than 4,096 documents (`HOT`) may have more than a task can hold, so its windows go out one by one, by
+128-bit hashes of their bytes, and are met by those.
 
 Documents are cut into slices, rows of a stored table. Slices send and are answered packed arrays, and a segment that
 repeats within a slice is sent once.
@@ -39,7 +40,9 @@ GRAM = 24
 SEGMENT = 64
 SLICE = 4 << 20
 PIECE = 1 << 20
-HOT = 64
+HOT = 4096
+#: A text of more segments than this is too long to be sorted in step with others: its windows are sorted as they are.
+IN_STEP = 64
 #: Symbols sorted in step.
 BATCH = 1 << 20
 INT, BIN = pa.int64(), pa.binary()
@@ -282,8 +285,13 @@ def record(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Recor
 # ---- hashes that recur ----
 
 
-def recurring(cuts: DataFrame, window: int, gram: int, tasks: int) -> DataFrame:
-    """For each slice and task a byte per key, in order: 0 in one document only, 1 recurs, 2 recurs in too many to sort."""
+def filter_bits(total: int) -> int:
+    """Bits of a hash that tell whether it recurs: few distinct ones collide, and those are only looked at in vain."""
+    return min(48, max(24, total.bit_length() + 4))
+
+
+def recurring(cuts: DataFrame, window: int, gram: int, tasks: int, bits: int) -> DataFrame:
+    """For each slice and task a byte per key, in order: 0 in one document only, 1 recurs, 2 recurs in too many for one task."""
     names = [("task", INT), ("slice", INT), ("keys", BIN), ("counts", BIN)]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,17 +299,17 @@ def recurring(cuts: DataFrame, window: int, gram: int, tasks: int) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 text, _, _, key = Slice(row["ids"], row["lengths"], row["z"]).segments(window, gram)
-                keys, counts = documents_of(key, text)
+                keys, counts = documents_of(key >> np.uint64(48 - bits), text)
                 order, task = by_task(keys, tasks)
                 keys, counts = keys[order], counts[order]
-                yield record([(int(task[a]), row["slice"], planes(np.diff(keys[a:b].view(np.int64), prepend=0)), planes(counts[a:b])) for a, b in runs_of(task)], names)
+                yield record([(int(task[a]), row["slice"], squeeze(planes(np.diff(keys[a:b].view(np.int64), prepend=0))), squeeze(planes(counts[a:b]))) for a, b in runs_of(task)], names)
 
     def meet(table: pa.Table, starts: np.ndarray) -> pa.Table:
         out = []
         for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             rows = table.slice(lo, hi - lo).to_pylist()
-            keys = [np.cumsum(from_planes(r["keys"])) for r in rows]
-            counts = np.concatenate([from_planes(r["counts"]) for r in rows])
+            keys = [np.cumsum(from_planes(expand(r["keys"]))) for r in rows]
+            counts = np.concatenate([from_planes(expand(r["counts"])) for r in rows])
             _, which = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(which, counts)
             level = ((total > 1).astype(np.uint8) + (total > HOT).astype(np.uint8))[which]
@@ -309,8 +317,8 @@ def recurring(cuts: DataFrame, window: int, gram: int, tasks: int) -> DataFrame:
             out += [(r["slice"], r["task"], squeeze(level[a:b].tobytes())) for r, a, b in zip(rows, at[:-1], at[1:], strict=True)]
         return pa.Table.from_batches([record(out, [("slice", INT), ("task", INT), ("levels", BIN)])])
 
-    sent = cuts.select("slice", "ids", "lengths", "z").mapInArrow(send, "task bigint, slice bigint, keys binary, counts binary")
-    return by_group(sent, ["task"], meet, "slice bigint, task bigint, levels binary")
+    sent = cuts.mapInArrow(send, "task bigint, slice bigint, keys binary, counts binary")
+    return pin(by_group(sent, ["task"], meet, "slice bigint, task bigint, levels binary"), "levels")
 
 
 def documents_of(key: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -326,82 +334,80 @@ def documents_of(key: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 # ---- segments that meet ----
 
-SENT = "kind int, task bigint, slice bigint, keys binary, windows binary, bytes binary, docs binary"
-#: Kinds of rows a slice leaves: its own notes, segments to be sorted, windows met by their hashes.
-NOTES, SEGMENTS, WINDOWS = 0, 1, 2
+SENT = "task bigint, slice bigint, keys binary, windows binary, bytes binary, docs binary"
+NAMES = [("task", INT), ("slice", INT), ("keys", BIN), ("windows", BIN), ("bytes", BIN), ("docs", BIN)]
+PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
-def send_segments(cuts: DataFrame, levels: DataFrame, window: int, gram: int, tasks: int) -> DataFrame:
-    names = [("kind", pa.int32()), ("task", INT), ("slice", INT), ("keys", BIN), ("windows", BIN), ("bytes", BIN), ("docs", BIN)]
+class Meeting:
+    """What a slice brings together with others: its distinct segments, and single windows of hashes that are too frequent.
 
-    def run(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        told = sorted((r for r in rows if r["z"] is None), key=lambda r: r["task"])
+    Both are numbered in the order of the tasks they go to; the numbers of every place are kept. Made again from the same
+    slice and answers, it is the same.
+    """
+
+    def __init__(self, rows: list[dict], window: int, gram: int, tasks: int, bits: int):
         own = next(r for r in rows if r["z"] is not None)
-        if not told:
-            return
-        s = Slice(own["ids"], own["lengths"], own["z"])
+        told = sorted((r for r in rows if r["levels"] is not None), key=lambda r: r["task"])
+        self.slice = s = Slice(own["ids"], own["lengths"], own["z"])
         text, start, many, key = s.segments(window, gram)
-        keys = np.unique(key)
-        order, _ = by_task(keys, tasks)
+        short = key >> np.uint64(48 - bits)
+        keys = np.unique(short)
         level = np.zeros(len(keys), np.uint8)
-        level[order] = np.concatenate([np.frombuffer(expand(r["levels"]), np.uint8) for r in told])
-        level = level[np.searchsorted(keys, key)]
-        out = []
-        # Segments, each distinct one once.
-        some = np.flatnonzero(level == 1)
+        if told:
+            level[by_task(keys, tasks)[0]] = np.concatenate([np.frombuffer(expand(r["levels"]), np.uint8) for r in told])
+        level = level[np.searchsorted(keys, short)]
+        some, hot = np.flatnonzero(level == 1), np.flatnonzero(level == 2)
+        self.text, self.many, self.place = text[some], many[some], (s.begin[text] + start)[some]
         number: dict[bytes, int] = {}
-        begin = (s.begin[text] + start)[some].tolist()
-        which = np.array([number.setdefault(s.raw[a : a + m + window - 1], len(number)) for a, m in zip(begin, many[some].tolist(), strict=True)], np.int64)
-        least = np.full(len(number), 2**63 - 1)
-        np.minimum.at(least, which, s.least[text[some]])
+        ends = (self.place + self.many + window - 1).tolist()
+        which = np.array([number.setdefault(s.raw[a:b], len(number)) for a, b in zip(self.place.tolist(), ends, strict=True)], np.int64)
         one = np.zeros(len(number), np.int64)
         one[which] = np.arange(len(some))
-        order, task = by_task(key[some][one], tasks)
-        one = some[one[order]]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        order, self.tasks = by_task(key[some][one], tasks)
+        self.number, self.least = ranked(order, which, s.least[self.text])
+        one = one[order]
+        self.keys, self.windows = key[some][one], self.many[one]
         blobs = list(number)
-        for a, b in runs_of(task):
-            at = one[a:b]
-            blob = squeeze(b"".join([blobs[i] for i in order[a:b].tolist()]))
-            out.append((SEGMENTS, int(task[a]), own["slice"], planes(np.diff(key[at].view(np.int64), prepend=0)), planes(many[at]), blob, pack(least[order[a:b]])))
-        # Windows of hashes that are too frequent.
-        hot = np.flatnonzero(level == 2)
-        where = np.repeat((s.begin[text] + start)[hot], many[hot]) + runs(many[hot])
-        pair, hot_rank = np.unique(window_hashes(s.bytes, where, window), return_inverse=True)
-        low = np.full(len(pair), 2**63 - 1)
-        np.minimum.at(low, hot_rank, np.repeat(s.least[text[hot]], many[hot]))
-        order, task = by_task(pair["a"], tasks)
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        for a, b in runs_of(task):
-            out.append((WINDOWS, int(task[a]), own["slice"], None, None, pair[order[a:b]].tobytes(), pack(low[order[a:b]])))
-        # What the slice has to remember: where its segments and windows stand, and their number in the order of the tasks.
-        out.append((NOTES, None, own["slice"], notes(text[some], start[some], many[some], rank[which]), notes(text[hot], start[hot], many[hot], back[hot_rank.ravel()]), None, None))
-        yield record(out, names)
-
-    both = cuts.unionByName(levels, allowMissingColumns=True)
-    return pin(by_slice(both, run, SENT), "segments", by="kind")
-
-
-def notes(*columns: np.ndarray) -> bytes:
-    out = [planes(c) for c in columns]
-    return squeeze(b"".join(len(o).to_bytes(8, "little") + o for o in out))
-
-
-def read_notes(x: bytes) -> list[np.ndarray]:
-    x, out, at = expand(x), [], 0
-    while at < len(x):
-        n = int.from_bytes(x[at : at + 8], "little")
-        out.append(from_planes(x[at + 8 : at + 8 + n]))
-        at += 8 + n
-    return out
+        self.blobs = [blobs[i] for i in order.tolist()]
+        times = many[hot]
+        self.hot_text = np.repeat(text[hot], times)
+        self.hot_place = np.repeat((s.begin[text] + start)[hot], times) + runs(times)
+        pairs, which = np.unique(window_hashes(s.bytes, self.hot_place, window), return_inverse=True)
+        order, self.hot_tasks = by_task(pairs["a"].copy(), tasks)
+        self.pairs = pairs[order]
+        self.hot_number, self.hot_least = ranked(order, which.ravel(), s.least[self.hot_text])
+
+
+def ranked(order: np.ndarray, which: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place in `order` of what each place shows, and the smallest document showing it, in that order."""
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    least = np.full(len(order), 2**63 - 1)
+    np.minimum.at(least, rank[which], docs)
+    return rank[which], least
+
+
+def send_segments(cuts: DataFrame, levels: DataFrame, window: int, gram: int, tasks: int, bits: int) -> DataFrame:
+    """Rows of segments, with keys, and of hashes of single windows, without."""
+
+    def run(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        m, slice_ = Meeting(rows, window, gram, tasks, bits), rows[0]["slice"]
+        out = []
+        for a, b in runs_of(m.tasks):
+            steps = squeeze(planes(np.diff(m.keys[a:b].view(np.int64), prepend=0)))
+            out.append((int(m.tasks[a]), slice_, steps, planes(m.windows[a:b]), squeeze(b"".join(m.blobs[a:b])), pack(m.least[a:b])))
+        for a, b in runs_of(m.hot_tasks):
+            out.append((int(m.hot_tasks[a]), slice_, None, None, m.pairs[a:b].tobytes(), pack(m.hot_least[a:b])))
+        yield record(out, NAMES)
+
+    return by_slice(cuts.unionByName(levels, allowMissingColumns=True), run, SENT)
 
 
 def window_hashes(data: np.ndarray, where: np.ndarray, window: int) -> np.ndarray:
     """128 bits of hash of each window."""
     e = eights(data)
-    out = np.zeros(len(where), [("a", "<u8"), ("b", "<u8")])
+    out = np.zeros(len(where), PAIR)
     a, b = np.full(len(where), ROLL), np.full(len(where), ~ROLL)
     for j in [*range(0, window - 8, 8), window - 8]:
         x = e[where + j]
@@ -411,21 +417,37 @@ def window_hashes(data: np.ndarray, where: np.ndarray, window: int) -> np.ndarra
 
 
 def meet_segments(sent: DataFrame, window: int) -> DataFrame:
-    """For each slice and task the smallest document of every window sent, as its distance below the one sent."""
-    schema = [("slice", INT), ("task", INT), ("lower", BIN)]
+    """For each slice and task the smallest document of every window sent, as its distance below the one sent with it."""
+    schema = [("slice", INT), ("task", INT), ("lower", BIN), ("hot_lower", BIN)]
 
     def meet(table: pa.Table, starts: np.ndarray) -> pa.Table:
         out = []
         for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            out += lowest(table.slice(lo, hi - lo).to_pylist(), window)
+            rows = table.slice(lo, hi - lo).to_pylist()
+            out += [(*r, None) for r in lowest([r for r in rows if r["keys"] is not None], window)]
+            out += [(i, t, None, x) for i, t, x in lowest_windows([r for r in rows if r["keys"] is None])]
         return pa.Table.from_batches([record(out, schema)])
 
-    return by_group(sent, ["task"], meet, "slice bigint, task bigint, lower binary")
+    return by_group(sent, ["task"], meet, "slice bigint, task bigint, lower binary, hot_lower binary")
+
+
+def lowest_windows(rows: list[dict]) -> list[tuple[int, int, bytes]]:
+    if not rows:
+        return []
+    docs = [unpack(r["docs"]) for r in rows]
+    _, which = np.unique(np.concatenate([np.frombuffer(r["bytes"], PAIR) for r in rows]), return_inverse=True)
+    which = which.ravel()
+    low = np.full(int(which.max()) + 1, 2**63 - 1)
+    np.minimum.at(low, which, np.concatenate(docs))
+    at = np.cumsum([0, *(len(d) for d in docs)])
+    return [(r["slice"], r["task"], squeeze(planes(d - low[which[a:b]]))) for r, d, a, b in zip(rows, docs, at[:-1], at[1:], strict=True)]
 
 
 def lowest(rows: list[dict], window: int) -> list[tuple[int, int, bytes]]:
+    if not rows:
+        return []
     many = [from_planes(r["windows"]) for r in rows]
-    keys = np.concatenate([np.cumsum(from_planes(r["keys"])) for r in rows])
+    keys = np.concatenate([np.cumsum(from_planes(expand(r["keys"]))) for r in rows])
     docs = np.concatenate([unpack(r["docs"]) for r in rows])
     raw = b"".join(expand(r["bytes"]) for r in rows)
     size = np.concatenate(many) + window - 1
@@ -469,7 +491,17 @@ def share(blobs: list[bytes], length: np.ndarray, owner: np.ndarray, least: np.n
     first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     many = np.diff(np.append(first, len(owner)))
     total = np.add.reduceat(length + 1, first)
-    groups = np.flatnonzero(many > 1)
+    for g in np.flatnonzero(many > IN_STEP).tolist():
+        own = np.arange(first[g], first[g] + many[g])
+        data = np.frombuffer(b"".join([blobs[i] for i in own.tolist()]), np.uint8)
+        size = length[own] - window + 1
+        where = np.repeat(np.cumsum(length[own]) - length[own], size) + runs(size)
+        rows = np.lib.stride_tricks.sliding_window_view(data, window)[where].copy().view(f"V{window}").ravel()
+        _, which = np.unique(rows, return_inverse=True)
+        lowest_ = np.full(int(which.max()) + 1, 2**63 - 1)
+        np.minimum.at(lowest_, which, np.repeat(least[own], size))
+        low[np.repeat(begin[own], size) + runs(size)] = lowest_[which]
+    groups = np.flatnonzero((many > 1) & (many <= IN_STEP))
     # Texts of similar length are sorted in step.
     groups = groups[np.argsort(total[groups], kind="stable")]
     at = 0
@@ -500,54 +532,30 @@ def share(blobs: list[bytes], length: np.ndarray, owner: np.ndarray, least: np.n
         low[begin[segment[sa]] + inside[sa]] = np.repeat(lowest_, np.diff(np.append(run, len(sa))))
 
 
-def meet_windows(sent: DataFrame) -> DataFrame:
-    def meet(table: pa.Table, starts: np.ndarray) -> pa.Table:
-        out = []
-        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            rows = table.slice(lo, hi - lo).to_pylist()
-            hashes = [np.frombuffer(r["bytes"], [("a", "<u8"), ("b", "<u8")]) for r in rows]
-            docs = [unpack(r["docs"]) for r in rows]
-            _, which = np.unique(np.concatenate(hashes), return_inverse=True)
-            which = which.ravel()
-            low = np.full(int(which.max()) + 1, 2**63 - 1)
-            np.minimum.at(low, which, np.concatenate(docs))
-            at = np.cumsum([0, *(len(d) for d in docs)])
-            out += [(r["slice"], r["task"], squeeze(planes(d - low[which[a:b]]))) for r, d, a, b in zip(rows, docs, at[:-1], at[1:], strict=True)]
-        return pa.Table.from_batches([record(out, [("slice", INT), ("task", INT), ("lower_hot", BIN)])])
-
-    return by_group(sent, ["task"], meet, "slice bigint, task bigint, lower_hot binary")
-
-
-def below(answers: list[bytes], text: np.ndarray, many: np.ndarray, number: np.ndarray, size: np.ndarray, s: Slice) -> np.ndarray:
-    """Whether a smaller document than its own has each window; `number` names the segments that `answers` follow, `size` windows each."""
+def below(answers: list[bytes], text: np.ndarray, many: np.ndarray, number: np.ndarray, size: np.ndarray, least: np.ndarray, s: Slice) -> np.ndarray:
+    """Whether a smaller document than its own has each window; the answers follow the numbered segments, `size` windows each."""
     lower = np.concatenate([from_planes(expand(x)) for x in answers])
-    least = np.full(len(size), 2**63 - 1)
-    np.minimum.at(least, number, s.least[text])
     at = (np.cumsum(size) - size)[number]
     low = np.repeat(least[number], many) - lower[np.repeat(at, many) + runs(many)]
     return low < np.repeat(s.least[text], many)
 
 
-def apply_answers(rows: list[dict], window: int) -> Iterator[tuple[int | None, int, int, bytes, list[dict]]]:
+def apply_answers(rows: list[dict], window: int, gram: int, tasks: int, bits: int) -> Iterator[tuple[int | None, int, int, bytes, list[dict]]]:
     own = next(r for r in rows if r["z"] is not None)
-    s = Slice(own["ids"], own["lengths"], own["z"])
+    m = Meeting(rows, window, gram, tasks, bits)
+    s = m.slice
     covered = np.zeros(len(s.bytes) + window + 1, np.int32)
-    note = next((r for r in rows if r["sorted_note"] is not None), None)
-    told = sorted((r for r in rows if r["lower"] is not None), key=lambda r: r["task"])
-    if told:
-        text, start, many, number = read_notes(note["sorted_note"])
-        size = np.zeros(int(number.max()) + 1, np.int64)
-        size[number] = many
-        late = below([r["lower"] for r in told], text, many, number, size, s)
-        at = (np.repeat(s.begin[text] + start, many) + runs(many))[late]
-        np.add.at(covered, at, 1)
-        np.add.at(covered, at + window, -1)
-    told = sorted((r for r in rows if r["lower_hot"] is not None), key=lambda r: r["task"])
-    if told:
-        text, start, many, number = read_notes(note["hot_note"])
-        text, start, many = np.repeat(text, many), np.repeat(start, many) + runs(many), np.ones(len(number), np.int64)
-        late = below([r["lower_hot"] for r in told], text, many, number, np.ones(int(number.max()) + 1, np.int64), s)
-        at = (s.begin[text] + start)[late]
+    for column in ("lower", "hot_lower"):
+        told = [r[column] for r in sorted((r for r in rows if r[column] is not None), key=lambda r: r["task"])]
+        if not told:
+            continue
+        if column == "lower":
+            late = below(told, m.text, m.many, m.number, m.windows, m.least, s)
+            at = (np.repeat(m.place, m.many) + runs(m.many))[late]
+        else:
+            one = np.ones(len(m.hot_number), np.int64)
+            late = below(told, m.hot_text, one, m.hot_number, np.ones(len(m.pairs), np.int64), m.hot_least, s)
+            at = m.hot_place[late]
         np.add.at(covered, at, 1)
         np.add.at(covered, at + window, -1)
     gone = np.cumsum(covered)[: len(s.bytes)] > 0
@@ -579,21 +587,18 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     spark = docs.sparkSession
     cuts = cut(docs)
     total = cuts.agg(F.sum("size")).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    tasks, bits = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES)), filter_bits(total)
     cuts = cuts.select("slice", "ids", "lengths", "z")
-    sent = send_segments(cuts, recurring(cuts, window, gram, tasks), window, gram, tasks)
-    segments_ = sent.where(F.col("kind") == SEGMENTS).select("task", "slice", "keys", "windows", "bytes", "docs")
-    windows_ = sent.where(F.col("kind") == WINDOWS).select("task", "slice", "bytes", "docs")
-    remembered = sent.where(F.col("kind") == NOTES).select("slice", F.col("keys").alias("sorted_note"), F.col("windows").alias("hot_note"))
+    levels = recurring(cuts, window, gram, tasks, bits)
     rows = cuts
-    for more in (remembered, meet_segments(segments_, window), meet_windows(windows_)):
+    for more in (levels, meet_segments(send_segments(cuts, levels, window, gram, tasks, bits), window)):
         rows = rows.unionByName(more, allowMissingColumns=True)
     span = pa.list_(pa.struct([("start", INT), ("end", INT)]))
     names = [("doc_id", INT), ("n_bytes", INT), ("n_removed", INT), ("kept", BIN), ("removed", span)]
 
     def finish(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for row in apply_answers(rows, window):
+        for row in apply_answers(rows, window, gram, tasks, bits):
             held.append(row)
             size += row[1]
             if size > PIECE:
