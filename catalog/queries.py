@@ -27,7 +27,7 @@ from xmseq.model import (
     USER_KEY,
     VECTOR,
 )
-from xmseq.operators import encoder, losses, metrics, params, prep, sampling, scoring, sequences, vectors
+from xmseq.operators import causal, encoder, losses, metrics, params, prep, sampling, scoring, sequences, vectors
 from xmseq.operators.blocks import full_sort_topk
 from xmseq.operators.lookup import dense_items, lookup_vectors
 from xmseq.plans.evaluate import last_item_encoder, sampled_evaluation, scored_targets
@@ -497,6 +497,46 @@ def encoder_ce_loss(spark, sf):
     return losses.ce_loss(rows, [MARKET]).withColumn("loss", r6("loss"))
 
 
+def encoded_train_rows(spark, sf, inter, vectors_):
+    """Every training target with the encoder's output on the 50 events before it."""
+    rows = causal.encode_targets(inter, vectors_, t.model_params(spark, sf), t.TIES)
+    return rows.where(sequences.phase() == sequences.TRAIN).drop(EVENTS)
+
+
+def encoder_train_nll(spark, sf, inter, vectors_):
+    items = pin(prep.market_items(vectors_, inter), "market-items")
+    return losses.all_item_nll(encoded_train_rows(spark, sf, inter, vectors_), items, [*USER_KEY, POS])
+
+
+@query
+def encoder_train_ce_loss(spark, sf):
+    """Mean nll of all training rows over the items of their market, scored by the encoder's output."""
+    nll = encoder_train_nll(spark, sf, t.stored_purchases(spark, sf), t.item_vectors(spark, sf))
+    return losses.ce_loss(nll, [MARKET]).withColumn("loss", r6("loss"))
+
+
+@query
+def encoder_train_wce_loss(spark, sf):
+    """The same weighted by the training frequency of the target."""
+    inter = t.stored_purchases(spark, sf)
+    weights = losses.item_weights(losses.train_item_freq(inter, sequences.item_ids(inter), t.TIES))
+    rows = losses.with_weights(encoder_train_nll(spark, sf, inter, t.item_vectors(spark, sf)), pin(weights, "weights"))
+    return losses.wce_loss(rows, [MARKET]).withColumn("loss", r6("loss"))
+
+
+@query
+def encoder_train_bpr_loss(spark, sf):
+    """Pairwise loss of all training rows, one negative each, scored by the encoder's output."""
+    inter, vectors_ = t.stored_purchases(spark, sf), t.item_vectors(spark, sf)
+    ids = sequences.item_ids(inter)
+    drawn = sampling.uniform_negatives(encoded_train_rows(spark, sf, inter, vectors_), ids, 1, key=(MARKET, USER, POS))
+    pair = drawn.select(MARKET, scoring.SEQ_VECTOR, F.concat(F.array(IID), sampling.NEGATIVES).alias(scoring.CANDIDATES))
+    found = scoring.score_candidates(pair, ids, vectors_).select(
+        MARKET, F.get(scoring.SCORES, F.lit(0)).alias("pos_score"), F.get(scoring.SCORES, F.lit(1)).alias("neg_score")
+    )
+    return losses.bpr_loss(found, [MARKET]).withColumn("loss", r6("loss"))
+
+
 @query
 def encoder_top_items(spark, sf):
     """The ten best items of the market for each user's test sequence, by the encoder's output."""

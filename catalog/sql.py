@@ -322,28 +322,24 @@ _TRAIN = {
         join vectors p on p.item_id = t.item_id""",
     ),
 }
-define(
-    "train_ce_loss",
-    "train_nll",
-    "select market, count(*) as n_rows, round(avg(nll), 6) + 0.0 as loss from train_nll group by 1",
-    _TRAIN,
-)
-define(
-    "train_wce_loss",
-    "train_nll weights",
-    """select market, count(*) as n_rows, round(sum(weight * nll) / sum(weight), 6) + 0.0 as loss
-    from train_nll join weights using (market, item_id) group by 1""",
-    _TRAIN,
-)
-define(
-    "train_bpr_loss",
-    "train_drawn ids vectors",
-    """select d.market, count(*) as n_rows, round(avg(ln(1.0 + exp(
-        round(list_dot_product(seq_v, n.v), 9) - round(list_dot_product(seq_v, pos_v), 9)))), 6) + 0.0 as loss
-    from train_drawn d join ids on ids.market = d.market and ids.iid = case when place >= d.iid then place + 1 else place end
-    join vectors n on n.item_id = ids.item_id group by 1""",
-    _TRAIN,
-)
+# Blocks and select of each loss over training rows.
+_TRAIN_LOSSES = {
+    "ce": ("train_nll", "select market, count(*) as n_rows, round(avg(nll), 6) + 0.0 as loss from train_nll group by 1"),
+    "wce": (
+        "train_nll weights",
+        """select market, count(*) as n_rows, round(sum(weight * nll) / sum(weight), 6) + 0.0 as loss
+        from train_nll join weights using (market, item_id) group by 1""",
+    ),
+    "bpr": (
+        "train_drawn ids vectors",
+        """select d.market, count(*) as n_rows, round(avg(ln(1.0 + exp(
+            round(list_dot_product(seq_v, n.v), 9) - round(list_dot_product(seq_v, pos_v), 9)))), 6) + 0.0 as loss
+        from train_drawn d join ids on ids.market = d.market and ids.iid = case when place >= d.iid then place + 1 else place end
+        join vectors n on n.item_id = ids.item_id group by 1""",
+    ),
+}
+for _name in ("ce", "wce", "bpr"):
+    define(f"train_{_name}_loss", *_TRAIN_LOSSES[_name], _TRAIN)
 define(
     "log_softmax",
     "scored",
@@ -600,6 +596,84 @@ define(
     from targets t join offered o on o.market = t.market)) where rank <= 10""",
     _OWN_MODEL,
 )
+# Places of all training targets. Items share the given vectors, so what a place puts into the attention depends on its
+# vector and its position alone and is worked out once for each such combination.
+_SHORT = "cast(20 + 4 * (abs(a) / sqrt(2.0)) * (abs(a) / sqrt(2.0)) as bigint)"
+_TRAIN_ENCODED = {
+    "params": (["model"], "select * from model"),
+    "asking": (
+        ["split"],
+        "select *, row_number() over (order by market, user_id, pos) as id from split where phase = 'train'",
+    ),
+    "places": (
+        ["asking", "positions"],
+        """select t.id, s.pos - greatest(t.pos - 50, 1) as j, s.pos = t.pos - 1 as is_last,
+        s.item_id % (select count(*) from embeddings) as vid from asking t
+        join positions s on s.market = t.market and s.user_id = t.user_id and s.pos < t.pos and s.pos >= t.pos - 50""",
+    ),
+    "combos": (["places"], "select vid, j, row_number() over (order by vid, j) as cid from (select distinct vid, j from places)"),
+    "placed": (["places", "combos"], "select id, is_last, cid from places join combos using (vid, j)"),
+    "input": (
+        ["combos", "params"],
+        """select cid as id, list_transform(list_zip(cast(e.embedding as double[]), p.v), lambda z: z[1] + z[2]) as v
+        from combos join embeddings e on e.vec_id = vid join params p on p.name = 'position_embedding.weight' and p.row = j""",
+    ),
+    "x": (["input"], _norm("input", "LayerNorm")),
+    "q0": (["x"], _linear("x", _ATT + "query")),
+    "q": (["q0"], _linear("q0", _ATT + "mlp_query.mlp_layers.1", relu=True)),
+    "k0": (["x"], _linear("x", _ATT + "key")),
+    "k": (["k0"], _linear("k0", _ATT + "mlp_key.mlp_layers.1", relu=True)),
+    "v": (["x"], _linear("x", _ATT + "value")),
+    "last": (["placed", "x", "q"], "select p.id, x.v, q.v as q from placed p join x on x.id = cid join q on q.id = cid where is_last"),
+    "heads": (
+        ["placed", "last", "k", "v"],
+        """select p.id, h, v.v[h * 16 + 1 : h * 16 + 16] as hv,
+        exp(list_dot_product(l.q[h * 16 + 1 : h * 16 + 16], k.v[h * 16 + 1 : h * 16 + 16]) / 4.0) as e
+        from placed p join last l using (id) join k on k.id = cid join v on v.id = cid, range(4) r(h)""",
+    ),
+    "context": (
+        ["heads"],
+        f"""select id, flatten(list(c order by h)) as v from (
+        select id, h, [{", ".join(f"sum(e * hv[{d}]) / sum(e)" for d in range(1, 17))}] as c from heads group by id, h) group by id""",
+    ),
+    "dense": (["context"], _linear("context", _ATT + "dense")),
+    "mixed": (["dense", "last"], _added("dense", "last")),
+    "hidden": (["mixed"], _norm("mixed", _ATT + "LayerNorm")),
+    "inner1": (["hidden"], _linear("hidden", _FF + "dense_1")),
+    "inner2": (
+        ["inner1"],
+        f"""select id, list({_gelu('a').replace("range(120)", f"range({_SHORT})")} order by i) as v from (
+        select id, unnest(v) as a, generate_subscripts(v, 1) as i from inner1) group by id""",
+    ),
+    "inner3": (["inner2"], _linear("inner2", _FF + "dense_2")),
+    "mixed2": (["inner3", "hidden"], _added("inner3", "hidden")),
+    "output": (["mixed2"], _norm("mixed2", _FF + "LayerNorm")),
+    "encoded": (["output", "asking"], "select a.*, o.v as seq_v from output o join asking a using (id)"),
+    "shared": (
+        ["ids"],
+        """select market, vid, n, cast(embedding as double[]) as v from (
+        select market, item_id % (select count(*) from embeddings) as vid, count(*) as n from ids group by all)
+        join embeddings on vec_id = vid""",
+    ),
+    "train_lse": (
+        ["encoded", "shared"],
+        """select id, ln(sum(n * exp(list_dot_product(seq_v, s.v)))) as lse from encoded e join shared s on s.market = e.market group by id""",
+    ),
+    "train_nll": (
+        ["encoded", "train_lse", "vectors"],
+        """select e.market, e.item_id, lse - list_dot_product(seq_v, t.v) as nll from encoded e join train_lse using (id)
+        join vectors t on t.item_id = e.item_id""",
+    ),
+    "train_drawn": (
+        ["encoded", "ids", "vectors"],
+        """select e.market, p.v as pos_v, seq_v, iid,
+        cast('0x' || substr(md5('7|' || e.market || '|' || user_id || '|' || pos || '|1'), 1, 15) as bigint)
+            % (n_items - 1) + 1 as place
+        from encoded e join ids using (market, item_id) join vectors p on p.item_id = e.item_id""",
+    ),
+}
+for _name in ("ce", "wce", "bpr"):
+    define(f"encoder_train_{_name}_loss", *_TRAIN_LOSSES[_name], _TRAIN_ENCODED)
 define("select_weights", "chosen", f"select weight, row, {digits('v')} as v from chosen")
 define(
     "transfer_weights",
