@@ -27,7 +27,7 @@ from xmseq.model import (
     USER_KEY,
     VECTOR,
 )
-from xmseq.operators import causal, encoder, losses, metrics, params, prep, sampling, scoring, sequences, vectors
+from xmseq.operators import causal, encoder, losses, metrics, params, prep, sampling, scoring, sequences, text_encoder, vectors
 from xmseq.operators.blocks import full_sort_topk
 from xmseq.operators.lookup import dense_items, lookup_vectors
 from xmseq.plans.evaluate import last_item_encoder, sampled_evaluation, scored_targets
@@ -431,6 +431,14 @@ def item_text_vectors(spark, sf):
     return found.select(ITEM, digits_of(VECTOR).alias("v"))
 
 
+@query
+def encoded_texts(spark, sf):
+    """Texts of parts by a subword encoder of two layers, its weights taken from the given vectors."""
+    model = t.model_params(spark, sf, t.text_model_spec())
+    found = text_encoder.encode_texts(t.part_texts(spark, sf), t.text_vocabulary(spark, sf), model, heads=4, max_tokens=16)
+    return found.select(ITEM, digits_of(VECTOR).alias("v"))
+
+
 @query
 def attention_weights(spark, sf):
     seqs = sequences.latest_sequence(t.purchases(spark, sf), t.TIES)

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from catalog.tables import model_spec
+from catalog.tables import Spec, model_spec, text_model_spec
 
 SQL: dict[str, str] = {}
 
+
+
+def _model(spec: Spec) -> str:
+    """Parameters (name, row, v) of a model made of the given vectors."""
+    return (
+        "select name, row, flatten(list(case when name like '%LayerNorm.weight' "
+        "then list_transform(cast(embedding as double[]), lambda x: x + 1.0) else cast(embedding as double[]) end "
+        "order by part)) as v from (values "
+        + ", ".join(str(line) for line in spec)
+        + """) s(name, first, n_rows, joined), range(400) r(row), range(4) p(part), embeddings
+        where row < n_rows and part < joined
+        and vec_id = (first + row * joined + part) % (select count(*) from embeddings) group by name, row"""
+    )
+
+
 # Building blocks, each a named subquery with the ones it needs.
 BLOCKS = {
     "purchases": (
@@ -137,16 +152,7 @@ BLOCKS = {
         """select kind as weight, row, v from layered
         where layer = (select max(layer) from layered) and kind in ('query', 'key')""",
     ),
-    "model": (
-        [],
-        "select name, row, flatten(list(case when name like '%LayerNorm.weight' "
-        "then list_transform(cast(embedding as double[]), lambda x: x + 1.0) else cast(embedding as double[]) end "
-        "order by part)) as v from (values "
-        + ", ".join(str(line) for line in model_spec())
-        + """) s(name, first, n_rows, joined), range(256) r(row), range(4) p(part), embeddings
-        where row < n_rows and part < joined
-        and vec_id = (first + row * joined + part) % (select count(*) from embeddings) group by name, row""",
-    ),
+    "model": ([], _model(model_spec())),
 }
 
 
@@ -674,6 +680,105 @@ _TRAIN_ENCODED = {
 }
 for _name in ("ce", "wce", "bpr"):
     define(f"encoder_train_{_name}_loss", *_TRAIN_LOSSES[_name], _TRAIN_ENCODED)
+
+
+def text_layer(n: int, source: str) -> dict[str, tuple[list[str], str]]:
+    """Layer n of the text encoder on `source` (id, v), places of all texts in `spots` (id, item_id, place)."""
+    name, at = f"encoder.layer.{n}.", lambda block: f"{block}_{n}"
+    sums = ", ".join(f"sum(e * hv[{d}]) / sum(e)" for d in range(1, 17))
+    return {
+        at("query"): ([source, "params"], _linear(source, name + "attention.self.query")),
+        at("key"): ([source, "params"], _linear(source, name + "attention.self.key")),
+        at("value"): ([source, "params"], _linear(source, name + "attention.self.value")),
+        at("heads"): (
+            ["spots", at("query"), at("key"), at("value")],
+            f"""select a.id, h, v.v[h * 16 + 1 : h * 16 + 16] as hv,
+            exp(list_dot_product(q.v[h * 16 + 1 : h * 16 + 16], k.v[h * 16 + 1 : h * 16 + 16]) / 4.0) as e
+            from spots a join spots b using (item_id) join {at("query")} q on q.id = a.id join {at("key")} k on k.id = b.id
+            join {at("value")} v on v.id = b.id, range(4) r(h)""",
+        ),
+        at("context"): (
+            [at("heads")],
+            f"select id, flatten(list(c order by h)) as v from (select id, h, [{sums}] as c from {at('heads')} group by id, h) group by id",
+        ),
+        at("dense"): ([at("context")], _linear(at("context"), name + "attention.output.dense")),
+        at("mixed"): ([at("dense"), source], _added(at("dense"), source)),
+        at("hidden"): ([at("mixed")], _norm(at("mixed"), name + "attention.output.LayerNorm")),
+        at("inner"): ([at("hidden")], _linear(at("hidden"), name + "intermediate.dense")),
+        at("acted"): (
+            [at("inner")],
+            f"""select id, list({_gelu('a').replace("range(120)", f"range({_SHORT})")} order by i) as v from (
+            select id, unnest(v) as a, generate_subscripts(v, 1) as i from {at("inner")}) group by id""",
+        ),
+        at("outer"): ([at("acted")], _linear(at("acted"), name + "output.dense")),
+        at("added"): ([at("outer"), at("hidden")], _added(at("outer"), at("hidden"))),
+        at("out"): ([at("added")], _norm(at("added"), name + "output.LayerNorm")),
+    }
+
+
+# The longest piece at every place of every word, then the way through each word.
+_TEXTS = {
+    "params": ([], _model(text_model_spec())),
+    "spoken": (
+        [],
+        """select p_partkey as item_id, regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[a-z0-9]+|[^a-z0-9 ]') as ws
+        from part""",
+    ),
+    "known": (["spoken"], "select distinct unnest(ws) as w from spoken"),
+    "letters": (["known"], "select w, unnest(range(1, length(w) + 1)) as i from known"),
+    "vocabulary": (
+        ["letters"],
+        """select piece, row_number() over (order by piece) + 3 as id from (
+        select w[1:1] as piece from letters union select w[1:3] from letters
+        union select '##' || w[i:i] from letters where i > 1 union select '##' || w[i:i + 1] from letters where i > 1)
+        where piece not like '%z%'""",
+    ),
+    "matches": (
+        ["letters", "vocabulary"],
+        """select w, i, max(length(piece) - case when i > 1 then 2 else 0 end) as n, arg_max(id, length(piece)) as id
+        from letters join vocabulary on case when i > 1 then piece like '##%' and starts_with(w[i:], piece[3:])
+            else starts_with(w, piece) end group by w, i""",
+    ),
+    "way": (
+        ["matches"],
+        """select w, i, [id] as ids, i + n as next from matches where i = 1
+        union all select way.w, m.i, list_append(ids, m.id), m.i + m.n from way join matches m on m.w = way.w and m.i = way.next""",
+    ),
+    "cut": (
+        ["known", "way"],
+        "select w, coalesce(ids, [1]) as ids from known left join (select w, ids from way where next = length(w) + 1) using (w)",
+    ),
+    "worded": (
+        ["spoken"],
+        "select item_id, unnest(ws) as w, generate_subscripts(ws, 1) as k from spoken",
+    ),
+    "lines": (
+        ["worded", "cut"],
+        """select item_id, list_append(list_prepend(2, list_slice(flatten(list(ids order by k)), 1, 14)), 3) as ids
+        from worded join cut using (w) group by item_id""",
+    ),
+    "spots": (
+        ["lines"],
+        """select *, row_number() over (order by item_id, place) as id from (
+        select item_id, unnest(ids) as piece, generate_subscripts(ids, 1) as place from lines)""",
+    ),
+    "input": (
+        ["spots", "params"],
+        """select s.id, list_transform(list_zip(w.v, p.v, k.v), lambda z: z[1] + z[2] + z[3]) as v from spots s
+        join params w on w.name = 'embeddings.word_embeddings.weight' and w.row = s.piece
+        join params p on p.name = 'embeddings.position_embeddings.weight' and p.row = s.place - 1
+        join params k on k.name = 'embeddings.token_type_embeddings.weight' and k.row = 0""",
+    ),
+    "x": (["input"], _norm("input", "embeddings.LayerNorm")),
+}
+define(
+    "encoded_texts",
+    "spots out_1",
+    f"""select item_id, {digits("list_transform(v, lambda x: cast(cast(x as float) as double))")} as v
+    from spots join out_1 using (id) where place = 1""",
+    _TEXTS | text_layer(0, "x") | text_layer(1, "out_0"),
+)
+SQL["encoded_texts"] = SQL["encoded_texts"].replace("with ", "with recursive ", 1)
 define("select_weights", "chosen", f"select weight, row, {digits('v')} as v from chosen")
 define(
     "transfer_weights",

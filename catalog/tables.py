@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from xmseq.functions.dates import days_to_seconds
-from xmseq.model import DESCRIPTION, ITEM, MARKET, TIME, TITLE, USER, VECTOR
+from xmseq.model import DESCRIPTION, ITEM, MARKET, TEXT, TIME, TITLE, USER, VECTOR
 from xmseq.storage import pin
 
 TIES = ["l_orderkey", "l_linenumber"]
@@ -135,16 +135,50 @@ trm_encoder.layer.feed_forward.LayerNorm.bias 62 1 1
 """
 
 
-def model_spec() -> list[tuple[str, int, int, int]]:
-    lines = (line.split() for line in MODEL.split("\n") if line)
+# The same for a text encoder of two layers; those of layer n start 64 * n vectors later.
+TEXT_MODEL = """
+embeddings.word_embeddings.weight 11 400 1
+embeddings.position_embeddings.weight 200 16 1
+embeddings.token_type_embeddings.weight 40 2 1
+embeddings.LayerNorm.weight 3 1 1
+embeddings.LayerNorm.bias 4 1 1
+"""
+TEXT_LAYER = """
+attention.self.query.weight 20 64 1
+attention.self.query.bias 5 1 1
+attention.self.key.weight 90 64 1
+attention.self.key.bias 6 1 1
+attention.self.value.weight 160 64 1
+attention.self.value.bias 7 1 1
+attention.output.dense.weight 230 64 1
+attention.output.dense.bias 8 1 1
+attention.output.LayerNorm.weight 9 1 1
+attention.output.LayerNorm.bias 10 1 1
+intermediate.dense.weight 300 128 1
+intermediate.dense.bias 12 1 2
+output.dense.weight 370 64 2
+output.dense.bias 14 1 1
+output.LayerNorm.weight 15 1 1
+output.LayerNorm.bias 16 1 1
+"""
+Spec = list[tuple[str, int, int, int]]
+
+
+def model_spec(model: str = MODEL) -> Spec:
+    lines = (line.split() for line in model.split("\n") if line)
     return [(name, int(first), int(rows), int(joined)) for name, first, rows, joined in lines]
 
 
-def model_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+def text_model_spec() -> Spec:
+    layers = [(f"encoder.layer.{n}.{name}", first + 64 * n, *rest) for n in range(2) for name, first, *rest in model_spec(TEXT_LAYER)]
+    return model_spec(TEXT_MODEL) + layers
+
+
+def model_params(spark: SparkSession, sf_dir: str, lines: Spec | None = None) -> DataFrame:
     """A full set of encoder parameters taken from the given vectors."""
     vectors = raw_vectors(spark, sf_dir)
     n = vectors.count()
-    spec = spark.createDataFrame(model_spec(), "name string, first int, rows int, joined int")
+    spec = spark.createDataFrame(lines or model_spec(), "name string, first int, rows int, joined int")
     cells = spec.select("name", "first", "joined", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
     cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("joined") - 1)).alias("part"))
     wanted = (F.col("first") + F.col("row") * F.col("joined") + F.col("part")) % n
@@ -159,6 +193,25 @@ def model_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pin(rows.select("name", "row", shifted.alias("values")), "model")
 
 
+def part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    return parts.select(F.col("p_partkey").alias(ITEM), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias(TEXT))
+
+
+def text_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the words of parts: their first letter and first three, and one and two letters from the second on; none with a z."""
+    words = part_texts(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower(TEXT), F.lit("([a-z0-9]+|[^a-z0-9 ])"))).alias("w"))
+    words = words.distinct().select("w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("i"))
+    parts = [F.substr("w", "i", F.lit(n)) for n in (1, 2)]
+    heads = [F.substr("w", F.lit(1), F.lit(n)) for n in (1, 3)]
+    pieces = words.select(F.explode(F.array(*heads, *(F.when(F.col("i") > 1, F.concat(F.lit("##"), x)) for x in parts))).alias("piece"))
+    pieces = pieces.where("piece is not null and piece not like '%z%'").distinct()
+    # A few hundred rows.
+    ranked = pieces.select("piece", (F.row_number().over(Window.orderBy("piece")) + 3).alias("id"))
+    first = spark.range(1).select(F.posexplode(F.array(*map(F.lit, ("[PAD]", "[UNK]", "[CLS]", "[SEP]")))).alias("id", "piece"))
+    return pin(first.select("piece", "id").unionByName(ranked), "vocabulary")
+
+
 def layered_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given vectors as query, key and value matrices of numbered layers, 64 rows each, three to a layer."""
     block = F.floor(F.col("vec_id") / 64)
