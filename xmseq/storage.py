@@ -28,13 +28,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/xmseq/{name}-{uuid.uuid4().hex}"
 
 
-def pin(df: DataFrame, name: str = "pinned", by: str | None = None) -> DataFrame:
+def pin(df: DataFrame, name: str = "pinned", by: str | None = None, packed: bool = False) -> DataFrame:
     """Write `df` to the shared folder, one folder per value of `by` if given, and read it back.
 
-    Cuts the lineage like a checkpoint, but stays columnar and survives lost executors.
+    Cuts the lineage like a checkpoint, but stays columnar and survives lost executors. `packed` says that its values are
+    large and compressed already: a codec would take buffers of their size outside the heap and gain nothing.
     """
     path = shared_path(df.sparkSession, name)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = df.write.option("compression", "uncompressed") if packed else df.write
+    (out.partitionBy(by) if by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
