@@ -35,6 +35,8 @@ SLICE = 8 << 20
 PART = 1 << 20
 #: Occurrences of words per merging task.
 TASK_WORDS = 2_000_000
+#: Parts of a language in which its phrases are ranked before they are ranked together.
+PARTS = 64
 BREAKS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \x09"
 MESSAGE = "task bigint, slice bigint, prefixes binary, sizes binary, nexts binary, counts binary"
 ANSWER = "slice bigint, grams binary, totals binary, named binary"
@@ -64,8 +66,13 @@ def slice_words(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.
     if not len(starts):
         return [], np.zeros(0, np.int64), 0
     h = hashes(low, starts, ends)
-    _, at, code = np.unique(h, return_index=True, return_inverse=True)
-    cuts = np.cumsum(broken)[starts] + np.searchsorted(offsets, starts, side="right")
+    _, at, code, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    # Frequent words get the small numbers, which leaves their upper bytes to compress.
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    at, code = at[order], rank[code]
+    cuts = np.cumsum(broken, dtype=np.int32)[starts] + np.searchsorted(offsets, starts, side="right")
     place = np.arange(len(starts)) + np.append(0, np.cumsum(cuts[1:] != cuts[:-1]))
     codes = np.zeros(int(place[-1]) + 1, np.int64)
     codes[place] = code + 1
@@ -128,7 +135,7 @@ def cut(docs: DataFrame, lang: str, text: str) -> DataFrame:
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
     made = rows.mapInArrow(run, "lang string, n bigint, vocab binary, codes binary")
-    return pin(made.withColumn("slice", F.monotonically_increasing_id()).withColumn("heavy", F.lit(None).cast("binary")), "slices")
+    return pin(made.withColumn("slice", F.monotonically_increasing_id()).withColumn("heavy", F.lit(None).cast("binary")), "slices", packed=True)
 
 
 def parts_of(prefix: np.ndarray, heavy: bytes | None, k: int, tasks: int) -> np.ndarray:
@@ -265,7 +272,7 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, lang:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_WORDS))
     found = None
     for k in range(1, longest + 1):
-        out = pin(advance(state, stripes(state, k, least, tasks), k, k == longest), "phrases", by="kind")
+        out = pin(advance(state, stripes(state, k, least, tasks), k, k == longest), "phrases", by="kind", packed=True)
         named = out.where("kind = 1").select("lang", "phrase", F.lit(k).alias("k"), "a")
         found = named if found is None else found.unionByName(named)
         state = out.where("kind = 0")
@@ -309,5 +316,9 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, percent: i
     cuts = cuts.withColumn("up", F.lit(1000).cast("decimal(4,0)") * wide("a", 15) * wide("n", 18)).withColumn("down", wide("l", 18) * wide("r", 18))
     scored = cuts.withColumn("score", F.expr("up div down")).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "cut", "l", "r")).alias("best"))
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.select("lang", "phrase", "a", "best.l", "best.r", "n", "best.score").withColumn("rank", F.row_number().over(best).cast("bigint"))
+    flat = scored.select("lang", "phrase", "a", "best.l", "best.r", "n", "best.score")
+    # What is not among the first of its part of a language is not among the first of the language.
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(F.desc("score"), F.desc("a"), "phrase")
+    flat = flat.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top).drop("rank")
+    ranked = flat.withColumn("rank", F.row_number().over(best).cast("bigint"))
     return ranked.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
