@@ -414,6 +414,16 @@ def market_top_items(spark, sf):
     return top.select(*USER_KEY, ITEM, "score", long("rank").alias("rank"))
 
 
+@query
+def mapped_top_items(spark, sf):
+    """The same from blocks of similar items in the shared folder, as beyond the broadcast limit."""
+    inter, vectors_ = t.stored_purchases(spark, sf), t.item_vectors(spark, sf)
+    rows = last_item_encoder(vectors_)(sequences.latest_sequence(inter, t.TIES))
+    items = pin(prep.market_items(vectors_, inter), "market-items")
+    top = full_sort_topk(rows, items, 10, USER_KEY, limit_bytes=0)
+    return top.select(*USER_KEY, ITEM, "score", long("rank").alias("rank"))
+
+
 # ---- vectors, attention, encoder, parameters
 
 

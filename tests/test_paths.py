@@ -1,6 +1,7 @@
 """The ways below and above the broadcast limit give the same rows, and no query needs this package on the workers."""
 
 import os
+import re
 import subprocess
 import sys
 import textwrap
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from catalog import tables as t
 from xmseq.model import IID, ITEM, MARKET, SEQ, USER, VECTOR
-from xmseq.operators import blocks, encoder, losses, params, sampling, scoring
+from xmseq.operators import blocks, encoder, item_blocks, lookup, losses, params, sampling, scoring, vector_store
+from xmseq.operators.vectors import attention_pool, attention_weights
 
 RNG = np.random.default_rng(3)
 SMALL = {"limit_bytes": 0, "row_block": 3, "item_block": 4}
@@ -51,15 +53,47 @@ def rows(spark):
     return spark.createDataFrame(found, f"{MARKET} string, {USER} string, {scoring.SEQ_VECTOR} array<double>")
 
 
-def test_top_items(items, rows):
+@pytest.fixture(params=["mapped", "joined"])
+def beyond(request, monkeypatch):
+    """Beyond the broadcast limit vectors are mapped, or joined where the shared folder cannot be mapped."""
+    if request.param == "joined":
+        for module in (vector_store, item_blocks):
+            monkeypatch.setattr(module, "mounted_path", lambda *_: None)
+    return request.param
+
+
+def test_top_items(items, rows, beyond):
     ids, vectors = items
     own = ids.select(MARKET, ITEM).join(vectors, ITEM)
     small, large = (rows_of(blocks.full_sort_topk(rows, own, 2, [MARKET, USER], **how)) for how in ({}, SMALL))
     near(large, small)
     assert len(small) == 2 * 8  # a row without a market, or of one without items, has none
-
-
-def test_nll(items, rows):
+    whole = [rows_of(blocks.full_sort_topk(rows, vectors, 3, [USER], **how)) for how in ({}, SMALL)]
+    near(*whole)
+    assert len(whole[0]) == 3 * 10
+
+
+def test_skipped_blocks(spark):
+    """Clustered vectors of different lengths, equal scores, zeros: the same rows, and most products are not computed."""
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(20, 6))
+    found = [(i, (rng.integers(1, 4) * centers[i % 20] + 0.01 * rng.normal(size=6)).tolist()) for i in range(3000)]
+    found += [(4000 + i, found[i][1]) for i in range(200)] + [(5000 + i, [0.0] * 6) for i in range(30)]
+    items_ = spark.createDataFrame(found, f"{ITEM} bigint, {VECTOR} array<double>")
+    asked = [(f"u{i}", (centers[i % 20] * s).tolist()) for i in range(60) for s in (1.0, -2.0)] + [("zero", [0.0] * 6), ("none", None)]
+    rows_ = spark.createDataFrame(asked, f"{USER} string, {scoring.SEQ_VECTOR} array<double>")
+    want = rows_of(blocks.full_sort_topk(rows_, items_, 7, [USER]))
+    stored = item_blocks.write_blocks(items_, block_rows=16, file_bytes=20_000)
+    found = blocks.mapped_topk(rows_, items_, stored, 7, [USER], products=True)
+    near(rows_of(found.drop("products")), want)
+    assert len({f for f in stored.groups[None].files}) > 3
+    share = found.where("user_id like 'u%'").agg(F.avg("products")).first()[0] / 3230
+    assert share < 0.5
+    lse = [rows_of(blocks.all_item_logsumexp(rows_, items_, **how)) for how in ({}, {"limit_bytes": 0})]
+    near(*lse)
+
+
+def test_nll(items, rows, beyond):
     ids, vectors = items
     own = ids.select(MARKET, ITEM).join(vectors, ITEM)
     named = rows.withColumn(ITEM, F.lit("i2"))
@@ -69,7 +103,7 @@ def test_nll(items, rows):
     assert len(small) == 8
 
 
-def test_candidate_scores(items, rows):
+def test_candidate_scores(items, rows, beyond):
     """Unknown ids and markets, items without vector, empty and null arrays."""
     ids, vectors = items
     cases = F.element_at(
@@ -92,7 +126,45 @@ def test_candidate_scores(items, rows):
             assert market in ("us", "ca") or not any(scores)
 
 
-def test_encoder(spark, items):
+def no_vector_moves(df):
+    """No exchange of the plan carries an array of numbers."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    exchanges = [b for b in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", b.strip())]
+    return not any(re.search(r"_emb|_vec|_q|_k|_v\b", b.split("Arguments")[0]) for b in exchanges)
+
+
+def test_lookup(spark, items, rows, beyond):
+    _, vectors = items
+    asked = rows.select(MARKET, USER, F.element_at(F.array(*map(F.lit, ("i1", "i8", "unknown", None))), F.ascii(F.substring(USER, 2, 1)) % 4 + 1).alias(ITEM))
+    found = [lookup.lookup_vectors(asked, vectors, limit_bytes=n) for n in (1 << 20, 0)]
+    near(*(rows_of(f, MARKET, USER, ITEM, VECTOR) for f in found))
+    assert found[1].schema[VECTOR].dataType == vectors.schema[VECTOR].dataType
+    if beyond == "mapped":
+        assert no_vector_moves(found[1])
+
+
+def test_attention(spark, items, beyond):
+    _, vectors = items
+    seqs = spark.createDataFrame([("us", "u", ["i1", "i8", "i3"]), ("us", "v", ["i2"]), ("ca", "u", ["i8"])], f"{MARKET} string, {USER} string, {SEQ} array<string>")
+    for fn in (attention_weights, attention_pool):
+        near(*(rows_of(fn(seqs, vectors, limit_bytes=n)) for n in (1 << 20, 0)))
+    if beyond == "mapped":
+        assert no_vector_moves(attention_weights(seqs, vectors, limit_bytes=0))
+
+
+def test_nothing_moves(spark, items, rows):
+    """Above the limit, where the shared folder is mapped: no exchange at all."""
+    ids, vectors = items
+    asked = rows.withColumn(scoring.CANDIDATES, F.array(F.lit(1).cast("bigint")))
+    for found in (
+        scoring.score_candidates(asked, ids, vectors, limit_bytes=0),
+        blocks.full_sort_topk(rows, vectors, 2, [USER], limit_bytes=0),
+        blocks.all_item_logsumexp(rows, vectors, limit_bytes=0),
+    ):
+        assert "Exchange" not in found._jdf.queryExecution().toString()
+
+
+def test_encoder(spark, items, beyond):
     """Rows of one key keep their own sequence; an empty or null one has a null vector."""
     _, vectors = items
     width, model = 5, []

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from xmseq.model import IID, ITEM, ITEM_KEY, MARKET, VECTOR
+from xmseq.operators.matrix import to_lists
+from xmseq.operators.vector_store import Source, write_ranges
 from xmseq.storage import BROADCAST_BYTES, SMALL_ROWS, fits, pin, vector_table_bytes
 
 HOT_KEYS = 1024
+CELLS = 1 << 21
 
 
 def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", small: bool | None = None) -> DataFrame:
@@ -24,9 +31,34 @@ def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left"
 def lookup_vectors(
     df: DataFrame, vectors: DataFrame, on: str = ITEM, vector: str = VECTOR, limit_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Vector of the id in `on`; NULL if it has none."""
+    """Vector of the id in `on`; NULL if it has none.
+
+    Above the broadcast limit the tasks of `df` map the vectors from the shared folder, where that can be; ids then must
+    not occur twice.
+    """
     table = vectors.select(F.col(ITEM).alias(on), F.col(VECTOR).alias(vector))
-    return lookup(df, table, [on], "left", vector_table_bytes(table, vector) <= limit_bytes)
+    small = vector_table_bytes(table, vector) <= limit_bytes
+    source = None if small else write_ranges(table.dropna(), on, vector)
+    return lookup(df, table, [on], "left", small) if source is None else mapped_lookup(df, source, on, table.schema[vector])
+
+
+def mapped_lookup(df: DataFrame, source: Source, on: str, field: T.StructField) -> DataFrame:
+    """`df` and the vector of the id in `on`, read by the tasks of `df` where they are."""
+    schema = T.StructType([*df.schema.fields, T.StructField(field.name, field.dataType)])
+    kind = to_arrow_schema(schema).field(field.name).type
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = source.reader()
+        step = max(1, CELLS // max(source.width, 1))
+        for batch in batches:
+            for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+                values, known = read(part.column(on))
+                rows = np.cumsum(known) - 1
+                found = to_lists(values[known]).cast(kind) if known.any() else pa.array([], kind)
+                column = found.take(pa.array(rows, mask=~known))
+                yield pa.RecordBatch.from_arrays([*part.columns, column], schema.names)
+
+    return df.mapInArrow(add, schema)
 
 
 def spread_lookup(df: DataFrame, table: DataFrame, on: Sequence[str], how: str, hot_keys: int = HOT_KEYS) -> DataFrame:

@@ -17,6 +17,7 @@ from typing import Any
 from urllib.parse import urlparse
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from xmseq.model import ITEM, VECTOR
-from xmseq.operators.matrix import collect_matrix, rows_of_ids
+from xmseq.operators.matrix import collect_matrix
 from xmseq.storage import BROADCAST_BYTES, shared_path, vector_table_bytes
 
 RANGE_BYTES = 64 << 20
@@ -76,7 +77,7 @@ def vector_source(
     return write_ranges(vectors, key, vector, range_bytes)
 
 
-def write_ranges(vectors: DataFrame, key: str, vector: str, range_bytes: int) -> Source | None:
+def write_ranges(vectors: DataFrame, key: str = ITEM, vector: str = VECTOR, range_bytes: int = RANGE_BYTES) -> Source | None:
     spark = vectors.sparkSession
     folder = mounted_path(spark, "vectors")
     if folder is None:
@@ -124,8 +125,10 @@ def check_file(path: str, size: int) -> None:
 
 
 def matrix_reader(ids: np.ndarray, values: np.ndarray, width: int) -> Reader:
+    index = pd.Index(ids)
+
     def read(wanted: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        at = rows_of_ids(ids, wanted.to_pandas().to_numpy())
+        at = index.get_indexer(wanted.to_pandas().to_numpy())
         out = np.zeros((len(at), width))
         out[at >= 0] = values[at[at >= 0]]
         return out, at >= 0

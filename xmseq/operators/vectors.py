@@ -17,6 +17,7 @@ from xmseq.model import ITEM, SEQ, TEXT, TEXT_BATCH, USER_KEY, VECTOR
 from xmseq.operators.lookup import lookup_vectors
 from xmseq.operators.matrix import to_lists
 from xmseq.operators.scoring import CELLS
+from xmseq.storage import BROADCAST_BYTES
 
 BatchEncoder = Callable[[list[str]], np.ndarray]
 
@@ -105,7 +106,11 @@ def project_vectors(vectors: DataFrame, matrix: Sequence[Sequence[float]]) -> Da
 
 
 def attention_weights(
-    seqs: DataFrame, queries: DataFrame, keys: DataFrame | None = None, key: Sequence[str] = tuple(USER_KEY)
+    seqs: DataFrame,
+    queries: DataFrame,
+    keys: DataFrame | None = None,
+    key: Sequence[str] = tuple(USER_KEY),
+    limit_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(key.., place, item, score, weight): softmax of the last item's query with every item of the sequence.
 
@@ -113,9 +118,10 @@ def attention_weights(
     bounded in length, so the softmax runs in a window.
     """
     key = list(key)
-    last = lookup_vectors(seqs.select(*key, SEQ, F.element_at(SEQ, -1).alias("_last")), queries, "_last", "_q")
-    placed = last.select(*key, "_q", F.posexplode(SEQ).alias("place", ITEM))
-    both = lookup_vectors(placed, queries if keys is None else keys, ITEM, "_k")
+    # Ids are spread over the places, vectors are looked up there, and only scores go on.
+    placed = seqs.select(*key, F.element_at(SEQ, -1).alias("_last"), F.posexplode(SEQ).alias("place", ITEM))
+    asked = lookup_vectors(placed, queries, "_last", "_q", limit_bytes)
+    both = lookup_vectors(asked, queries if keys is None else keys, ITEM, "_k", limit_bytes)
     score = dot("_q", "_k") / F.sqrt(F.size("_q"))
     scored = both.where("_q is not null and _k is not null").select(*key, "place", ITEM, score.alias("score"))
     group = Window.partitionBy(*key)
@@ -129,11 +135,12 @@ def attention_pool(
     keys: DataFrame | None = None,
     values: DataFrame | None = None,
     key: Sequence[str] = tuple(USER_KEY),
+    limit_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(key.., pooled): the weighted sum of the items' value vectors of each sequence."""
     key = list(key)
-    weights = attention_weights(seqs, queries, keys, key)
-    found = lookup_vectors(weights, queries if values is None else values, ITEM, "_v")
+    weights = attention_weights(seqs, queries, keys, key, limit_bytes)
+    found = lookup_vectors(weights, queries if values is None else values, ITEM, "_v", limit_bytes)
     parts = F.array_sort(F.collect_list(F.struct("place", "weight", F.col("_v").alias("v"))))
     width = F.size(F.get("_p", F.lit(0))["v"])
     return found.groupBy(*key).agg(parts.alias("_p")).select(
