@@ -262,7 +262,7 @@ def cut(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = rows.mapInArrow(run, "size bigint, ids array<bigint>, lengths binary, z binary")
-    return pin(made.withColumn("slice", F.monotonically_increasing_id()), "slices")
+    return pin(made.withColumn("slice", F.monotonically_increasing_id()), "slices", packed=True)
 
 
 def runs_of(x: np.ndarray) -> Iterator[tuple[int, int]]:
