@@ -49,6 +49,8 @@ class Model:
     free: float
     #: Hashes of the frequent words, ascending.
     frequent: np.ndarray
+    #: By kind of file, a bit for each bucket that has one.
+    files: dict[str, np.ndarray]
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -162,6 +164,31 @@ def mounted(path: str) -> str:
     return parts.path
 
 
+KINDS = {"pair": 4, "context": 3, "word": 3, "frequent": 3}
+
+
+def files_of(folder: str, bits: int, rows: dict[str, int]) -> dict[str, np.ndarray]:
+    """Which buckets have files, as the driver sees them; an error if those do not hold `rows` keys of each kind.
+
+    Tasks that wrote to disks of their own, or a file that went astray, are noticed here and not taken for unseen words.
+    """
+    found = {kind: np.zeros(1 << bits, bool) for kind in KINDS}
+    held = dict.fromkeys(KINDS, 0)
+    parts = dict.fromkeys(KINDS, 0)
+    for entry in os.scandir(folder) if os.path.isdir(folder) else ():
+        kind, _, rest = entry.name.removesuffix(".npy").partition("-")
+        if kind in KINDS:
+            bucket, _, part = rest.partition("-")
+            parts[kind] += 1
+            if part == "0":
+                found[kind][int(bucket)] = True
+                held[kind] += len(np.load(entry.path, mmap_mode="r"))
+    for kind, n in KINDS.items():
+        if parts[kind] != n * found[kind].sum() or held[kind] != rows.get(kind, held[kind]):
+            raise FileNotFoundError(f"{folder}: {held[kind]} of {rows.get(kind)} keys of kind {kind}; driver and workers must share the folder of spark.checkpoint.dir")
+    return {kind: np.packbits(x) for kind, x in found.items()}
+
+
 def train(docs: DataFrame) -> Model:
     """Count the texts of `docs` (column text, a null counting as empty) and write the arrays."""
     spark = docs.sparkSession
@@ -222,7 +249,8 @@ def train(docs: DataFrame) -> Model:
             # The sums of frequent words go on, to be added up where their own hash is.
             sums = np.column_stack([name.view(np.int64), sums[often]])
             rows += [(int(bucket_of(name[x : x + 1], bits)[0]), b"", b"", b"", sums[x:y].tobytes()) for x, y in cuts_of(bucket_of(name, bits))]
-            stats = [int(len(n)), *(int((n == k).sum()) for k in (1, 2, 3, 4))]
+            # Contexts come last: those filed here, those of frequent words elsewhere.
+            stats = [int(len(n)), *(int((n == k).sum()) for k in (1, 2, 3, 4)), int((~often).sum())]
             out.append(table_of(rows, stats))
         return pa.Table.from_batches(out)
 
@@ -237,11 +265,13 @@ def train(docs: DataFrame) -> Model:
             if len(at):
                 save(folder, f"word-{bucket}", key[at], seen, raw)
             often = np.frombuffer(b"".join(part.column("d").to_pylist()), np.int64).reshape(-1, 5)
+            filed = 0
             if len(often):
                 at, total, *kinds = summed(often[:, 0].copy().view(np.uint64), *often.T[1:])
                 save(folder, f"frequent-{bucket}", often[at, 0].copy().view(np.uint64), total, np.stack(kinds, 1))
-            stats = np.sum([s for s in part.column("stats").to_pylist() if s] or [[0] * 5], axis=0).tolist()
-            own = [int(raw.sum()), len(raw), int(seen.sum()), *(int((seen == k).sum()) for k in (1, 2, 3, 4)), int((seen > 2).sum())]
+                filed = len(at)
+            stats = np.sum([s for s in part.column("stats").to_pylist() if s] or [[0] * 6], axis=0).tolist()
+            own = [int(raw.sum()), len(raw), int(seen.sum()), *(int((seen == k).sum()) for k in (1, 2, 3, 4)), int((seen > 2).sum()), filed]
             out.append([*stats, *map(int, own)])
         return pa.table({"numbers": pa.array(out, pa.list_(pa.int64()))})
 
@@ -249,23 +279,28 @@ def train(docs: DataFrame) -> Model:
     counted = by_group(docs.select("text").mapInArrow(send, schema), ["bucket"], pairs, schema)
     numbers = by_group(counted, ["bucket"], words, "numbers array<bigint>")
     # At most one row per bucket.
-    sums = np.sum([r[0] for r in numbers.collect()] or [[0] * 13], axis=0).tolist()
-    n_pairs, pair_kinds, (n_tokens, n_words, total), word_kinds, more = sums[0], sums[1:5], sums[5:8], sums[8:12], sums[12]
+    sums = np.sum([r[0] for r in numbers.collect()] or [[0] * 15], axis=0).tolist()
+    n_pairs, pair_kinds, n_contexts, (n_tokens, n_words, total), word_kinds, more, n_frequent = sums[0], sums[1:5], sums[5], sums[6:9], sums[9:13], sums[13], sums[14]
+    files = files_of(folder, bits, {"pair": n_pairs, "context": n_contexts, "word": n_words, "frequent": n_frequent})
     d = discounts(word_kinds)
     free = (d[0] * word_kinds[0] + d[1] * word_kinds[1] + d[2] * more) / total if total else 1.0
-    return Model(folder, bits, n_tokens, n_words, n_pairs, discounts(pair_kinds), d, free, frequent)
+    return Model(folder, bits, n_tokens, n_words, n_pairs, discounts(pair_kinds), d, free, frequent, files)
 
 
-def look_up(folder: str, name: str, bits: int, key: np.ndarray, bucket_key: np.ndarray, columns: int) -> list[np.ndarray]:
-    """Values of the keys in the mapped arrays of their buckets, 0 where they have none."""
+def look_up(m: Model, name: str, key: np.ndarray, bucket_key: np.ndarray, columns: int) -> list[np.ndarray]:
+    """Values of the keys in the mapped arrays of their buckets, 0 where they have none. A file that should be there must be."""
+    folder, bits, files = m.folder, m.bits, m.files[name]
     bucket = bucket_of(bucket_key, bits)
     order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
     out = None
     for lo, hi in cuts_of(bucket[order]):
         rows = order[lo:hi]
-        path = f"{folder}/{name}-{bucket[rows[0]]}"
-        if not os.path.exists(f"{path}-0.npy"):
+        b = int(bucket[rows[0]])
+        path = f"{folder}/{name}-{b}"
+        if not files[b >> 3] >> (7 - (b & 7)) & 1:
             continue
+        if not os.path.exists(f"{path}-0.npy"):
+            raise FileNotFoundError(f"{path}-0.npy: all workers must see the folder of spark.checkpoint.dir")
         keys = np.load(f"{path}-0.npy", mmap_mode="r")
         values = [np.load(f"{path}-{i}.npy", mmap_mode="r") for i in range(1, columns + 1)]
         if out is None:
@@ -295,17 +330,17 @@ def log_probabilities(m: Model, before: np.ndarray, word: np.ndarray) -> tuple[n
     """log10 probability of each token after the one before it, and its count in training."""
     at, word_no = distinct(word)
     key = mix(word[at])
-    seen, raw = look_up(m.folder, "word", m.bits, key, key, 2)
+    seen, raw = look_up(m, "word", key, key, 2)
     total = max(m.pairs, 1)
     p_word = (seen - taken(seen, m.word_discounts)) / total + m.free / (m.words + 1)
     at, pair_no = distinct(pair_key(before, word))
     v, key = mix(before[at]), pair_key(before[at], word[at])
-    (count,) = look_up(m.folder, "pair", m.bits, key, pair_place(before[at], key, m.frequent), 1)
+    (count,) = look_up(m, "pair", key, pair_place(before[at], key, m.frequent), 1)
     context, context_no = distinct(v)
-    sums, kinds = look_up(m.folder, "context", m.bits, v[context], v[context], 2)
+    sums, kinds = look_up(m, "context", v[context], v[context], 2)
     often = among(before[at][context], m.frequent)
     if often.any():
-        sums[often], kinds[often] = look_up(m.folder, "frequent", m.bits, v[context][often], v[context][often], 2)
+        sums[often], kinds[often] = look_up(m, "frequent", v[context][often], v[context][often], 2)
     free = kinds @ np.array(m.pair_discounts)
     sums, free = sums[context_no], free[context_no]
     lower = p_word[word_no[at]]
