@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -77,6 +78,23 @@ def test_kneser_ney_edges(spark):
         kneser_ney.mounted("hdfs://store/folder")
 
 
+def test_kneser_ney_missing_files(spark, tmp_path):
+    """A file that a worker or the driver cannot see is an error, not unseen words."""
+    docs = spark.createDataFrame([(1, "a b c a b d " * 50)], SCHEMA)
+    model = kneser_ney.train(docs)
+    names = sorted(os.listdir(model.folder))
+    rows = {"pair": model.pairs, "word": model.words}
+    kneser_ney.files_of(model.folder, model.bits, rows)
+    gone = next(n for n in names if n.startswith("pair-") and n.endswith("-0.npy"))
+    os.rename(f"{model.folder}/{gone}", tmp_path / gone)
+    with pytest.raises(Exception, match="all workers must see"):
+        kneser_ney.score(docs, model).collect()
+    with pytest.raises(FileNotFoundError):
+        kneser_ney.files_of(model.folder, model.bits, rows)
+    with pytest.raises(FileNotFoundError):
+        kneser_ney.files_of(str(tmp_path / "none"), model.bits, rows)
+
+
 def test_kneser_ney_frequent_words(spark, monkeypatch):
     """The pairs of a frequent word are shared out over the buckets, and scores stay."""
     rng = random.Random(3)
@@ -298,7 +316,6 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(TOKENIZER)
-    plain.encode_special_tokens = True
     expect = Counter((i, tuple(plain.encode(t or "", add_special_tokens=False).ids) + (0,)) for i, t in rows)
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in found:
@@ -342,12 +359,41 @@ def test_pack_group():
         assert sum(fill[w] < size for w, size in enumerate(sizes)) <= 1
 
 
+def test_steps_are_balanced():
+    rng = random.Random(4)
+    for n in (0, 1, 5, 3000):
+        sizes = [rng.choice(packing.TIERS) for _ in range(n)]
+        steps = packing.deal_steps(sizes)
+        total, by_tier = Counter(), defaultdict(Counter)
+        for size, step in zip(sizes, steps, strict=True):
+            total[step] += size
+            by_tier[size][step] += size
+        if n:
+            assert max(total.values()) <= packing.STEP_TOKENS and max(total.values()) - min(total.values()) <= 1024
+            for tier, held in by_tier.items():
+                assert max(held.values()) - min(held.get(s, 0) for s in total) <= 2 * 1024, tier
+
+
+def test_rows_of_one_id(spark):
+    """Equal rows and rows of one id: several groups, runs of a bounded number of rows, each piece once."""
+    rows = [(7, "same text")] * 1500 + [(7, f"other {i}") for i in range(1500)] + [(None, "")] * 900
+    found = packing.packed(spark.createDataFrame(rows, SCHEMA), TOKENIZER, group_rows=64).collect()
+    assert len({r.sequence_id >> 24 for r in found}) > 20
+    assert sum(r.length for r in found) == sum(r.doc_tokens for r in found if r.start == 0)
+    assert Counter(r.doc_id for r in found if r.start == 0) == {7: 3000, None: 900}
+    filled = Counter()
+    for r in found:
+        filled[r.sequence_id] += r.length
+    sizes = {r.sequence_id: r.tier for r in found}
+    assert all(filled[s] <= sizes[s] for s in sizes)
+    assert packing.packed(spark.createDataFrame([], SCHEMA), TOKENIZER).count() == 0
+
+
 def test_encoder_equals_library():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(TOKENIZER)
-    plain.encode_special_tokens = True
-    odd = ["", " ", "\n", "  lead", "a b c d", "tail  \n", "x\n\n y", "it's don't I'LL", "<|endoftext|>", "é à　ü", "\x1c a \x1db", "🙂 🙂🙂 a", None, "a\x85b c"]
+    odd = ["", " ", "\n", "  lead", "a b c d", "tail  \n", "x\n\n y", "it's don't I'LL", "<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n x<|endoftext|", "x  <|endoftext|>", "é à　ü", "\x1c a \x1db", "🙂 🙂🙂 a", None, "a\x85b c"]
     odd += ["".join(random.Random(i).choices("ab \n\t'é.1漢", k=40)) for i in range(300)]
     for most in (1_000_000, 3):
         encoder = packing.Encoder(TOKENIZER, most)

@@ -1,17 +1,20 @@
 """Packing of token sequences into windows of several lengths.
 
-Documents become token ids and go to packing groups of a bounded number of rows by a hash. Within a group, whole windows of
+Documents become token ids and go to packing groups of a bounded number of rows by a hash of id and text; equal rows, which
+share a hash, are cut into runs of a bounded number. Within a group, whole windows of
 the longest length are cut off; what is left of a document goes to the tier of the shortest window that holds it. Tiers are
 packed from the longest on: each rest opens a window, the gap is filled by the longest rests of shorter tiers that
 fit, and at last by a piece cut from the shortest rest there is. Every window but the last of a group is thus full, and the
-last one is the only one to be padded. Windows are dealt to training steps so that the steps of a group hold as many tokens
-of each tier.
+last one is the only one to be padded. Windows are dealt to training steps, the longest first and each to the step with
+fewest tokens, so that the steps of a group differ by one window of the longest at most, in all and in each tier.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -21,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xmseq.llm.groups import by_group
 from xmseq.llm.substrings import grouped
 from xmseq.llm.words import bounds, hashes, mix, slices, text_bytes
 
@@ -58,8 +60,12 @@ class Encoder:
         other = [b for b in range(256) if b not in PLAIN_BYTES]
         byte_of = {chr(b): b for b in PLAIN_BYTES} | {chr(256 + i): b for i, b in enumerate(other)}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary["model"]["vocab"].items() if t not in special}
-        # Ids are in the order of the merges, so they are ranks. Texts of special tokens are ordinary text in a corpus.
+        # Ids are in the order of the merges, so they are ranks.
         self.encoding = tiktoken.Encoding("packing", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        # A special token in a text is that token, as the tokenizer reads it; what lies between is encoded by itself.
+        self.special = {t["content"]: t["id"] for t in vocabulary["added_tokens"]}
+        names = sorted(self.special, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
         for t, i in ranks.items():
             self.width[i] = len(t)
@@ -70,15 +76,24 @@ class Encoder:
         self.keys, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def whole(self, text: str) -> np.ndarray:
+    def plain(self, text: str) -> np.ndarray:
         return np.array(self.encoding.encode_ordinary(text), np.uint32)
 
+    def whole(self, text: str) -> np.ndarray:
+        if self.split is None:
+            return self.plain(text)
+        parts = self.split.split(text)
+        return np.concatenate([np.array([self.special[x]], np.uint32) if i % 2 else self.plain(x) for i, x in enumerate(parts)])
+
+    def holds_special(self, text: bytes) -> bool:
+        return any(x.encode() in text for x in self.special)
+
     def pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of spaced words, one after the other, and the number of each: many words are encoded as one text."""
         ids, length = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for lo in range(0, len(texts), JOINED):
             part = texts[lo : lo + JOINED]
-            found = self.whole(b"".join(part).decode())
+            found = self.plain(b"".join(part).decode())
             ends = np.searchsorted(np.cumsum(self.width[found]), np.cumsum([len(t) for t in part])) + 1
             ids.append(found)
             length.append(np.diff(ends, prepend=0))
@@ -121,6 +136,9 @@ class Encoder:
             for i in range(len(counts)):
                 text = data[offsets[i] : offsets[i + 1]].tobytes().decode()
                 wide[i] = any(c in text for c in WIDE_SPACE)
+        if self.holds_special(data.tobytes()):
+            for i in range(len(counts)):
+                wide[i] = wide[i] or self.holds_special(data[offsets[i] : offsets[i + 1]].tobytes())
         return [None if w else flat[a:b] for w, a, b in zip(wide, np.append(0, cut[:-1]), cut, strict=True)]
 
     def _known(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -141,7 +159,7 @@ class Encoder:
             apart = np.array([t[:1] not in SPACES for t in texts], bool) | np.array([t[-1:] in SPACES for t in texts], bool)
             missing = np.append(missing[~apart], missing[apart])
             spaced = [t for t, x in zip(texts, apart, strict=True) if not x]
-            alone = [self.whole(t.decode()) for t, x in zip(texts, apart, strict=True) if x]
+            alone = [self.plain(t.decode()) for t, x in zip(texts, apart, strict=True) if x]
             found, length = self.pieces(spaced)
             length = np.append(length, np.array([len(x) for x in alone], np.int64))
             first = len(self.ids) + np.cumsum(length) - length
@@ -199,13 +217,27 @@ def pack_group(lengths: list[int], longest: int = LONGEST, tiers: tuple[int, ...
     return pieces, sizes
 
 
+def deal_steps(sizes: list[int], step_tokens: int = STEP_TOKENS) -> list[int]:
+    """Step of each window: none holds more than `step_tokens`, and their tokens differ by the longest window at most."""
+    longest = max(sizes, default=0)
+    steps = max(1, -(-sum(sizes) // max(step_tokens - longest, longest, 1)))
+    least = [(0, s) for s in range(steps)]
+    out = [0] * len(sizes)
+    for w in sorted(range(len(sizes)), key=lambda w: -sizes[w]):
+        tokens, step = heapq.heappop(least)
+        out[w] = step
+        heapq.heappush(least, (tokens + sizes[w], step))
+    return out
+
+
 def packed(docs: DataFrame, path: str, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Pieces of all rows of `docs` (doc_id, text) in windows of at most 1024 tokens.
 
     Returns doc_id, start, length, ids (the piece's token ids), doc_tokens, sequence_id, offset, tier (the size of the
-    window) and step (windows of one step hold 65,536 tokens, apart from the last of a group and tier). Each text is
-    encoded whole and followed by id 0; a null text is empty. Rows that share a doc_id are packed each by itself. Windows
-    are full but for one in each group of about `group_rows` rows. Rows without doc_id are packed, too.
+    window) and step (windows of one group dealt to steps of at most 65,536 tokens). Each text is encoded whole and followed
+    by id 0, special tokens in it by their own ids; a null text is empty. Rows that share a doc_id, or are equal, are packed
+    each by itself. Windows are full but for one in each group of about `group_rows` rows, or of twice as many of those that
+    are. Rows without doc_id are packed, too; other columns are ignored, whatever their names. No rows: no pieces.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
@@ -220,7 +252,7 @@ def packed(docs: DataFrame, path: str, group_rows: int = GROUP_ROWS) -> DataFram
                 # The group depends on the row alone, so that a task that runs again deals its rows alike.
                 salt = np.array([zlib.crc32(x.tobytes()) for x in ids], np.uint64)
                 key = part.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy().view(np.uint64)
-                group = (mix(key ^ mix(salt) if (part.column("doc_id").null_count) else key) % np.uint64(groups)).astype(np.int64)
+                group = (mix(key ^ mix(salt)) % np.uint64(groups)).astype(np.int64)
                 blobs = [x.astype("<u2").tobytes() if small else x.astype("<u4").tobytes() for x in ids]
                 yield pa.record_batch([pa.array(group), part.column("doc_id"), pa.array(blobs, pa.binary())], ["group", "doc_id", "ids"])
 
@@ -228,30 +260,49 @@ def packed(docs: DataFrame, path: str, group_rows: int = GROUP_ROWS) -> DataFram
         small = len(json.load(f)["model"]["vocab"]) + 64 < 1 << 16
     width = 2 if small else 4
 
-    def pack(table: pa.Table, starts: np.ndarray) -> pa.Table:
-        out: list[list] = [[] for _ in range(9)]
-        blobs = table.column("ids").to_pylist()
-        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            ids = [np.frombuffer(x, f"<u{width}").astype("<u4") for x in blobs[lo:hi]]
-            pieces, sizes = pack_group([len(x) for x in ids])
-            group = table.column("group")[lo].as_py()
-            step, done, steps = [], {}, 0
-            for size in sizes:
-                place = done.get(size)
-                if place is None or place[1] == STEP_TOKENS // size:
-                    place = done[size] = [steps, 0]
-                    steps += 1
-                place[1] += 1
-                step.append(place[0])
-            rows = [p[0] for p in pieces]
-            out[0] += [lo + r for r in rows]
-            for i, values in enumerate(([p[1] for p in pieces], [p[2] for p in pieces], [ids[r][s : s + n].tobytes() for r, s, n, _, _ in pieces], [len(ids[r]) for r in rows],
-                                        [(group << 24) + p[3] for p in pieces], [p[4] for p in pieces], [sizes[p[3]] for p in pieces], [(group << 24) + step[p[3]] for p in pieces]), 1):
-                out[i] += values
-        big = pa.int64()
-        columns = [table.column("doc_id").take(pa.array(out[0], big))]
-        columns += [pa.array(x, t) for x, t in zip(out[1:], (big, big, pa.binary(), big, big, big, big, big), strict=True)]
-        return pa.table(dict(zip(("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step"), columns, strict=True)))
+    def pack(ids: list[np.ndarray], group: int, window: int, step: int) -> tuple[list[list], int, int]:
+        """Columns of the pieces of one run of rows, the first its row, and how many windows and steps it made."""
+        pieces, sizes = pack_group([len(x) for x in ids])
+        steps = deal_steps(sizes)
+        at = [p[0] for p in pieces]
+        parts = [ids[r][s : s + n].tobytes() for r, s, n, _, _ in pieces]
+        place = [(group << 24) + window + p[3] for p in pieces]
+        dealt = [(group << 24) + step + steps[p[3]] for p in pieces]
+        columns = [at, [p[1] for p in pieces], [p[2] for p in pieces], parts, [len(ids[r]) for r in at], place, [p[4] for p in pieces], [sizes[p[3]] for p in pieces], dealt]
+        return columns, len(sizes), max(steps, default=-1) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last, window, step = None, 0, 0
+
+        def done() -> pa.RecordBatch:
+            nonlocal window, step
+            table = pa.Table.from_batches(held).combine_chunks()
+            ids = [np.frombuffer(x, f"<u{width}").astype("<u4") for x in table.column("ids").to_pylist()]
+            columns, windows, steps = pack(ids, last, window, step)
+            window, step = window + windows, step + steps
+            first = table.column("doc_id").combine_chunks().take(pa.array(columns[0], pa.int64()))
+            return pa.record_batch([first, *(pa.array(x, pa.binary() if c == "ids" else pa.int64()) for c, x in zip(names, columns[1:], strict=True))], ["doc_id", *names])
+
+        for batch in batches:
+            groups = batch.column("group").to_numpy()
+            cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), len(groups)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi > lo and held and groups[lo] != last:
+                    yield done()
+                    held, window, step = [], 0, 0
+                for at in range(lo, hi, group_rows):
+                    last = int(groups[lo])
+                    held.append(batch.slice(at, min(group_rows, hi - at)))
+                    # Equal rows come one after the other, so it does not matter which of them are cut off here.
+                    if sum(b.num_rows for b in held) >= 2 * group_rows:
+                        yield done()
+                        held = []
+        if held:
+            yield done()
 
+    names = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step"]
     dealt = docs.mapInArrow(encode, f"group bigint, doc_id {kind}, ids binary")
-    return by_group(dealt, ["group"], pack, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, tier bigint, step bigint", order=["doc_id", "ids"])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "group").sortWithinPartitions("group", "doc_id", "ids")
+    return dealt.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, tier bigint, step bigint")
