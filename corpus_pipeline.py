@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from xmseq.llm import inverted, language, lines, mixing, packing
 from xmseq.llm.queries import WEIGHTS, with_domain
-from xmseq.storage import pin
+from xmseq.llm.store import unused
+from xmseq.storage import numbered, pin
 
 #: A calibrated probability below this means no language.
 LEAST_SCORE = 0.5
@@ -35,11 +36,24 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with 5-word shingle sets of Jaccard 0.8 or more, and one row of each doc_id."""
-    groups = inverted.near_groups(docs, k=5, percent=80)
-    ids = pin(groups.where("kept and doc_id is not null").select("doc_id").distinct(), "kept-documents")
-    named = docs.where("doc_id is not null").join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group with 5-word shingle sets of Jaccard 0.8 or more: the row with the smallest doc_id.
+
+    Rows that share a doc_id, and rows without one, are documents of their own; of equal doc_ids the smaller text stays, and
+    a row without doc_id only where the group has no other. Rows without a shingle (no words) stay.
+    """
+    names = docs.columns
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1)
+    if repeated.isEmpty():
+        ids = pin(inverted.near_groups(docs, k=5, percent=80).where("kept").select("doc_id"), "kept-documents")
+        return docs.join(ids.hint("merge"), "doc_id", "left_semi").select(*names)
+    row = unused(docs, "row")
+    rows = numbered(docs, row)
+    groups = inverted.near_groups(rows.select(F.col(row).alias("doc_id"), "text"), k=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias(row), F.col("component_id").alias("_group"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.sha2("text", 256), row)
+    placed = rows.select(row, order.alias("_order")).join(groups, row)
+    first = pin(placed.groupBy("_group").agg(F.min("_order").alias("_o")).select(f"_o.{row}"), "kept-documents")
+    return rows.join(first.hint("merge"), row, "left_semi").select(*names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
