@@ -68,7 +68,36 @@ def test_near(spark, docs):
     _, component = groups_by_hand([r[:2] for r in rows[:-1]], 5, 80)
     found = [r.doc_id for r in corpus_pipeline.drop_near(spark, docs, SF).collect()]
     assert sorted(i for i in found if i is not None) == sorted(set(component.values()))
-    assert found.count(None) == 1
+    assert found.count(None) == 1 and len(found) == len(set(found))
+
+
+def test_near_rows_that_share_an_id(spark):
+    """Two texts of one id stay both; copies of one text leave the smallest id, whatever the order of the rows."""
+    rng = random.Random(3)
+    a, b, c = (prose(rng, 80, 3000) for _ in range(3))
+    rows = [(5, a), (5, b), (7, a), (None, b), (None, c), (None, c), (2, c + " end"), (9, None), (9, "")]
+    for turn in range(2):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in (rows if turn else rows[::-1])], f"{SCHEMA}, row string")
+        found = corpus_pipeline.drop_near(spark, docs, SF)
+        assert found.columns == docs.columns
+        assert sorted(map(repr, [(r.doc_id, r.text) for r in found.collect()])) == sorted(map(repr, [(5, a), (5, b), (2, c + " end"), (9, None), (9, "")]))
+
+
+def test_packing(spark, docs):
+    """Every id of every text once, by the tokenizer itself; awkward rows, and no rows."""
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    plain = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    found = corpus_pipeline.pack(spark, docs, SF).collect()
+    pieces = {}
+    for r in found:
+        pieces.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    want = sorted(plain.encode(r[1] or "", add_special_tokens=False).ids + [0] for r in awkward())
+    tokens = sorted(t for ids in want for t in ids)
+    assert sorted(t for p in pieces.values() for _, ids in p for t in ids) == tokens
+    assert sum(r.length for r in found if r.start == 0 and r.length == r.doc_tokens) <= len(tokens)
+    assert corpus_pipeline.pack(spark, docs.limit(0), SF).count() == 0
 
 
 def test_mixing_keeps_documents_whole(spark, docs):
