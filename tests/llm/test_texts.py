@@ -279,6 +279,41 @@ def test_mixing_epochs_and_edges(spark):
     assert mixing.mix(spark.createDataFrame([], schema), F.lit(10)).count() == 0
 
 
+ALIASES = [
+    ('<link rel="canonical" href="../de/2">', "http://b.com/en/x", "b.com/de/2"),
+    ('<link rel="canonical" href="http://c.com/a/./b/../../de/?u=1&amp;v=&quot;2">', "http://one.net/", 'c.com/de/?u=1&v="2'),
+    ("<meta http-equiv=refresh content='0;url=/p&#47;q&#x2F;..&#38;amp;&amp;lt;'>", "http://d.net/x", "d.net/p/q/..&amp;&lt;"),
+    ('<link rel="canonical" href="..">', "http://e.net/a/b/c", "e.net/a/"),
+    ('<link rel="canonical" href="./../../../f">', "http://e.net/a/", "e.net/f"),
+    ('<link rel="canonical" href="/g/.?q=./../">', "http://e.net/a/", "e.net/g/?q=./../"),
+    ('<link rel="canonical" href="&#9999;&#0;&unknown;">', "http://e.net/a/", "e.net/a/&"),
+]
+
+
+def test_url_targets(spark):
+    """Entities and dot segments, against plain values; then a chain and a hub of aliases against the SQL."""
+    rows = [(i, url, f"<html>{link}</html>") for i, (link, url, _) in enumerate(ALIASES)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    tag = F.get(F.regexp_extract_all("html", F.lit(urls.TAG), F.lit(0)), F.lit(0))
+    aimed = urls.with_target(pages.select("page_id", "url", urls.target_of(tag).alias("target")), "to")
+    found = aimed.select("page_id", urls.key_of(F.col("to")).alias("key")).orderBy("page_id").collect()
+    assert [r["key"] for r in found] == [key for _, _, key in ALIASES], found
+    rows += [(100 + i, f"http://h{i}.net/r?u=1&v={i}", f'<link rel="canonical" href="http://h{i + 1}.net/x/../r?u=1&amp;v={i + 1}">') for i in range(60)]
+    rows += [(300 + i, f"http://s{i}.net/", "<link rel=canonical href='http://hub.com/./de/1'>") for i in range(200)]
+    rows += [(700, "http://h60.net/r?u=1&v=60", "<link rel=canonical href=http://q.com/de/9>"), (701, "http://hub.com/de/1", "")]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = sorted(map(tuple, urls.judge(frame, urls.rules_table(spark, RULES)).select("page_id", "verdict", "alias").collect()))
+    import duckdb
+
+    from xmseq.llm.queries import SQL
+
+    con = duckdb.connect()
+    con.register("pages", frame.toPandas())
+    want = con.execute(f"SELECT page_id, verdict, alias FROM ({SQL['op5_urls']}) ORDER BY page_id").fetchall()
+    assert got == want
+    assert sum(v == "block" for _, v, _ in got) >= 2 + 61 + 201
+
+
 def page(link="", url="http://a.net/"):
     return url, f"<html><head>{link}</head><body><a href='/x'>x</a></body></html>"
 

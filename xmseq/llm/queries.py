@@ -205,7 +205,19 @@ LINES_SQL = f"""
 def value(tag: str, name: str) -> str:
     """Value of an attribute of a tag in SQL."""
     pattern = rf"""(?i)[\s"'']{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))"""
-    return "(" + " || ".join(f"regexp_extract({tag}, '{pattern}', {i})" for i in (1, 2, 3)) + ")"
+    raw = "(" + " || ".join(f"regexp_extract({tag}, '{pattern}', {i})" for i in (1, 2, 3)) + ")"
+    code = """coalesce(try_cast(regexp_extract(m, '^&#0*([0-9]{1,3});$', 1) AS int), try_cast('0x' || regexp_extract(m, '^&#[xX]0*([0-9a-fA-F]{1,2});$', 1) AS int))"""
+    letter = f"CASE WHEN {code} = 38 THEN '&amp;' WHEN {code} BETWEEN 1 AND 127 THEN chr({code}) ELSE m END"
+    out = f"list_reduce(regexp_extract_all({raw}, '{urls.NUMBERED}'), lambda s, m: replace(s, m, {letter}), {raw})"
+    for mark, plain in urls.NAMED:
+        out = f"replace({out}, '{mark}', '{plain.replace(chr(39), chr(39) * 2)}')"
+    return out
+
+
+#: A path without dot segments.
+TIDY = """CASE WHEN regexp_matches({0}, '/\\.\\.?(/|$)') THEN list_reduce(string_split({0}, '/')[2:], lambda s, x: CASE x WHEN '.' THEN s
+    WHEN '..' THEN regexp_replace(s, '/[^/]*$', '') ELSE s || '/' || x END, '') || CASE WHEN regexp_matches({0}, '/\\.\\.?$') THEN '/' ELSE '' END
+    ELSE {0} END"""
 
 
 HOST, PATH = "lower(regexp_extract({0}, '^[^/?#]*'))", "regexp_extract({0}, '^[^/?#]*([^?#]*)', 1)"
@@ -233,7 +245,9 @@ URLS_SQL = rf"""
             WHEN starts_with(aim, '?') THEN 'http://' || host || path || aim WHEN starts_with(aim, '#') THEN url
             ELSE 'http://' || host || CASE WHEN regexp_extract(path, '^(.*/)?') = '' THEN '/' ELSE regexp_extract(path, '^(.*/)?') END || aim END AS target
         FROM aims WHERE aim <> ''),
-      far AS (SELECT key, {REST.format("target")} AS rest FROM whole),
+      aimed AS (SELECT key, {REST.format("target")} AS rest FROM whole),
+      parted AS (SELECT key, rest, {PATH.format("rest")} AS path, regexp_extract(rest, '^[^?#]*(.*)$', 1) AS more FROM aimed WHERE rest IS NOT NULL),
+      far AS (SELECT key, {HOST.format("rest")} || {TIDY.format("path")} || more AS rest FROM parted),
       links AS (SELECT key, {KEY.format("rest")} AS other, {HOST.format("rest")} AS host, {PATH.format("rest")} AS path FROM far WHERE rest IS NOT NULL),
       both_ AS (SELECT key AS a, other AS b FROM links WHERE key <> other UNION SELECT other, key FROM links WHERE key <> other),
       reach(node, seen) AS (SELECT DISTINCT a, a FROM both_ UNION SELECT r.node, b FROM reach r JOIN both_ ON r.seen = a),
