@@ -32,6 +32,7 @@ from xmseq.operators.blocks import full_sort_topk
 from xmseq.operators.lookup import dense_items, lookup_vectors
 from xmseq.plans.evaluate import last_item_encoder, sampled_evaluation, scored_targets
 from xmseq.plans.prepare import prepare
+from xmseq.plans.runs import RUN, selected_run
 from xmseq.sinks.export import export_inter, export_items, export_vectors, write_master
 from xmseq.sources import prepared, raw
 from xmseq.storage import pin, shared_path
@@ -500,6 +501,17 @@ def encoder_metrics(spark, sf):
     return sampled_evaluation(t.stored_purchases(spark, sf), vectors_, encode, t.TIES)
 
 
+@query
+def selected_run_metrics(spark, sf):
+    """Three sets of parameters, the model's own, query and key taken over, and value as well: test metrics of each market's best."""
+    own, given = t.model_params(spark, sf), whole_layers(spark, sf)
+    sets = {"own": own}
+    for name, weights in (("query-key", ("query", "key")), ("query-key-value", ("query", "key", "value"))):
+        sets[name] = params.transfer(own, params.select_weights(given, weights))
+    table = reduce(DataFrame.unionByName, [p.withColumn(RUN, F.lit(name)) for name, p in sets.items()])
+    return selected_run(t.stored_purchases(spark, sf), t.item_vectors(spark, sf), pin(table, "runs"), t.TIES)
+
+
 def encoded_targets(spark, sf, inter, vectors_):
     """The test rows with the encoder's output."""
     rows = sequences.target_rows(inter, t.TIES).withColumn(PHASE, F.lit(sequences.TEST))

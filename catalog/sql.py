@@ -587,6 +587,30 @@ define(
     )
     | _TEST_TARGETS,
 )
+
+
+def run_sql(run: str, phase: str, back: int, kinds: str) -> str:
+    """Metrics of a run on the rows of a phase, whose targets lie `back` events before the last; `kinds` are the matrices taken over."""
+    places = f"""select market, user_id, pos - greatest(n_events - {51 + back}, 0) as place, pos = n_events - {1 + back} as is_last, v
+        from positions join vectors using (item_id)
+        where n_events >= {3 + back} and pos between n_events - {50 + back} and n_events - {1 + back}"""
+    model = f"""select m.name, m.row, coalesce(l.v, m.v) as v from model m left join layered l
+        on m.name = 'trm_encoder.layer.multi_head_attention.' || l.kind || '.weight' and l.row = m.row
+        and l.kind in ({kinds}) and l.layer = (select count(*) // 192 - 1 from embeddings)"""
+    targets = f"""select s.market, s.user_id, s.phase, s.item_id, e.v as seq_v from split s
+        join encoded e on e.market = s.market and e.user_id = s.user_id where s.phase = '{phase}'"""
+    own = encoder_blocks((["positions", "vectors"], places), (["model", "layered"], model)) | {"targets": (["split", "encoded"], targets)}
+    return f"select '{run}' as run, * from ({_with('metrics', BLOCKS | own)} select * from metrics)"
+
+
+_RUNS = {"own": "''", "query-key": "'query', 'key'", "query-key-value": "'query', 'key', 'value'"}
+SQL["selected_run_metrics"] = (
+    "with tried as ("
+    + " union all ".join(run_sql(run, phase, back, kinds) for run, kinds in _RUNS.items() for phase, back in (("valid", 1), ("test", 0)))
+    + """), chosen as (select market, run, value as valid_value, row_number() over (partition by market order by value desc, run) as place
+        from tried where phase = 'valid' and metric = 'MRR' and k = 10)
+    select market, run, valid_value, metric, k, value from tried join chosen using (market, run) where place = 1 and phase = 'test'"""
+)
 _OWN_MODEL = encoder_blocks(_TEST_PLACES, (["model"], "select * from model")) | _TEST_TARGETS
 define(
     "encoder_ce_loss",

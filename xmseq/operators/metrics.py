@@ -62,10 +62,10 @@ def report_line(metrics: DataFrame, by: Sequence[str] = (MARKET, PHASE)) -> Data
     )
 
 
-def best_run(runs: DataFrame, metric: str = VALID_METRIC, bigger: bool = True) -> DataFrame:
-    """The run with the best value of `metric` (name@k) in a table of (run, metric, k, value); ties to the smaller run."""
+def best_run(runs: DataFrame, metric: str = VALID_METRIC, bigger: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """The run with the best value of `metric` (name@k) in a table of (by.., run, metric, k, value); ties to the smaller run."""
     name, k = metric.split("@")
     value = F.col("value") if bigger else -F.col("value")
     chosen = runs.where((F.col("metric") == name) & (F.col("k") == int(k)))
     best = F.min_by(F.struct("run", "value"), F.struct((-value).alias("v"), "run"))
-    return chosen.agg(best.alias("_b")).select("_b.run", "_b.value")
+    return chosen.groupBy(*by).agg(best.alias("_b")).where("_b is not null").select(*by, "_b.run", "_b.value")
