@@ -337,7 +337,7 @@ def unseen_negatives(spark, sf):
     inter = t.stored_purchases(spark, sf)
     ids = sequences.item_ids(inter)
     rows = sequences.target_rows(inter, t.TIES).withColumn(PHASE, F.lit(sequences.TEST))
-    seen = inter.select(*USER_KEY, ITEM).distinct().join(ids, ITEM_KEY)
+    seen = inter.select(*USER_KEY, ITEM).join(ids, ITEM_KEY)
     kept = sampling.exclude_history(sampling.uniform_negatives(rows, ids), seen)
     return sampling.long_candidates(kept).select(*USER_KEY, "positive", "candidate")
 
