@@ -33,6 +33,7 @@ from xmseq.operators.lookup import dense_items, lookup_vectors
 from xmseq.plans.evaluate import last_item_encoder, sampled_evaluation, scored_targets
 from xmseq.plans.prepare import prepare
 from xmseq.plans.runs import RUN, selected_run
+from xmseq.sinks.buckets import read_buckets, write_buckets
 from xmseq.sinks.export import export_inter, export_items, export_vectors, write_master
 from xmseq.sources import prepared, raw
 from xmseq.storage import pin, shared_path
@@ -197,6 +198,25 @@ def latest_sequence(spark, sf):
     return latest.select(*USER_KEY, text_of(SEQ).alias("seq"), long(LENGTH).alias(LENGTH))
 
 
+def bucketed_purchases(spark, sf):
+    path = shared_path(spark, "master-by-user")
+    write_buckets(t.purchases(spark, sf), path, t.TIES)
+    return read_buckets(spark, path)
+
+
+@query
+def bucketed_loo_split(spark, sf):
+    """The split of a master that lies by user: no shuffle."""
+    rows = sequences.loo_split(sequences.order_events(bucketed_purchases(spark, sf), t.TIES))
+    return rows.select(*USER_KEY, POS, ITEM, PHASE)
+
+
+@query
+def bucketed_latest_sequence(spark, sf):
+    latest = sequences.latest_sequence(bucketed_purchases(spark, sf), t.TIES)
+    return latest.select(*USER_KEY, text_of(SEQ).alias("seq"), long(LENGTH).alias(LENGTH))
+
+
 @query
 def item_ids(spark, sf):
     return sequences.item_ids(t.purchases(spark, sf))

@@ -424,6 +424,8 @@ define(
     from positions p join vectors q on q.item_id = p.item_id join ids on ids.market = p.market
     join vectors k on k.item_id = ids.item_id where p.pos = p.n_events)) where rank <= 10""",
 )
+for _name in ("loo_split", "latest_sequence"):
+    SQL[f"bucketed_{_name}"] = SQL[_name]
 SQL["mapped_top_items"] = SQL["market_top_items"]
 define(
     "text_vectors",
