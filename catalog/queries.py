@@ -35,7 +35,7 @@ from xmseq.plans.prepare import prepare
 from xmseq.plans.runs import RUN, selected_run
 from xmseq.sinks.buckets import read_buckets, write_buckets
 from xmseq.sinks.export import export_inter, export_items, export_vectors, write_master
-from xmseq.sources import prepared, raw
+from xmseq.sources import prepared, raw, typed
 from xmseq.storage import pin, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -659,6 +659,17 @@ def prepared_items(spark, sf):
     return found.select(MARKET, long(ITEM).alias(ITEM), digits_of(VECTOR).alias("v"))
 
 
+@query
+def typed_source(spark, sf):
+    """Items of all markets with their vectors, written and read by the data source of typed tables."""
+    typed.register(spark)
+    path = shared_path(spark, "typed")
+    items = prep.market_items(t.item_vectors(spark, sf), t.purchases(spark, sf))
+    items.select(MARKET, F.col(ITEM).cast("string").alias(ITEM), VECTOR).write.format("typed_table").mode("append").save(path)
+    found = spark.read.format("typed_table").load(path)
+    return found.select(MARKET, long(ITEM).alias(ITEM), digits_of(VECTOR).alias("v"))
+
+
 @query
 def master_table(spark, sf):
     """The rows of the partitioned master."""

@@ -826,6 +826,7 @@ define(
     "purchases vectors",
     f"select market, item_id, {digits('v')} as v from (select distinct market, item_id from purchases) join vectors using (item_id)",
 )
+SQL["typed_source"] = SQL["prepared_items"]
 define(
     "master_table",
     "purchases",
