@@ -179,6 +179,18 @@ def test_e8():
     assert (((y[:, None] - p[:, None] - r[None]) ** 2).sum(2) >= d[:, None] - 1e-9).all()
 
 
+def test_near_vectors_of_any_size_and_one_id(spark):
+    """Numbers whose squares leave the range of doubles; one id with two unlike vectors, each with its own links."""
+    rng = np.random.default_rng(6)
+    a, b = (rng.normal(size=16) for _ in range(2))
+    rows = [(1, (a * 1e-200).tolist()), (2, (a * 1e200).tolist()), (3, a.tolist()), (4, (b * 1e-200).tolist()), (5, (b * 1e-300).tolist())]
+    rows += [(7, b.tolist()), (7, rng.normal(size=16).tolist()), (None, a.tolist())]
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id bigint, embedding array<double>, label bigint, rep string")
+    found = sorted((tuple(r) for r in lattice.near_vectors(frame).collect()), key=repr)
+    want = [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 4, True), (5, 2, 4, False), (7, 0, 7, True), (7, 2, 4, False), (None, 0, None, True)]
+    assert found == sorted(want, key=repr)
+
+
 def test_lattice_recall():
     rng = np.random.default_rng(1)
     a = rng.normal(size=(2000, 64))

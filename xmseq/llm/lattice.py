@@ -76,13 +76,19 @@ def cells(unit: np.ndarray, tables: int, probes: int, scale: float) -> np.ndarra
     return np.concatenate(out, 1) if out else np.zeros((len(unit), 0), np.int64)
 
 
+def unit_vectors(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision; divided by their largest number first, so that no square leaves the range."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
 def postings(batch: pa.RecordBatch, tables: int, probes: int, scale: float) -> Iterator[tuple[np.ndarray, ...]]:
     """For the vectors of each length in a batch: rows, unit vectors in double precision, codes salted by label."""
     lengths = np.asarray(batch.column("embedding").value_lengths())
     for d in np.unique(lengths).tolist():
         for part in np.array_split(rows := np.flatnonzero(lengths == d), -(-len(rows) // 1024)):
-            x = batch.column("embedding").take(pa.array(part)).flatten().to_numpy().astype(np.float64).reshape(-1, d)
-            x /= np.sqrt((x * x).sum(1))[:, None]
+            x = unit_vectors(batch.column("embedding").take(pa.array(part)).flatten().to_numpy().reshape(-1, d))
             label = batch.column("label").to_numpy()[part].astype(np.int64).view(np.uint64)
             codes = cells(x, tables, probes, scale).view(np.uint64)
             yield part, x, mix(codes ^ mix(label + np.uint64(d << 32))[:, None]).view(np.int64)
@@ -97,13 +103,17 @@ def near_vectors(
     rows linked directly, component_id is the smallest vec_id reachable. A vector that is null, empty, zero, or holds a null
     or a non-finite number links with nothing, nor does one of another length. Links are found by lattice cells and all
     confirmed; `tables`, `probes` and `scale` (cells shrink as it grows) set how few are missed.
+
+    Rows that share a vec_id are rows of their own, with links of their own. A row without vec_id links with nothing, has no
+    component and is kept. Other columns are ignored, whatever their names; no rows give no rows.
     """
     e = F.col("embedding")
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fit = F.col("label").isNotNull() & e.isNotNull() & ~bad & F.exists(e, lambda x: x != 0) & F.col("vec_id").isNotNull()
     rows = vectors.select("vec_id", "embedding", "label", F.coalesce(fit, F.lit(False)).alias("fit"))
-    kinds = rows.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    kinds = pin(kinds, "distinct-vectors")
+    kinds = rows.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # Distinct vectors have numbers of their own: one vec_id may come with several.
+    kinds = pin(kinds.withColumn("rep", F.monotonically_increasing_id()), "distinct-vectors")
     width = tables * (1 + probes)
     home = np.zeros(width, bool)
     home[:: 1 + probes] = True
@@ -154,8 +164,7 @@ def near_vectors(
         columns = {c: table.column(c).to_numpy() for c in ("code", "lo", "hi", "own", "rep", "copies")}
         for lo, hi in zip(starts[big].tolist(), starts[big + 1].tolist(), strict=True):
             part = table.slice(lo, hi - lo)
-            x = part.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(hi - lo, -1)
-            x /= np.sqrt((x * x).sum(1))[:, None]
+            x = unit_vectors(part.column("embedding").combine_chunks().flatten().to_numpy().reshape(hi - lo, -1))
             code, first, second = (columns[c][lo] for c in ("code", "lo", "hi"))
             own, rep, copies = (columns[c][lo:hi] for c in ("own", "rep", "copies"))
             codes = np.array([np.frombuffer(b, np.int64) for b in part.column("codes").to_pylist()])
@@ -184,11 +193,13 @@ def near_vectors(
     met = pin(by_group(kinds.mapInArrow(post, schema), ["code", "lo", "hi"], meet, "u bigint, v bigint, n bigint"), "met")
     counts = met.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     joined = components(met.where("v is not null")).withColumnRenamed("node", "rep")
-    known = kinds.join(counts, "rep", "left").join(joined, "rep", "left").select(
+    joined = pin(joined, "joined-vectors")
+    named = joined.join(kinds.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("smallest"))
+    known = kinds.join(counts, "rep", "left").join(joined, "rep", "left").join(named, "component", "left").select(
         "label",
         "embedding",
         (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"),
+        F.coalesce("smallest", "least").alias("component_id"),
     )
     linked = rows.where("fit").join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not fit").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
