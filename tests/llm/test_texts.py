@@ -484,5 +484,62 @@ def test_temperature():
     logits = rng.normal(size=(4000, 3)) * 2
     p = language.softmax(logits)
     labels = np.array([rng.choice(3, p=q) for q in p])
-    assert 0.85 < language.best_temperature(logits, labels) < 1.15
-    assert 3.4 < language.best_temperature(logits * 4, labels) < 4.6
+    flat, ones = np.zeros(3), np.ones(4000)
+    assert 0.85 < language.best_temperature(logits, labels, flat, ones) < 1.15
+    assert 3.4 < language.best_temperature(logits * 4, labels, flat, ones) < 4.6
+    shift = np.array([1.0, 0.0, -1.0])
+    assert 0.85 < language.best_temperature(logits - shift, labels, shift, ones) < 1.15
+
+
+def test_rare_language(spark):
+    """A language of 8 rows among 8,000 is learnt, though its hashes are not among the smallest; frequent ones stay right."""
+    rng = random.Random(2)
+    alphabets = {"aa": "abcdeé", "bb": "fghijü"}
+    rows = [(i, letters(rng, alphabets[lang], 25), lang) for i, lang in enumerate(["aa", "bb"] * 4000)]
+    rows += [(100_000 + i, letters(rng, "стая", 40), "cc") for i in range(8)]
+    docs = spark.createDataFrame(rows, f"{SCHEMA}, lang string")
+    model = language.train(docs, sample=300)
+    assert model.langs == ["aa", "bb", "cc"] and model.prior[2] < -1
+    asked = [(i, letters(rng, a, 30), lang) for i, (lang, a) in enumerate([*alphabets.items(), ("cc", "стая")] * 20)]
+    found = language.predict(spark.createDataFrame(asked, f"{SCHEMA}, lang string"), model).collect()
+    assert sum(r.lang_pred == r.lang for r in found) >= 0.95 * len(found)
+    assert sum(r.lang_pred == "cc" and r.score > 0.5 for r in found if r.lang == "cc") >= 18
+
+
+def test_regression_against_plain_loops(monkeypatch):
+    """Follow-the-regularised-leader, one number at a time."""
+    monkeypatch.setattr(language, "PLACES", 12)
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(40):
+        place = np.sort(rng.choice(12, 4, replace=False))
+        rows.append((place, rng.random(4), int(rng.integers(0, 3))))
+    z, n = [[0.0] * 3 for _ in range(12)], [[0.0] * 3 for _ in range(12)]
+
+    def weight(i, c):
+        if abs(z[i][c]) <= language.L1:
+            return 0.0
+        return -(z[i][c] - math.copysign(language.L1, z[i][c])) / ((language.BETA + math.sqrt(n[i][c])) / language.ALPHA + language.L2)
+
+    for _ in range(language.EPOCHS):
+        for place, value, label in rows:
+            w = {(i, c): weight(i, c) for i in place.tolist() for c in range(3)}
+            score = [sum(v * w[i, c] for i, v in zip(place.tolist(), value, strict=True)) for c in range(3)]
+            top = [math.exp(s - max(score)) for s in score]
+            for i, v in zip(place.tolist(), value, strict=True):
+                for c in range(3):
+                    g = v * (top[c] / sum(top) - (c == label))
+                    z[i][c] += g - (math.sqrt(n[i][c] + g * g) - math.sqrt(n[i][c])) / language.ALPHA * w[i, c]
+                    n[i][c] += g * g
+    plain = np.array([[weight(i, c) for c in range(3)] for i in range(12)])
+    assert language.fit(rows, 3) == pytest.approx(plain, abs=1e-12) and (plain != 0).any()
+
+
+def test_weights_of_terms():
+    """TF-IDF of length one, against the formula."""
+    counts, idf = np.zeros(language.PLACES, np.int64), np.linspace(1, 3, language.PLACES)
+    counts[[5, 9, 700]] = 1, 4, 2
+    place, value = language.features(counts, idf)
+    raw = [(1 + math.log(counts[i])) * idf[i] for i in (5, 9, 700)]
+    assert place.tolist() == [5, 9, 700]
+    assert value == pytest.approx([x / math.sqrt(sum(y * y for y in raw)) for x in raw])

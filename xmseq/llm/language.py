@@ -3,8 +3,9 @@
 Features are lower-cased character n-grams of one to three characters, hashed into a fixed number of places, weighted by
 their logarithmic frequency and inverse document frequency, and scaled to length one. The model is trained by
 follow-the-regularised-leader with an elastic-net penalty, which leaves most weights at zero, on a bounded sample of the
-labelled rows; document frequencies are counted over all of them. A temperature fitted on a part of the sample that the
-weights have not seen turns scores into probabilities.
+labelled rows, taken from each language alike so that a rare one is learnt as well; document frequencies are counted over all
+of them. A temperature fitted on a part of the sample that the weights have not seen turns scores into probabilities, in
+which each language has the share that it has among all labelled rows.
 """
 
 from __future__ import annotations
@@ -14,17 +15,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNKNOWN = "und"
 GRAMS = (1, 2, 3)
 PLACES = 1 << 14
-#: Labelled rows the weights are fitted on, at most: those with the smallest hashes.
+#: Labelled rows the weights are fitted on: of each language those with the smallest hashes, an equal part of this number
+#: and LEAST at least.
 SAMPLE = 6000
-#: Every fifth of them fits the temperature.
+LEAST = 50
+#: Every fifth of a language's rows fits the temperature.
 FIFTH = 5
+#: Rows of a language with less than a tenth of an equal part are gone through up to so many times an epoch.
+REPEATS = 20
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.001
 SLICE = 1 << 20
@@ -37,6 +42,8 @@ class Model:
     idf: np.ndarray
     weights: np.ndarray
     temperature: float
+    #: Log of each language's share of all labelled rows over that of what the weights were fitted on.
+    prior: np.ndarray
 
 
 def counts_of(text: str) -> np.ndarray:
@@ -110,14 +117,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: int, epochs: int
     return weights(slice(None))
 
 
-def best_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least log loss, by golden-section search over its logarithm."""
+def best_temperature(logits: np.ndarray, labels: np.ndarray, prior: np.ndarray, row_weights: np.ndarray) -> float:
+    """The temperature of least weighted log loss, by golden-section search over its logarithm."""
     if not len(labels):
         return 1.0
 
     def loss(t: float) -> float:
-        p = softmax(logits / np.exp(t))
-        return -np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-12)).mean()
+        p = softmax(logits / np.exp(t) + prior)
+        return -(row_weights * np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-12))).sum()
 
     lo, hi, ratio = np.log(0.02), np.log(20.0), (5**0.5 - 1) / 2
     for _ in range(40):
@@ -126,18 +133,45 @@ def best_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
+def taught_and_held(labels: np.ndarray, langs: int, part: int) -> tuple[list[int], list[int]]:
+    """Rows to fit the weights on, those of rare languages several times, and rows to fit the temperature on."""
+    taught: list[tuple[int, int]] = []
+    held: list[int] = []
+    for lang in range(langs):
+        own = np.flatnonzero(labels == lang).tolist()
+        mine = own[::FIFTH] if len(own) >= 2 * FIFTH else []
+        held += mine
+        rest = [i for i in own if i not in set(mine)]
+        times = min(max(part // (10 * len(rest)), 1), REPEATS)
+        taught += [(turn, i) for turn in range(times) for i in rest]
+    return [i for _, i in sorted(taught)], sorted(held)
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from (doc_id, text, lang); rows without lang or letters teach nothing.
 
-    Document frequencies cover all rows. The weights are fitted on the `sample` rows with the smallest hashes of doc_id.
+    Document frequencies cover all rows. The weights are fitted on the rows of each language with the smallest hashes of
+    doc_id, `sample` over the number of languages of them, and 50 at least where there are so many.
     """
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     df, n = document_frequencies(labelled)
     idf = np.log((1 + n) / (1 + df)) + 1
+    # A row per language; the model has a column for each.
+    shares = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(shares)
+    if not langs:
+        return Model([], idf, np.zeros((PLACES, 0)), 1.0, np.zeros(0))
+    part = max(LEAST, sample // len(langs))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    ids = labelled.select("doc_id", key.alias("k")).orderBy("k", "doc_id").limit(sample).select("doc_id").distinct()
-    # `sample` ids at most.
-    chosen = labelled.join(F.broadcast(ids), "doc_id", "left_semi")
+
+    def first(rows: DataFrame, *order: str) -> DataFrame:
+        # Tasks pass on `part` rows of a language at most.
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+        return rows.withColumn("place", place).where(F.col("place") <= part).drop("place")
+
+    ids = first(labelled.select("doc_id", "lang", key.alias("k")), "k", "doc_id").select("doc_id", "lang").distinct()
+    # `part` ids of a language at most.
+    chosen = labelled.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,23 +181,27 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
             columns = [batch.column("lang"), batch.column("k"), pa.array(places, pa.binary()), pa.array(values, pa.binary())]
             yield pa.record_batch(columns, ["lang", "k", "places", "values"])
 
-    found = (
-        chosen.select("text", "lang", key.alias("k")).mapInArrow(run, "lang string, k string, places binary, values binary")
-        .orderBy("k", "lang", "places", "values").limit(sample).collect()
-    )
-    langs = sorted({r["lang"] for r in found})
+    made = chosen.select("text", "lang", key.alias("k")).mapInArrow(run, "lang string, k string, places binary, values binary")
+    found = first(made, "k", "places", "values").orderBy("k", "lang", "places", "values").collect()
     rows = [(np.frombuffer(r["places"], "<u2").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(float), langs.index(r["lang"])) for r in found]
-    if not langs:
-        return Model([], idf, np.zeros((PLACES, 0)), 1.0)
-    held = rows[::FIFTH] if len(rows) >= 2 * FIFTH else []
-    taught = [r for i, r in enumerate(rows) if i % FIFTH] if held else rows
-    w = fit(taught, len(langs))
-    logits = np.array([v @ w[p] for p, v, _ in held]).reshape(-1, len(langs))
-    return Model(langs, idf, w, best_temperature(logits, np.array([y for _, _, y in held], np.int64)))
+    labels = np.array([y for _, _, y in rows], np.int64)
+    taught, held = taught_and_held(labels, len(langs), part)
+    w = fit([rows[i] for i in taught], len(langs))
+    seen = np.bincount(labels[taught], minlength=len(langs)) / len(taught)
+    share = np.array([shares[x] for x in langs]) / sum(shares.values())
+    prior = np.log(share / seen)
+    logits = np.array([rows[i][1] @ w[rows[i][0]] for i in held]).reshape(-1, len(langs))
+    # Held rows count by the share of their language.
+    each = share[labels[held]] / np.bincount(labels[held], minlength=len(langs))[labels[held]]
+    return Model(langs, idf, w, best_temperature(logits, labels[held], prior, each), prior)
 
 
 def predict(docs: DataFrame, m: Model) -> DataFrame:
-    """All columns of `docs` with lang_pred and score. A text that is null or has no letter is `und` with score 0."""
+    """All columns of `docs` with lang_pred and score, the probability of that language; of equal ones the first by name.
+
+    A text that is null or has no letter is `und` with score 0. Whole texts count, long ones in pieces. Columns of these two
+    names are replaced, others stay; rows that are equal are judged alike.
+    """
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     docs = docs.select(*names)
 
@@ -176,7 +214,7 @@ def predict(docs: DataFrame, m: Model) -> DataFrame:
                     score.append(0.0)
                     continue
                 place, value = features(counts_of(text), m.idf)
-                p = softmax(value @ m.weights[place] / m.temperature)
+                p = softmax(value @ m.weights[place] / m.temperature + m.prior)
                 best = int(p.argmax())
                 lang.append(m.langs[best])
                 score.append(float(p[best]))
