@@ -29,7 +29,7 @@ from xmseq.model import (
 )
 from xmseq.operators import causal, encoder, losses, metrics, params, prep, sampling, scoring, sequences, text_encoder, vectors
 from xmseq.operators.blocks import full_sort_topk
-from xmseq.operators.lookup import dense_items, lookup_vectors
+from xmseq.operators.lookup import dense_items, lookup, lookup_vectors
 from xmseq.plans.evaluate import last_item_encoder, sampled_evaluation, scored_targets
 from xmseq.plans.prepare import prepare
 from xmseq.plans.runs import RUN, selected_run
@@ -245,6 +245,15 @@ def item_weights(spark, sf):
     return losses.item_weights(freq).withColumn("weight", r6("weight"))
 
 
+@query
+def mapped_weights(spark, sf):
+    """Every event with the dense id and weight of its item, from a dictionary that tasks map, as beyond the broadcast limit."""
+    inter = t.stored_purchases(spark, sf)
+    freq = losses.train_item_freq(inter, sequences.item_ids(inter), t.TIES)
+    found = lookup(inter.select(*USER_KEY, ITEM), losses.item_weights(freq).select(*ITEM_KEY, IID, "weight"), ITEM_KEY, "left", False)
+    return found.select(*USER_KEY, ITEM, IID, r6("weight").alias("weight"))
+
+
 def target_nll(spark, sf, inter, include_padding=False):
     """nll of the test rows over the items of their market, the vector of the latest item standing for the sequence."""
     vectors_ = t.item_vectors(spark, sf)
@@ -333,6 +342,14 @@ def log_softmax(spark, sf):
     return rows.select(*USER_KEY, "candidate", r6("log_p").alias("log_p"))
 
 
+@query
+def grouped_log_softmax(spark, sf):
+    """All candidates of a market's test rows as one group, far too large for a row."""
+    rows = scored_long(spark, sf).select(*USER_KEY, "candidate", "score")
+    found = losses.log_softmax(rows, [MARKET])
+    return found.select(*USER_KEY, "candidate", r6("log_p").alias("log_p"))
+
+
 @query
 def bpr_loss(spark, sf):
     pair = scored(spark, sf, n=1).select(

@@ -353,6 +353,17 @@ define(
     round(score - ln(sum(exp(score)) over (partition by market, user_id)), 6) + 0.0 as log_p
     from scored where phase = 'test'""",
 )
+define(
+    "grouped_log_softmax",
+    "scored",
+    """select market, user_id, candidate, round(score - ln(sum(exp(score)) over (partition by market)), 6) + 0.0 as log_p
+    from scored where phase = 'test'""",
+)
+define(
+    "mapped_weights",
+    "purchases weights",
+    """select market, user_id, item_id, iid, round(weight, 6) + 0.0 as weight from purchases join weights using (market, item_id)""",
+)
 define(
     "bpr_loss",
     "drawn ids vectors",

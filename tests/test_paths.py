@@ -143,6 +143,33 @@ def test_lookup(spark, items, rows, beyond):
         assert no_vector_moves(found[1])
 
 
+def test_dictionary(spark, monkeypatch):
+    """Ids, counts and weights of a table above the limit, without a join; unknown, missing and look-alike keys."""
+    table = spark.createDataFrame(
+        [("us", "a", 1, 2.5, 9), ("us", "ab", 2, None, 9), ("usa", "b", 3, 0.5, 9), ("ca", "a", 2**53, -1.5, 4), (None, "a", 7, 7.0, 7)],
+        f"{MARKET} string, {ITEM} string, {IID} bigint, weight double, n_items int",
+    )
+    asked = spark.createDataFrame(
+        [("us", "a", 0), ("us", "ab", 1), ("usa", "b", 2), ("us", "sab", 3), ("ca", "a", 4), (None, "a", 5), ("xx", "a", 6), ("us", None, 7), ("us", "a", 8)],
+        f"{MARKET} string, {ITEM} string, n int",
+    )
+    for how in ("left", "inner"):
+        small, large = (lookup.lookup(asked, table, [ITEM, MARKET], how, small) for small in (True, False))
+        assert small.columns == large.columns and small.schema == large.schema
+        assert rows_of(small) == rows_of(large)
+        plan = large._jdf.queryExecution().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    with pytest.raises(ValueError, match="twice"):
+        lookup.lookup(asked, table.unionByName(table), [ITEM, MARKET], "left", False)
+    # Keys whose hashes are equal are told apart by the keys themselves.
+    stored = vector_store.write_ranges(table.where("market = 'ca'").select(ITEM, F.array("weight").alias(VECTOR)))
+    import pyarrow as pa
+
+    read = stored.reader()
+    monkeypatch.setattr(vector_store.xxhash, "xxh64_intdigest", lambda b, seed, real=vector_store.xxhash.xxh64_intdigest: real(b"a", seed))
+    assert read(pa.array(["a", "other"]))[1].tolist() == [True, False]
+
+
 def test_attention(spark, items, beyond):
     _, vectors = items
     seqs = spark.createDataFrame([("us", "u", ["i1", "i8", "i3"]), ("us", "v", ["i2"]), ("ca", "u", ["i8"])], f"{MARKET} string, {USER} string, {SEQ} array<string>")

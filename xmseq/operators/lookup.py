@@ -21,11 +21,42 @@ CELLS = 1 << 21
 
 
 def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", small: bool | None = None) -> DataFrame:
-    """Join a table of one row per key. Broadcast if rows and bytes are few (checked), else shuffled with hot keys apart."""
+    """Join a table of one row per key. Broadcast if rows and bytes are few (checked).
+
+    Larger tables of numbers are mapped from the shared folder by the tasks of `df`, others, or where that cannot be, are
+    shuffled with hot keys apart.
+    """
     small = fits(table, SMALL_ROWS, BROADCAST_BYTES) if small is None else small
     if small:
         return df.join(F.broadcast(table), list(on), how)
-    return spread_lookup(df, table, on, how)
+    mapped = mapped_rows(df, table, on, how)
+    return spread_lookup(df, table, on, how) if mapped is None else mapped
+
+
+def mapped_rows(df: DataFrame, table: DataFrame, on: Sequence[str], how: str) -> DataFrame | None:
+    """`df` with the numbers that `table` holds for its keys, read by the tasks of `df`; None if they cannot be mapped.
+
+    The dictionary lies in files sorted by the hash of the key, with the key itself beside it: an unknown key is told from a
+    known one even if their hashes are equal. Whole numbers up to 2^53 and doubles come back as they were, nulls as nulls.
+    """
+    values = [f for f in table.schema.fields if f.name not in on]
+    if how not in ("left", "inner") or not values or not all(isinstance(f.dataType, T.NumericType) for f in values):
+        return None
+    if any(isinstance(f.dataType, T.DecimalType) for f in values) or {f.name for f in values} & set(df.columns):
+        return None
+    # The parts of a key are told apart by their lengths; a key with a missing part has no text and is found nowhere.
+    texts = [F.col(c).cast("string") for c in on]
+    key = F.concat(*(x for t in texts for x in (F.length(t).cast("string"), F.lit(":"), t)))
+    numbers = F.array(*(F.coalesce(F.col(f.name).cast("double"), F.lit(float("nan"))) for f in values))
+    source = write_ranges(table.select(key.alias("_key"), numbers.alias("_row")).dropna(subset=["_key"]), "_key", "_row")
+    if source is None:
+        return None
+    found = mapped_lookup(df.withColumn("_key", key), source, "_key", T.StructField("_row", T.ArrayType(T.DoubleType())))
+    found = found.where("_row is not null") if how == "inner" else found
+    read = [F.get("_row", F.lit(i)) for i in range(len(values))]
+    columns = [F.when(~F.isnan(x), x).cast(f.dataType).alias(f.name) for x, f in zip(read, values, strict=True)]
+    rest = [c for c in df.columns if c not in on]
+    return found.select(*on, *rest, *columns)
 
 
 def lookup_vectors(
