@@ -80,9 +80,9 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without runs of three lines that start earlier elsewhere."""
+    """Documents without runs of three lines, or fewer lines of 50 words, that start earlier elsewhere."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = lines.drop_repeated_lines(docs)
+    kept = lines.drop_repeated_lines(docs, words=lines.LONG)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -185,14 +185,18 @@ LINES_SQL = f"""
     WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
       numbered AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM split),
       counted AS (
-        SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM numbered
-        WHERE regexp_matches(line, '{WORD}')),
-      runs AS (
-        SELECT doc_id, n, line || chr(10) || lead(line) OVER w || chr(10) || lead(line, 2) OVER w AS run
+        SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, len(regexp_extract_all(line, '{WORD}')) AS size
+        FROM numbered WHERE regexp_matches(line, '{WORD}')),
+      next_ AS (
+        SELECT doc_id, n, line, size, lead(line) OVER w AS second, lead(size) OVER w AS more, lead(line, 2) OVER w AS third
         FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+      runs AS (
+        SELECT doc_id, n, 3 AS many, line || chr(10) || second || chr(10) || third AS run FROM next_
+        UNION ALL SELECT doc_id, n, 1, line FROM next_ WHERE size >= {lines.LONG}
+        UNION ALL SELECT doc_id, n, 2, line || chr(10) || second FROM next_ WHERE size < {lines.LONG} AND size + more >= {lines.LONG}),
       ranked AS (
-        SELECT doc_id, n, row_number() OVER (PARTITION BY run ORDER BY doc_id, n) AS k FROM runs WHERE run IS NOT NULL),
-      gone AS (SELECT DISTINCT doc_id, n + j AS n FROM ranked, (SELECT unnest([0, 1, 2]) AS j) WHERE k > 1),
+        SELECT doc_id, n, many, row_number() OVER (PARTITION BY many, run ORDER BY doc_id, n) AS k FROM runs WHERE run IS NOT NULL),
+      gone AS (SELECT DISTINCT doc_id, n + j AS n FROM ranked, (SELECT unnest([0, 1, 2]) AS j) WHERE k > 1 AND j < many),
       drops AS (SELECT c.doc_id, c.i FROM counted c JOIN gone USING (doc_id, n)),
       kept AS (
         SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM numbered ANTI JOIN drops USING (doc_id, i) GROUP BY doc_id)

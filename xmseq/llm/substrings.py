@@ -2,9 +2,8 @@
 
 Every word starts a suffix, cut off at `window` words. Prefixes of 1, 2, 4 and 8 words split the suffixes into groups that
 fit into memory: a short prefix where it is rare enough, a longer one where it is not. Within a group, the suffixes that
-agree over the whole window hang below one deep internal node of its tree; sorting the hashes of the windows brings them
-together without building the levels above. All but the earliest leaf of such a node are repeats, and runs of repeats
-in a text are its maximal repeated passages.
+agree over the whole window would hang below one node of its tree at that depth; sorting the hashes of the windows brings
+them together, and no tree is built. All but the earliest of them are repeats.
 
 Suffixes travel as packed arrays, one row for a slice of the input and a task, and a passage repeated within a slice is
 sent once, however often it occurs. Texts are shuffled once, compressed, to meet the repeats found in them.
@@ -224,7 +223,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     docs: doc_id, text; other columns are ignored. Earlier is a smaller doc_id, or the same one and an earlier start. Words
     are runs other than space and \\x09-\\x0D, unchanged. Returns per row doc_id, n_words, n_removed, text (the words kept,
-    joined by one space) and removed, the maximal repeated passages as (start, end) in words. A null or empty text has no
+    joined by one space) and removed, the runs of covered words as (start, end); repeated passages that touch make one run. A null or empty text has no
     words; texts shorter than the window are kept, and so are rows without doc_id, which are nobody's earlier copy.
     Windows are compared by 64-bit hashes.
     """
