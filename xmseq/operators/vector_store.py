@@ -57,7 +57,9 @@ def mounted_path(spark: SparkSession, name: str) -> str | None:
     """A new folder in the shared one as a path of the file system; None if it is none."""
     path = shared_path(spark, name)
     found = urlparse(path)
-    if found.scheme not in ("", "file"):
+    # A path without a scheme is one of the session's default file system.
+    scheme = found.scheme or urlparse(spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///").scheme
+    if scheme != "file":
         return None
     os.makedirs(found.path, exist_ok=True)
     return found.path
