@@ -26,6 +26,7 @@ PLACES = 1 << 14
 #: and LEAST at least.
 SAMPLE = 6000
 LEAST = 50
+FEW = 4
 #: Every fifth of a language's rows fits the temperature.
 FIFTH = 5
 #: Rows of a language with less than a tenth of an equal part are gone through up to so many times an epoch.
@@ -151,7 +152,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from (doc_id, text, lang); rows without lang or letters teach nothing.
 
     Document frequencies cover all rows. The weights are fitted on the rows of each language with the smallest hashes of
-    doc_id, `sample` over the number of languages of them, and 50 at least where there are so many.
+    doc_id, `sample` over the number of languages of them, and 50 at least where there are so many; of a language with many
+    rows they are chosen among about four times as many, by a hash of id and text.
     """
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     df, n = document_frequencies(labelled)
@@ -165,11 +167,15 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
 
     def first(rows: DataFrame, *order: str) -> DataFrame:
-        # Tasks pass on `part` rows of a language at most.
         place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
         return rows.withColumn("place", place).where(F.col("place") <= part).drop("place")
 
-    ids = first(labelled.select("doc_id", "lang", key.alias("k")), "k", "doc_id").select("doc_id", "lang").distinct()
+    # Of a language with many rows about FEW times `part` are looked at, by a hash of their own: so many come to one task.
+    bars = [(lang, min(1.0, FEW * part / n)) for lang, n in shares.items()]
+    bars = labelled.sparkSession.createDataFrame(bars, "lang string, bar double")
+    own = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    some = labelled.select("doc_id", "lang", key.alias("k"), own.alias("own")).join(F.broadcast(bars), "lang").where("own < bar")
+    ids = first(some.select("doc_id", "lang", "k"), "k", "doc_id").select("doc_id", "lang").distinct()
     # `part` ids of a language at most.
     chosen = labelled.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
 
@@ -181,6 +187,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
             columns = [batch.column("lang"), batch.column("k"), pa.array(places, pa.binary()), pa.array(values, pa.binary())]
             yield pa.record_batch(columns, ["lang", "k", "places", "values"])
 
+    # Rows of the ids chosen, which may share an id, under the same bar.
+    chosen = chosen.withColumn("own", own).join(F.broadcast(bars), "lang").where("own < bar")
     made = chosen.select("text", "lang", key.alias("k")).mapInArrow(run, "lang string, k string, places binary, values binary")
     found = first(made, "k", "places", "values").orderBy("k", "lang", "places", "values").collect()
     rows = [(np.frombuffer(r["places"], "<u2").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(float), langs.index(r["lang"])) for r in found]

@@ -317,6 +317,14 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, percent: i
     scored = cuts.withColumn("score", F.expr("up div down")).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "cut", "l", "r")).alias("best"))
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     flat = scored.select("lang", "phrase", "a", "best.l", "best.r", "n", "best.score")
+    # The first of a language lie in the powers of two that hold its highest scores; the rest needs no order.
+    power = F.floor(F.log2(F.col("score") + 1)).cast("int")
+    flat = pin(flat.withColumn("power", power), "scored-phrases")
+    above = Window.partitionBy("lang").orderBy(F.desc("power"))
+    # At most 64 rows per language.
+    sizes = flat.groupBy("lang", "power").agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(above))
+    least = sizes.groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("upto") >= top, F.col("power"))), F.lit(-1)).alias("least"))
+    flat = flat.join(least, "lang").where("power >= least").drop("power", "least")
     # What is not among the first of its part of a language is not among the first of the language.
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(F.desc("score"), F.desc("a"), "phrase")
     flat = flat.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top).drop("rank")
