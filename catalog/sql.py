@@ -513,6 +513,10 @@ def _gelu(a: str) -> str:
     return f"case when {a} = 0 then 0.0 when {z} > 5 then greatest({a}, 0.0) else 0.5 * {a} * (1 + sign({a}) * {erf}) end"
 
 
+#: As many terms of the series as the size of `a` asks for.
+_SHORT = "cast(20 + 4 * (abs(a) / sqrt(2.0)) * (abs(a) / sqrt(2.0)) as bigint)"
+
+
 def encoder_blocks(places: tuple[list[str], str], model: tuple[list[str], str]) -> dict[str, tuple[list[str], str]]:
     """The encoder on `places` (market, user_id, place from 1, is_last, v); result: encoded (market, user_id, v)."""
     return {
@@ -613,6 +617,7 @@ def run_sql(run: str, phase: str, back: int, kinds: str) -> str:
     targets = f"""select s.market, s.user_id, s.phase, s.item_id, e.v as seq_v from split s
         join encoded e on e.market = s.market and e.user_id = s.user_id where s.phase = '{phase}'"""
     own = encoder_blocks((["positions", "vectors"], places), (["model", "layered"], model)) | {"targets": (["split", "encoded"], targets)}
+    own["inner2"] = (own["inner2"][0], own["inner2"][1].replace("range(120)", f"range({_SHORT})"))
     return f"select '{run}' as run, * from ({_with('metrics', BLOCKS | own)} select * from metrics)"
 
 
@@ -642,7 +647,6 @@ define(
 )
 # Places of all training targets. Items share the given vectors, so what a place puts into the attention depends on its
 # vector and its position alone and is worked out once for each such combination.
-_SHORT = "cast(20 + 4 * (abs(a) / sqrt(2.0)) * (abs(a) / sqrt(2.0)) as bigint)"
 _TRAIN_ENCODED = {
     "params": (["model"], "select * from model"),
     "asking": (
