@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -9,6 +10,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers that wait for their next task would hold it while others need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` over the batches of a task, and `release` behind it."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def by_group(
     df: DataFrame, keys: Sequence[str], fn: Callable[[pa.Table, np.ndarray], pa.Table], schema: str, order: Sequence[str] = ()
 ) -> DataFrame:
@@ -46,7 +65,7 @@ def by_group(
             done = pa.Table.from_batches(held)
             yield from fn(done, group_starts(done, keys)).to_batches()
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(releasing(run), schema)
 
 
 def group_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xmseq.llm.groups import Sets, by_group
+from xmseq.llm.groups import Sets, by_group, releasing
 from xmseq.llm.minhash import signatures
 from xmseq.llm.store import components
 from xmseq.llm.verify import confirmed, shingle_sets
@@ -65,7 +65,7 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_shingles bigint, s1 bigint, s2 bigint, signature binary"
+        releasing(run), f"doc_id {kind}, n_shingles bigint, s1 bigint, s2 bigint, signature binary"
     )
 
 
@@ -113,7 +113,7 @@ def frequent_pairs(classes: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             yield pa.record_batch([pa.array(pairs[first]), pa.array(np.diff(np.append(first, len(pairs))))], ["pair", "n"])
 
     least = max(HOT_LEAST, COORDINATES * n // HOT_PAIRS)
-    counts = classes.select("signature").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    counts = classes.select("signature").mapInArrow(releasing(run), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     found = sorted((r["pair"], r["n"]) for r in counts.where(F.col("n") > least).collect())
     return np.array([p for p, _ in found], np.int64), np.array([c for _, c in found], np.int64)
 
@@ -134,7 +134,7 @@ def centers_of(classes: DataFrame, order: Order) -> tuple[np.ndarray, np.ndarray
             low = [x.tobytes() for x in s[row[first]].astype(np.uint8)]
             yield pa.record_batch([pa.array(place[first]), pa.array(rep[first]), pa.array(low, pa.binary())], ["p", "rep", "low"])
 
-    best = classes.select("rep", "signature").mapInArrow(run, "p bigint, rep bigint, low binary")
+    best = classes.select("rep", "signature").mapInArrow(releasing(run), "p bigint, rep bigint, low binary")
     reps, lows = np.full(n, -1, np.int64), np.zeros((n, COORDINATES), np.uint8)
     if n:
         for r in best.groupBy("p").agg(F.min(F.struct("rep", "low")).alias("x")).select("p", "x.*").collect():
@@ -159,7 +159,7 @@ def others_of(classes: DataFrame, order: Order, centers: tuple[np.ndarray, np.nd
 
     sizes, others = np.zeros(len(order.pairs), np.int64), np.zeros(len(order.pairs), np.int64)
     if len(order.pairs):
-        found = classes.select("rep", "signature").mapInArrow(run, "p bigint, n bigint, other bigint")
+        found = classes.select("rep", "signature").mapInArrow(releasing(run), "p bigint, n bigint, other bigint")
         for r in found.groupBy("p").agg(F.sum("n").alias("n"), F.sum("other").alias("other")).collect():
             sizes[r["p"]], others[r["p"]] = r["n"], r["other"]
     return sizes, others
@@ -247,7 +247,7 @@ def candidate_links(classes: DataFrame, m: int) -> DataFrame:
         return pa.table({"u": links[:, 0], "v": links[:, 1]})
 
     rows = classes.select("rep", "signature").mapInArrow(
-        post, "pair bigint, block bigint, chunk bigint, rep bigint, low binary, lead boolean, center bigint"
+        releasing(post), "pair bigint, block bigint, chunk bigint, rep bigint, low binary, lead boolean, center bigint"
     )
     return by_group(rows, ["pair", "block", "chunk"], match, "u bigint, v bigint")
 

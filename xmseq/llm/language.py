@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from xmseq.llm.groups import releasing
+
 UNKNOWN = "und"
 GRAMS = (1, 2, 3)
 PLACES = 1 << 14
@@ -90,7 +92,7 @@ def document_frequencies(labelled: DataFrame) -> tuple[np.ndarray, int]:
                 n += 1
         yield pa.record_batch([pa.array(np.arange(PLACES + 1)), pa.array(np.append(df, n))], ["place", "n"])
 
-    sums = labelled.select("text").mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
+    sums = labelled.select("text").mapInArrow(releasing(run), "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
     out = np.zeros(PLACES + 1, np.int64)
     for place, n in sums.collect():
         out[place] = n
@@ -189,7 +191,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
     # Rows of the ids chosen, which may share an id, under the same bar.
     chosen = chosen.withColumn("own", own).join(F.broadcast(bars), "lang").where("own < bar")
-    made = chosen.select("text", "lang", key.alias("k")).mapInArrow(run, "lang string, k string, places binary, values binary")
+    made = chosen.select("text", "lang", key.alias("k")).mapInArrow(releasing(run), "lang string, k string, places binary, values binary")
     found = first(made, "k", "places", "values").orderBy("k", "lang", "places", "values").collect()
     rows = [(np.frombuffer(r["places"], "<u2").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(float), langs.index(r["lang"])) for r in found]
     labels = np.array([y for _, _, y in rows], np.int64)
@@ -230,7 +232,7 @@ def predict(docs: DataFrame, m: Model) -> DataFrame:
 
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     schema = T.StructType([*docs.schema.fields, *added])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def held_out_languages(docs: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:

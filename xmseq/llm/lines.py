@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from xmseq.llm.groups import releasing
 from xmseq.llm.store import unused
 from xmseq.llm.words import bounds, hashes, mix, rolling, runs, slices, text_bytes
 from xmseq.storage import pin
@@ -111,7 +112,7 @@ def repeated_windows(docs: DataFrame, run: int, words: int | None = None) -> Dat
                     ["doc_id", "fingerprint", "start", "windows"],
                 )
 
-    prints = docs.where("doc_id is not null").mapInArrow(select, f"doc_id {kind}, fingerprint bigint, start bigint, windows array<bigint>")
+    prints = docs.where("doc_id is not null").mapInArrow(releasing(select), f"doc_id {kind}, fingerprint bigint, start bigint, windows array<bigint>")
     prints = pin(prints, "line-fingerprints")
     # Joins with stored tables, not windows over a key: Spark splits what a frequent line brings together.
     again = pin(prints.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "line-repeats")
@@ -161,4 +162,4 @@ def drop_repeated_lines(docs: DataFrame, run: int = RUN, words: int | None = Non
     added = [T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed")]
     schema = T.StructType([*docs.schema.fields, *added])
     # Texts are shuffled at every size: whether the starts could be broadcast depends on the data.
-    return docs.join(late.hint("merge"), "doc_id", "left").select(*names, extra).mapInArrow(cut, schema)
+    return docs.join(late.hint("merge"), "doc_id", "left").select(*names, extra).mapInArrow(releasing(cut), schema)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from xmseq.llm.groups import releasing
 from xmseq.llm.substrings import grouped
 from xmseq.llm.words import bounds, hashes, mix, slices, text_bytes
 
@@ -302,7 +303,7 @@ def packed(docs: DataFrame, path: str, group_rows: int = GROUP_ROWS) -> DataFram
             yield done()
 
     names = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step"]
-    dealt = docs.mapInArrow(encode, f"group bigint, doc_id {kind}, ids binary")
+    dealt = docs.mapInArrow(releasing(encode), f"group bigint, doc_id {kind}, ids binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "group").sortWithinPartitions("group", "doc_id", "ids")
-    return dealt.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, tier bigint, step bigint")
+    return dealt.mapInArrow(releasing(run), f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, tier bigint, step bigint")

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from xmseq.llm.groups import by_group
+from xmseq.llm.groups import by_group, releasing
 from xmseq.llm.substrings import from_planes, planes
 from xmseq.llm.words import ROLL, hashes, mix, slices, text_bytes
 from xmseq.storage import pin
@@ -134,7 +134,7 @@ def cut(docs: DataFrame, lang: str, text: str) -> DataFrame:
                         yield pa.record_batch(columns, ["lang", "n", "vocab", "codes"])
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
-    made = rows.mapInArrow(run, "lang string, n bigint, vocab binary, codes binary")
+    made = rows.mapInArrow(releasing(run), "lang string, n bigint, vocab binary, codes binary")
     return pin(made.withColumn("slice", F.monotonically_increasing_id()).withColumn("heavy", F.lit(None).cast("binary")), "slices", packed=True)
 
 
@@ -206,7 +206,7 @@ def stripes(state: DataFrame, k: int, least: int, tasks: int) -> DataFrame:
         names = ("slice", "grams", "totals", "named")
         return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(zip(names, kinds, strict=True))})
 
-    sent = state.select("slice", "lang", "vocab", "codes", "heavy").mapInArrow(send, MESSAGE)
+    sent = state.select("slice", "lang", "vocab", "codes", "heavy").mapInArrow(releasing(send), MESSAGE)
     return by_group(sent, ["task"], merge, ANSWER)
 
 

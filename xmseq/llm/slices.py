@@ -8,6 +8,8 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from xmseq.llm.groups import releasing
+
 
 def by_slice(rows: DataFrame, fn: Callable[[list[dict[str, Any]]], Iterator[pa.RecordBatch]], schema: str, key: str = "slice") -> DataFrame:
     """Bring the rows of each slice together and yield from fn(rows); a task holds one slice and one Arrow batch at a time."""
@@ -25,4 +27,4 @@ def by_slice(rows: DataFrame, fn: Callable[[list[dict[str, Any]]], Iterator[pa.R
         if held:
             yield from fn(held)
 
-    return rows.repartition(parts, key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return rows.repartition(parts, key).sortWithinPartitions(key).mapInArrow(releasing(run), schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xmseq.llm.groups import by_group
+from xmseq.llm.groups import by_group, releasing
 from xmseq.llm.phrases import expand, squeeze
 from xmseq.llm.slices import by_slice
 from xmseq.llm.substrings import from_planes, pack, planes, unpack
@@ -261,7 +261,7 @@ def cut(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([size, ids, pa.array([lengths], BIN), pa.array([z], BIN)], ["size", "ids", "lengths", "z"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = rows.mapInArrow(run, "size bigint, ids array<bigint>, lengths binary, z binary")
+    made = rows.mapInArrow(releasing(run), "size bigint, ids array<bigint>, lengths binary, z binary")
     return pin(made.withColumn("slice", F.monotonically_increasing_id()), "slices", packed=True)
 
 
@@ -317,7 +317,7 @@ def recurring(cuts: DataFrame, window: int, gram: int, tasks: int, bits: int) ->
             out += [(r["slice"], r["task"], squeeze(level[a:b].tobytes())) for r, a, b in zip(rows, at[:-1], at[1:], strict=True)]
         return pa.Table.from_batches([record(out, [("slice", INT), ("task", INT), ("levels", BIN)])])
 
-    sent = cuts.mapInArrow(send, "task bigint, slice bigint, keys binary, counts binary")
+    sent = cuts.mapInArrow(releasing(send), "task bigint, slice bigint, keys binary, counts binary")
     return pin(by_group(sent, ["task"], meet, "slice bigint, task bigint, levels binary"), "levels")
 
 
