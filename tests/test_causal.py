@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows_of
 from test_encoder import HEADS, LONGEST, WIDTH, random_model
-from xmseq.model import EVENTS, ITEM, MARKET, POS, SEQ, TIME, USER, USER_KEY, VECTOR
+from xmseq.model import EVENTS, ITEM, MARKET, POS, TIME, USER, USER_KEY, VECTOR
 from xmseq.operators import causal, vector_store
 from xmseq.operators.encoder import encode_last, encode_sequences
 from xmseq.operators.scoring import SEQ_VECTOR
