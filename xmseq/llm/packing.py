@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from xmseq.llm.groups import releasing
 from xmseq.llm.substrings import grouped
