@@ -32,3 +32,40 @@ def test_log_softmax_of_a_long_array_sums_once(spark):
     assert time.time() - began < 30
     x = np.arange(1, 3001) / 3000
     assert np.allclose(found, x - math.log(np.exp(x).sum()), atol=1e-9)
+
+
+def test_sums_over_items_are_tiled():
+    """Few rows against many items: scores take no more memory than a tile, and large ones are shifted."""
+    import tracemalloc
+
+    from xmseq.operators import item_blocks
+
+    rng = np.random.default_rng(1)
+    x, v = rng.normal(size=(20_000, 8)), rng.normal(size=(600, 8))
+    v[:50] *= 400
+    scores = v @ x.T
+    high = scores.max(axis=1)
+    expected = high + np.log(np.exp(scores - high[:, None]).sum(axis=1))
+    group = item_blocks.Group(files=["f"], high=np.linalg.norm(x, axis=1).max(keepdims=True))
+    tracemalloc.start()
+    found = item_blocks.all_items_sum(v, group, lambda g, b: (None, x), None)
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
+    assert np.allclose(found, expected, rtol=1e-12)
+
+
+def test_best_items_order_only_rows_that_a_block_changes(monkeypatch):
+    from xmseq.operators import item_blocks
+
+    rng = np.random.default_rng(2)
+    x, v = rng.normal(size=(8192, 6)), rng.normal(size=(64, 6))
+    parts = [x[i : i + 256] for i in range(0, len(x), 256)]
+    center, angle, low, high = (np.array(c) for c in zip(*map(item_blocks.describe, parts), strict=True))
+    group = item_blocks.Group([""] * len(parts), [0] * len(parts), [256] * len(parts), center, angle, low, high)
+    merged, merge = [], item_blocks.merge_best
+    monkeypatch.setattr(item_blocks, "merge_best", lambda s, i, k: merged.append(len(s)) or merge(s, i, k))
+    best, who, taken = item_blocks.best_items(v, group, lambda g, b: (np.arange(256) + 256 * b, parts[b]), None, 10, 9)
+    scores = np.round(v @ x.T, 9) + 0.0
+    order = np.lexsort((np.broadcast_to(np.arange(len(x)), scores.shape), -scores), axis=1)[:, :10]
+    assert (who == order).all() and (best == np.take_along_axis(scores, order, axis=1)).all()
+    assert sum(merged) < 0.8 * taken.sum() / 256
