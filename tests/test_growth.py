@@ -69,3 +69,13 @@ def test_best_items_order_only_rows_that_a_block_changes(monkeypatch):
     order = np.lexsort((np.broadcast_to(np.arange(len(x)), scores.shape), -scores), axis=1)[:, :10]
     assert (who == order).all() and (best == np.take_along_axis(scores, order, axis=1)).all()
     assert sum(merged) < 0.8 * taken.sum() / 256
+
+
+def test_select_weights_takes_a_highest_layer_that_is_not_full(spark, tmp_path):
+    from catalog.queries import QUERIES
+
+    vector = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda x: (x + F.col("vec_id")).cast("float"))
+    spark.range(200).select(F.col("id").alias("vec_id")).withColumn("embedding", vector).write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = QUERIES["select_weights"](spark, str(tmp_path)).collect()
+    assert sorted((r["weight"], r["row"]) for r in found) == [("query", n) for n in range(8)]
+    assert all(r["v"].startswith(f"{193 + r['row']}000000 ") for r in found)
