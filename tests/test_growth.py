@@ -79,3 +79,18 @@ def test_select_weights_takes_a_highest_layer_that_is_not_full(spark, tmp_path):
     found = QUERIES["select_weights"](spark, str(tmp_path)).collect()
     assert sorted((r["weight"], r["row"]) for r in found) == [("query", n) for n in range(8)]
     assert all(r["v"].startswith(f"{193 + r['row']}000000 ") for r in found)
+
+
+def test_erf_takes_little_beside_its_result():
+    """The expansion of a large array is looked up piece by piece."""
+    import tracemalloc
+
+    from xmseq.operators import encoder
+
+    x = np.linspace(-7, 7, 1 << 20).reshape(1024, 8, 128)
+    tracemalloc.start()
+    found = encoder.erf(x)
+    assert tracemalloc.get_traced_memory()[1] < 1.5 * x.nbytes
+    tracemalloc.stop()
+    some = np.arange(0, x.size, 997)
+    assert np.abs(found.ravel()[some] - [math.erf(v) for v in x.ravel()[some]]).max() < 1e-15
