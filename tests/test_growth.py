@@ -94,3 +94,25 @@ def test_erf_takes_little_beside_its_result():
     tracemalloc.stop()
     some = np.arange(0, x.size, 997)
     assert np.abs(found.ravel()[some] - [math.erf(v) for v in x.ravel()[some]]).max() < 1e-15
+
+
+def test_equal_vectors_meet_the_items_once(spark, monkeypatch):
+    from xmseq.model import MARKET, USER
+    from xmseq.operators import blocks
+    from xmseq.operators.scoring import SEQ_VECTOR
+
+    rng = np.random.default_rng(3)
+    x = [v.tolist() for v in rng.normal(size=(12, 4))]
+    items = spark.createDataFrame([(m, i, x[i]) for m in "ab" for i in range(12)], f"{MARKET} string, {ITEM} bigint, {VECTOR} array<double>")
+    told = [("ab"[n % 2], n, n % 12, x[n % 3]) for n in range(60)] + [("a", 60, 1, None), ("c", 61, 1, x[0]), (None, 62, 1, x[0]), ("b", 63, 99, x[1])]
+    rows = spark.createDataFrame(told * 2, f"{MARKET} string, {USER} bigint, {ITEM} bigint, {SEQ_VECTOR} array<double>")
+    met, sums = [], blocks.all_item_logsumexp
+    monkeypatch.setattr(blocks, "all_item_logsumexp", lambda each, *a, **k: met.append(each.count()) or sums(each, *a, **k))
+    for limit in (1 << 20, 0):
+        plain, shared = (losses.all_item_nll(rows, items, [USER], shared=s, limit_bytes=limit).collect() for s in (False, True))
+        plain, shared = ([r.asDict() for r in sorted(found, key=lambda r: r[USER])] for found in (plain, shared))
+        assert len(plain) == len(shared) == 124
+        for p, s in zip(plain, shared, strict=True):
+            assert p.keys() == s.keys() and all(p[c] == s[c] or (c == "nll" and abs(p[c] - s[c]) < 1e-12) for c in p)
+    # Three vectors in either market, the missing one and the one of a market without items.
+    assert met == [9, 9] or met == [8, 8]
