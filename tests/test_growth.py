@@ -116,3 +116,25 @@ def test_equal_vectors_meet_the_items_once(spark, monkeypatch):
             assert p.keys() == s.keys() and all(p[c] == s[c] or (c == "nll" and abs(p[c] - s[c]) < 1e-12) for c in p)
     # Three vectors in either market, the missing one and the one of a market without items.
     assert met == [9, 9] or met == [8, 8]
+
+
+def test_pooled_vectors_are_not_shuffled_by_place(spark):
+    """A row of a sequence passes on one sum, and rows of one key are one sequence, as where vectors are joined."""
+    from xmseq.model import SEQ, USER
+    from xmseq.operators import vectors
+
+    rng = np.random.default_rng(4)
+    table = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(9)], f"{ITEM} bigint, {VECTOR} array<double>")
+    told = [(1, [0, 1, 2, 1]), (2, [8, 77, 3]), (2, [4, 5]), (3, [1, 77]), (None, [6]), (None, [7, 2]), (4, []), (5, None), (6, [2, None, 4])]
+    seqs = spark.createDataFrame(told, f"{USER} bigint, {SEQ} array<bigint>")
+    few = table.where(f"{ITEM} <> 5")
+    for values in (None, few):
+        expected = vectors._joined_pool(seqs, table, table, table if values is None else values, [USER], 1 << 20).collect()
+        for limit in (1 << 20, 0):
+            found = vectors.attention_pool(seqs, table, None, values, [USER], limit)
+            assert "Window" not in found._jdf.queryExecution().toString()
+            found = {r[USER]: r["pooled"] for r in found.collect()}
+            assert found.keys() == {r[USER] for r in expected}
+            for r in expected:
+                mine = found[r[USER]]
+                assert (mine is None) == (r["pooled"] is None) and (mine is None or np.allclose(mine, r["pooled"], rtol=1e-12))

@@ -17,6 +17,7 @@ from xmseq.model import ITEM, SEQ, TEXT, TEXT_BATCH, USER_KEY, VECTOR
 from xmseq.operators.lookup import lookup_vectors
 from xmseq.operators.matrix import to_lists
 from xmseq.operators.scoring import CELLS
+from xmseq.operators.vector_store import Source, vector_source
 from xmseq.storage import BROADCAST_BYTES
 
 BatchEncoder = Callable[[list[str]], np.ndarray]
@@ -137,10 +138,74 @@ def attention_pool(
     key: Sequence[str] = tuple(USER_KEY),
     limit_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """(key.., pooled): the weighted sum of the items' value vectors of each sequence."""
+    """(key.., pooled): the weighted sum of the items' value vectors of each sequence.
+
+    Tasks read the vectors where the sequences are, and each row of `seqs` passes on one sum. Where tables have an item twice,
+    vectors of several widths or with gaps, or cannot be mapped, the vectors are joined to the places instead.
+    """
     key = list(key)
+    keys, values = (queries if x is None else x for x in (keys, values))
+    stores = {id(x): _store(x, limit_bytes) for x in (queries, keys, values)}
+    q, k, v = (stores[id(x)] for x in (queries, keys, values))
+    if q is None or k is None or v is None or q.width != k.width:
+        return _joined_pool(seqs, queries, keys, values, key, limit_bytes)
+    parts = [("_peak", T.DoubleType()), ("_total", T.DoubleType()), ("_sum", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType([*(seqs.schema[c] for c in key), *(T.StructField(*x) for x in parts)])
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read_q, read_k, read_v = (x.reader() for x in (q, k, v))
+        step = max(1, CELLS // (256 * max(q.width, v.width)))
+        for batch in batches:
+            for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+                lists = part.column(SEQ)
+                lengths = lists.value_lengths().fill_null(0).to_numpy()
+                some, items = np.flatnonzero(lengths), lists.flatten()
+                owner = np.repeat(np.arange(len(some)), lengths[some])
+                asked, asks = read_q(items.take(pa.array(np.cumsum(lengths)[some] - 1)))
+                found, known = read_k(items)
+                at = np.flatnonzero(known & asks[owner])
+                if not len(at):
+                    continue
+                row, first, own = np.unique(owner[at], return_index=True, return_inverse=True)
+                scores = np.einsum("ij,ij->i", asked[owner[at]], found[at]) / np.sqrt(q.width)
+                peak = np.maximum.reduceat(scores, first)
+                e = np.exp(scores - peak[own])
+                given, there = read_v(items.take(pa.array(at)))
+                sums = to_lists(np.add.reduceat(e[:, None] * given, first))
+                # Without the vector of an item there is no sum.
+                whole = np.logical_and.reduceat(there, first)
+                sums = sums.take(pa.array(np.arange(len(row)), mask=~whole))
+                mine = [part.column(c).take(pa.array(some[row])) for c in key]
+                yield pa.RecordBatch.from_arrays([*mine, pa.array(peak), pa.array(np.add.reduceat(e, first)), sums], schema.names)
+
+    # Rows of one key are one sequence: their sums are brought to the highest peak.
+    partial = F.collect_list(F.struct("_peak", "_total", "_sum")).alias("_p")
+    merged = seqs.select(*key, SEQ).mapInArrow(pool, schema).groupBy(*key).agg(partial, F.max("_peak").alias("_top"))
+    raised = F.transform("_p", lambda p: F.struct(F.exp(p["_peak"] - F.col("_top")).alias("scale"), p["_total"].alias("total"), p["_sum"].alias("v")))
+    merged = merged.select(*key, raised.alias("_p"))
+    total = F.aggregate("_p", F.lit(0.0), lambda s, p: s + p["scale"] * p["total"])
+    merged = merged.select(*key, "_p", total.alias("_all"))
+    shares = F.transform("_p", lambda p: F.struct((p["scale"] / F.col("_all")).alias("weight"), p["v"].alias("v")))
+    return merged.select(*key, weighted_sum(shares, "weight", "v", F.lit(v.width)).alias("pooled"))
+
+
+def _store(vectors: DataFrame, limit_bytes: int) -> Source | None:
+    """Where tasks find vectors of one width without gaps, one for each item; None if that is not what the table holds."""
+    known = vectors.where(F.col(ITEM).isNotNull() & F.col(VECTOR).isNotNull())
+    gap = F.max(F.exists(VECTOR, lambda x: x.isNull()))
+    low, high, gaps = known.agg(F.min(F.size(VECTOR)), F.max(F.size(VECTOR)), gap).first()
+    if not low or low != high or gaps:
+        return None
+    source = vector_source(vectors, limit_bytes=limit_bytes)
+    if source is not None and source.matrix is not None:
+        ids = source.matrix.value[0]
+        return None if (ids[1:] == ids[:-1]).any() else source
+    return source
+
+
+def _joined_pool(seqs: DataFrame, queries: DataFrame, keys: DataFrame, values: DataFrame, key: list[str], limit_bytes: int) -> DataFrame:
     weights = attention_weights(seqs, queries, keys, key, limit_bytes)
-    found = lookup_vectors(weights, queries if values is None else values, ITEM, "_v", limit_bytes)
+    found = lookup_vectors(weights, values, ITEM, "_v", limit_bytes)
     parts = F.array_sort(F.collect_list(F.struct("place", "weight", F.col("_v").alias("v"))))
     width = F.size(F.get("_p", F.lit(0))["v"])
     return found.groupBy(*key).agg(parts.alias("_p")).select(
