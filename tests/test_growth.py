@@ -138,3 +138,13 @@ def test_pooled_vectors_are_not_shuffled_by_place(spark):
             for r in expected:
                 mine = found[r[USER]]
                 assert (mine is None) == (r["pooled"] is None) and (mine is None or np.allclose(mine, r["pooled"], rtol=1e-12))
+
+
+def test_log_softmax_of_few_groups_moves_no_row(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") / 100).alias("score"))
+    rows = rows.withColumn("g", F.when(F.col("g") > 0, F.col("g")))
+    found = losses.log_softmax(rows, ["g"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    totals = found.groupBy("g").agg(F.sum(F.exp("log_p")).alias("p"), F.count("*").alias("n")).collect()
+    assert {r["g"]: r["n"] for r in totals} == {None: 334, 1: 333, 2: 333} and all(abs(r["p"] - 1) < 1e-9 for r in totals)
