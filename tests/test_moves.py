@@ -58,3 +58,26 @@ def test_histories_are_dealt_to_many_tasks(spark, monkeypatch):
     inter = spark.createDataFrame([("a", u, i, i) for u in range(5) for i in range(4)], f"{MARKET} string, {USER} bigint, {ITEM} bigint, {TIME} bigint")
     causal.encode_targets(inter, inter, inter, heads=2)
     assert dealt == [1, tasks(spark)] and tasks(spark) >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_vectors_are_written_with_their_own_digits(spark, tmp_path):
+    """A number of single precision takes some ten digits, not the twenty of the same one widened to double."""
+    from xmseq.functions.text import text_to_vec, vec_to_text
+    from xmseq.sources import typed
+
+    exact = RNG.normal(size=(40, 64)) * 10.0 ** RNG.integers(-20, 20, size=(40, 64))
+    values = [*exact.astype(np.float32).tolist(), [], None, [1.0, 1e7, 16777216.0]]
+    typed.register(spark)
+    for kind, most in (("float", 16), ("double", 26)):
+        frame = spark.createDataFrame(list(enumerate(values)), f"n bigint, v array<{kind}>")
+        told = frame.select("n", vec_to_text("v").alias("t"))
+        frame.coalesce(2).write.format("typed_table").mode("append").save(path := str(tmp_path / kind))
+        lines = [line.split("\t") for f in typed.part_files(path) for line in open(f, encoding="utf-8").read().splitlines()[1:]]
+        for texts in (dict(rows_of(told)), {int(n): t for n, t in lines}):
+            assert all(len(texts[n]) < most * 64 for n in range(40)) and (kind == "double" or max(len(texts[n]) for n in range(40)) < 14.5 * 64)
+        again = rows_of(told.select("n", text_to_vec("t")))
+        stored = rows_of(spark.read.format("typed_table").load(path).select(F.col("n").cast("bigint"), "v"))
+        assert [v for _, v in sorted(stored)] == values
+        assert [v for _, v in sorted(again)] == [v or None for v in values]
+    with pytest.raises(Exception):
+        spark.createDataFrame([(1, [1.0, None])], "n bigint, v array<float>").write.format("typed_table").mode("append").save(str(tmp_path / "gap"))

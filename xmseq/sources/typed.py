@@ -15,15 +15,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as text
-from pyspark.sql import Row, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, NumericType, StringType, StructField, StructType
 
 RANGE_BYTES = 64 << 20
 BATCH_ROWS = 10_000
+#: Rows that are texts at once on their way to a file.
+WRITE_ROWS = 1_000
 # The types a header may name.
 TYPES = {"token": StringType(), "float": DoubleType(), "float_seq": ArrayType(FloatType())}
 ARROW = {"token": pa.string(), "float": pa.float64(), "float_seq": pa.list_(pa.float32())}
@@ -134,7 +137,7 @@ def parsed(column: pa.Array, kind: str) -> pa.Array:
     return pc.if_else(empty, pa.scalar([], ARROW[kind]), lists) if pc.any(empty).as_py() else lists
 
 
-class TypedWriter(DataSourceWriter):
+class TypedWriter(DataSourceArrowWriter):
     def __init__(self, path: str, sep: str, schema: StructType, overwrite: bool):
         self.path, self.sep, self.overwrite = local(path), sep, overwrite
         self.kinds = [(f.name, kind_of(f.dataType)) for f in schema.fields]
@@ -143,14 +146,16 @@ class TypedWriter(DataSourceWriter):
     def folder(self) -> str:
         return f"{self.path}/_temporary-{self.run}"
 
-    def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         os.makedirs(self.folder(), exist_ok=True)
         name = f"part-{uuid.uuid4().hex}.tsv"
         with open(f"{self.folder()}/{name}", "w", encoding="utf-8", newline="") as file:
             out = csv.writer(file, delimiter=self.sep, escapechar="\\", doublequote=False, lineterminator="\n")
             out.writerow([f"{n}:{k}" for n, k in self.kinds])
-            for row in iterator:
-                file.write(self.sep.join(field(value, kind, self.sep) for value, (_, kind) in zip(row, self.kinds, strict=True)) + "\n")
+            for batch in iterator:
+                for part in (batch.slice(at, WRITE_ROWS) for at in range(0, batch.num_rows, WRITE_ROWS)):
+                    columns = [written(part.column(i), kind, self.sep) for i, (_, kind) in enumerate(self.kinds)]
+                    file.writelines(self.sep.join(row) + "\n" for row in zip(*columns, strict=True))
         return Written(name)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -176,6 +181,28 @@ class TypedWriter(DataSourceWriter):
             os.rmdir(self.folder())
 
 
+def written(column: pa.Array, kind: str, sep: str) -> list[str]:
+    """A column as texts. Numbers of single precision are written with the digits that tell them from others of theirs."""
+    if pa.types.is_timestamp(column.type) and column.type.tz:
+        # As a row of Python holds it: without a zone, in that of the worker.
+        return [field(value and value.astimezone().replace(tzinfo=None), kind, sep) for value in column.to_pylist()]
+    if kind != "float_seq" or not pa.types.is_float32(column.type.value_type) or not plain(column.flatten()):
+        return [field(value, kind, sep) for value in column.to_pylist()]
+    texts = pc.binary_join(pa.ListArray.from_arrays(ends(column), column.flatten().cast(pa.string())), " ")
+    empty, there = column.value_lengths().fill_null(0).to_numpy() == 0, np.asarray(column.is_valid())
+    return ['""' if none and known else text for text, none, known in zip(texts.to_pylist(), empty, there, strict=True)]
+
+
+def plain(numbers: pa.Array) -> bool:
+    """Whether none of the numbers is missing or not finite."""
+    return numbers.null_count == 0 and bool(np.isfinite(numbers.to_numpy()).all())
+
+
+def ends(column: pa.ListArray) -> pa.Array:
+    """Where the lists of a column, null ones empty, lie in its flattened numbers."""
+    return pa.array(np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy())).astype(np.int32))
+
+
 def field(value, kind: str, sep: str) -> str:
     """A value as text: null as nothing, an empty text in quotes, and quotes around what could be misread."""
     if value is None:
