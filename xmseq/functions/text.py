@@ -23,8 +23,8 @@ def tokens(text: Column | str) -> Column:
 
 
 def vec_to_text(vector: Column | str) -> Column:
-    """Blank-separated text of a vector, floats widened to double."""
-    return F.array_join(F.transform(vector, lambda x: x.cast("double").cast("string")), " ")
+    """Blank-separated text of a vector. Each number has the digits that tell it from others of its precision."""
+    return F.array_join(F.transform(vector, lambda x: x.cast("string")), " ")
 
 
 def text_to_vec(text: Column | str) -> Column:
