@@ -471,6 +471,17 @@ def test_language_edges(spark):
     assert found.columns == ["doc_id", "text", "lang_pred", "score"] and found.collect()[0].lang_pred == "und"
 
 
+def test_sample_stays_small_in_the_driver(spark, monkeypatch):
+    """The sample is views of six bytes a feature; weights are those of widened rows."""
+    rng = random.Random(4)
+    rows = [(i, letters(rng, a, 30), lang) for i, (lang, a) in enumerate([("aa", "abcdeé"), ("bb", "fghijü")] * 40)]
+    taken, fit = [], language.fit
+    monkeypatch.setattr(language, "fit", lambda rows, *a, **b: (taken.extend(rows), fit(rows, *a, **b))[1])
+    model = language.train(spark.createDataFrame(rows, f"{SCHEMA}, lang string"))
+    assert taken and all((p.dtype, v.dtype) == ("<u2", "<f4") and p.base is not None and v.base is not None for p, v, _ in taken)
+    assert (model.weights == fit([(p.astype(np.int64), v.astype(float), y) for p, v, y in taken], 2)).all()
+
+
 def test_features_of_pieces(monkeypatch):
     text = letters(random.Random(1), "abcdefé ", 400)
     whole = language.counts_of(text)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from xmseq.llm.groups import releasing
+from xmseq.llm.groups import release, releasing
 
 UNKNOWN = "und"
 GRAMS = (1, 2, 3)
@@ -100,7 +100,7 @@ def document_frequencies(labelled: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: int, epochs: int = EPOCHS) -> np.ndarray:
-    """FTRL-proximal weights (places x langs) of rows (places, values, label)."""
+    """FTRL-proximal weights (places x langs) of rows (places, values, label), which may be in small types: one is widened at a time."""
     z, n = np.zeros((PLACES, langs)), np.zeros((PLACES, langs))
 
     def weights(place: np.ndarray | slice) -> np.ndarray:
@@ -109,7 +109,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: int, epochs: int
         return np.where(np.abs(zs) <= L1, 0.0, w)
 
     for _ in range(epochs):
-        for place, value, label in rows:
+        for short, single, label in rows:
+            place, value = short.astype(np.int64), single.astype(float)
             w = weights(place)
             p = softmax(value @ w)
             p[label] -= 1
@@ -193,14 +194,17 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = chosen.withColumn("own", own).join(F.broadcast(bars), "lang").where("own < bar")
     made = chosen.select("text", "lang", key.alias("k")).mapInArrow(releasing(run), "lang string, k string, places binary, values binary")
     found = first(made, "k", "places", "values").orderBy("k", "lang", "places", "values").collect()
-    rows = [(np.frombuffer(r["places"], "<u2").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(float), langs.index(r["lang"])) for r in found]
+    # Views of the bytes that came: widened, the sample would take four times its size and more in the driver.
+    rows = [(np.frombuffer(r["places"], "<u2"), np.frombuffer(r["values"], "<f4"), langs.index(r["lang"])) for r in found]
     labels = np.array([y for _, _, y in rows], np.int64)
     taught, held = taught_and_held(labels, len(langs), part)
     w = fit([rows[i] for i in taught], len(langs))
     seen = np.bincount(labels[taught], minlength=len(langs)) / len(taught)
     share = np.array([shares[x] for x in langs]) / sum(shares.values())
     prior = np.log(share / seen)
-    logits = np.array([rows[i][1] @ w[rows[i][0]] for i in held]).reshape(-1, len(langs))
+    logits = np.array([rows[i][1].astype(float) @ w[rows[i][0]] for i in held]).reshape(-1, len(langs))
+    del found, rows
+    release()
     # Held rows count by the share of their language.
     each = share[labels[held]] / np.bincount(labels[held], minlength=len(langs))[labels[held]]
     return Model(langs, idf, w, best_temperature(logits, labels[held], prior, each), prior)
