@@ -103,6 +103,16 @@ def test_nll(items, rows, beyond):
     assert len(small) == 8
 
 
+def test_rows_side_by_side(spark):
+    """Rows of an id come out in one piece of a task; none is lost, those without an id neither."""
+    rows = spark.range(0, 6000, 1, 12).select(F.when(F.col("id") % 601 != 600, F.col("id") % 601).alias(ITEM), "id")
+    ready = lookup.side_by_side(rows, ITEM).join(F.broadcast(spark.range(601).withColumnRenamed("id", ITEM)), ITEM, "left")
+    found = ready.select(ITEM, "id", F.spark_partition_id().alias("p")).collect()
+    assert sorted(r["id"] for r in found) == list(range(6000))
+    runs = [(r["p"], r[ITEM]) for r in found]
+    assert 1 + sum(a != b for a, b in zip(runs, runs[1:], strict=False)) == 601
+
+
 def test_candidate_scores(items, rows, beyond):
     """Unknown ids and markets, items without vector, empty and null arrays."""
     ids, vectors = items
