@@ -103,6 +103,26 @@ def test_nll(items, rows, beyond):
     assert len(small) == 8
 
 
+def test_vectors_of_candidates_are_filed_once(spark, monkeypatch):
+    """An item of three markets has its vector in the files once; a number is enough for each market, in any of several files."""
+    ids = spark.createDataFrame([(m, i, i - 9 * k) for k, m in enumerate("abc") for i in range(9 * k + 1, 9 * k + 15)], f"{MARKET} string, {ITEM} long, {IID} long")
+    # Of an item in no market there may be two.
+    vectors = spark.createDataFrame([(i, RNG.normal(size=4).tolist()) for i in [*range(1, 33), 50, 50] if i != 12], f"{ITEM} long, {VECTOR} array<double>")
+    lists = [(m, str(u), RNG.normal(size=4).tolist(), RNG.integers(0, 17, 20).tolist()) for m in "abcd" for u in range(6)]
+    asked = spark.createDataFrame(lists, f"{MARKET} string, {USER} string, {scoring.SEQ_VECTOR} array<double>, {scoring.CANDIDATES} array<long>")
+    filed, write = [], scoring.write_ranges
+
+    def small_files(*args):
+        filed.append(write(*args, range_bytes=600))
+        return filed[-1]
+
+    monkeypatch.setattr(scoring, "write_ranges", small_files)
+    ways = ((vectors.where(f"{ITEM} < 50"), {}), (vectors, {"limit_bytes": 0}))
+    small, large = (rows_of(scoring.score_candidates(asked, ids, some, **how), MARKET, USER, scoring.SCORES) for some, how in ways)
+    assert small == large and any(s for *_, scores in small for s in scores)
+    assert [(s.width, sum(r[2] for r in s.ranges)) for s in filed] == [(4, 31), (1, 3 * 14 - 2)] and all(len(s.ranges) > 2 for s in filed)
+
+
 def test_rows_side_by_side(spark):
     """Rows of an id come out in one piece of a task; none is lost, those without an id neither."""
     rows = spark.range(0, 6000, 1, 12).select(F.when(F.col("id") % 601 != 600, F.col("id") % 601).alias(ITEM), "id")
