@@ -148,3 +148,41 @@ def test_log_softmax_of_few_groups_moves_no_row(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
     totals = found.groupBy("g").agg(F.sum(F.exp("log_p")).alias("p"), F.count("*").alias("n")).collect()
     assert {r["g"]: r["n"] for r in totals} == {None: 334, 1: 333, 2: 333} and all(abs(r["p"] - 1) < 1e-9 for r in totals)
+
+
+def test_best_items_take_few_products_in_double():
+    """Single precision tells which rows a block cannot change; scores closer than it can tell are still put in order."""
+    from xmseq.operators import item_blocks
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 16))
+    parts = [rng.normal(size=(64, 16)) for _ in range(40)]
+    # Copies that differ by less than single precision can tell, the better ones in blocks that come later.
+    for n in range(1, 40):
+        parts[n][:8] = parts[0][:8] * (1 + n * 1e-8)
+    taken = []
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            taken.append((self.dtype, len(self)))
+            return np.asarray(self) @ other
+
+    center, angle, low, high = (np.array(c) for c in zip(*map(item_blocks.describe, parts), strict=True))
+    group = item_blocks.Group([""] * len(parts), [0] * len(parts), [64] * len(parts), center, angle, low, high)
+    best, who, _ = item_blocks.best_items(v.view(Counted), group, lambda g, b: (np.arange(64) + 64 * b, parts[b]), None, 10, 9)
+    scores = np.round(v @ np.concatenate(parts).T, 9)
+    order = [sorted(range(scores.shape[1]), key=lambda i: (-s[i], i))[:10] for s in scores]
+    assert np.asarray(who).tolist() == order
+    assert np.allclose(best, np.take_along_axis(scores, np.array(order), axis=1), rtol=0, atol=2e-9)
+    rows = {kind: sum(n for t, n in taken if t == kind) for kind in (np.float32, np.float64)}
+    assert rows[np.float32] > 0.9 * 300 * 40 and rows[np.float64] < rows[np.float32] * 0.8
+
+
+def test_best_items_of_lengths_beyond_single_precision():
+    from xmseq.operators import item_blocks
+
+    parts = [np.array([[-1e200, 1.0], [-2e200, 1.0]]), np.array([[-1e199, 1.0], [-3e200, 1.0]])]
+    center, angle, low, high = (np.array(c) for c in zip(*map(item_blocks.describe, parts), strict=True))
+    group = item_blocks.Group([""] * 2, [0] * 2, [2] * 2, center, angle, low, high)
+    _, who, _ = item_blocks.best_items(np.array([[1.0, 0.0]]), group, lambda g, b: (np.arange(2) + 2 * b, parts[b]), None, 2, 0)
+    assert who.tolist() == [[2, 0]]

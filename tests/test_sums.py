@@ -1,6 +1,7 @@
 """Sums over all items: nothing is moved or filed more often than the result asks for, and every core has work."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +64,21 @@ def test_exp_from_a_table():
     assert np.isnan(some[0])
 
 
+def test_rows_of_a_market_meet_the_items_together(monkeypatch):
+    """Over several batches, as far as few enough rows wait; none is lost."""
+    batches = [pa.record_batch({MARKET: ["abc"[(n * k) % 3] for n in range(30)], "n": [100 * k + n for n in range(30)]}) for k in range(1, 9)]
+    monkeypatch.setattr(blocks, "MAPPED_ROWS", 16)
+    for held, most in ((1 << 20, 8), (20, 40)):
+        monkeypatch.setattr(blocks, "HELD_ROWS", held)
+        lots = list(blocks._together(iter(batches), [MARKET], {"a", "b"}))
+        rows = sorted((name, n) for name, lot in lots for n in lot["n"].to_pylist())
+        assert rows == sorted((m, n) for b in batches for m, n in zip(b[MARKET].to_pylist(), b["n"].to_pylist(), strict=True) if m != "c")
+        assert max(lot.num_rows for _, lot in lots) == 16
+        assert sum(lot.num_rows < 16 for _, lot in lots) <= (2 if held > 1000 else most)
+    whole = list(blocks._together(iter(batches), [], {None}))
+    assert sum(lot.num_rows for _, lot in whole) == 240
+
+
 def given(spark, twice=False):
     told = [("abc"[n % 3], n, n % 7, n * n % 11) for n in range(60)] + [(None, 60, 1, 2), ("a", 61, 50, 2), ("a", 62, 2, 50)]
     inter = spark.createDataFrame(told, INTER)
