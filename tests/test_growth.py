@@ -186,3 +186,17 @@ def test_best_items_of_lengths_beyond_single_precision():
     group = item_blocks.Group([""] * 2, [0] * 2, [2] * 2, center, angle, low, high)
     _, who, _ = item_blocks.best_items(np.array([[1.0, 0.0]]), group, lambda g, b: (np.arange(2) + 2 * b, parts[b]), None, 2, 0)
     assert who.tolist() == [[2, 0]]
+
+
+def test_gelu_takes_no_space_beside_its_result():
+    import tracemalloc
+
+    from xmseq.operators import encoder
+
+    x = np.random.default_rng(6).normal(size=(2000, 500)) * 3
+    tracemalloc.start()
+    found = encoder.ACTIVATIONS["gelu"](x)
+    assert tracemalloc.get_traced_memory()[1] < 1.3 * x.nbytes
+    tracemalloc.stop()
+    expected = [0.5 * v * (1 + math.erf(v / math.sqrt(2))) for v in x[:3].ravel()]
+    assert np.abs(found[:3].ravel() - expected).max() < 1e-14
